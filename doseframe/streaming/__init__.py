@@ -1,0 +1 @@
+"""Empty on purpose: the work this package covers is batch only."""
