@@ -201,7 +201,7 @@ def pca_scores(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[st
     z = [(F.col(c) - m[f"m{i}"]) / (m[f"s{i}"] or 1.0) for i, c in enumerate(cols)]
     scaled = complete.select(*[e.alias(c) for e, c in zip(z, cols)])
     model = PCA(k=k, inputCol="v", outputCol="p").fit(VectorAssembler(inputCols=cols, outputCol="v").transform(scaled))
-    loadings = model.pc.toArray()
+    loadings = model.pc.toArray().copy()
     for j in range(k):
         size = np.abs(loadings[:, j])
         lead = int(np.argmax(size >= size.max() * (1 - 1e-6)))
