@@ -6,7 +6,10 @@ import itertools
 from collections.abc import Sequence
 
 from pyspark.ml import Model
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from doseframe import schemas as S
@@ -161,3 +164,31 @@ def fit_baseline(df: DataFrame, features: str, label: str, model: str = "linear"
 def predictions(model: Model, df: DataFrame, keys: Sequence[str], label: str, split: str = "split") -> DataFrame:
     """(keys, split, y, p) of every row."""
     return model.transform(df).select(*keys, split, F.col(label).cast("double").alias("y"), "p")
+
+
+def feature_importance(df: DataFrame, cols: Sequence[str], label: str, **params) -> DataFrame:
+    """(feature, importance) from boosted trees, largest first."""
+    ready = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(
+        df.select(*cols, label).where(present(label))
+    )
+    model = GBTRegressor(featuresCol="features", labelCol=label, **params).fit(ready)
+    rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def cross_validated(df: DataFrame, features: str, label: str, fold: str, k: int, space: dict[str, Sequence], metric: str = "r2") -> DataFrame:
+    """(parameters, mean, std of the metric over the folds) of a linear model."""
+    model = LinearRegression(featuresCol=features, labelCol=label)
+    grid = ParamGridBuilder()
+    for name, values in space.items():
+        grid = grid.addGrid(model.getParam(name), list(values))
+    maps = grid.build()
+    fitted = CrossValidator(
+        estimator=model, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
+        numFolds=k, foldCol=fold,
+    ).fit(df)
+    rows = [
+        (",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(a), float(s))
+        for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
+    ]
+    return df.sparkSession.createDataFrame(rows, f"parameters string, {metric}_mean double, {metric}_std double")
