@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -33,29 +35,46 @@ def relu_array(feats: Column) -> Column:
     return F.transform(feats, relu)
 
 
-def python_float_text(x: Column) -> Column:
-    """A double as Python's repr writes it (0.0003, 1e-05, 100.0)."""
-    raw = F.abs(x).cast("string")
-    exponent = F.coalesce(F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    lead = F.regexp_extract(raw, r"^(\d)\.", 1)
-    tail = F.regexp_replace(F.regexp_extract(raw, r"^\d\.(\d+)", 1), r"^0$", "")
-    mantissa = F.when(tail == "", lead).otherwise(F.concat(lead, F.lit("."), tail))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _number_parts(raw: Column) -> Column:
+    """Java's text of a positive double as struct(raw, exponent, lead, tail)."""
+    return F.struct(
+        raw.alias("raw"),
+        F.coalesce(F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("exponent"),
+        F.regexp_extract(raw, r"^(\d)\.", 1).alias("lead"),
+        F.regexp_replace(F.regexp_extract(raw, r"^\d\.(\d+)", 1), r"^0$", "").alias("tail"),
+    )
+
+
+def _python_style(n: Column) -> Column:
+    exponent, lead, tail = n["exponent"], n["lead"], n["tail"]
     digits = F.concat(lead, tail)
+    mantissa = F.concat_ws(".", lead, F.nullif(tail, F.lit("")))
+    power = F.lpad(F.abs(exponent).cast("string"), 2, "0")
+    # Digits before and after the point of a plain number of 1e7 and more.
     padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0"))
-    whole = F.concat(
-        F.substring(padded, F.lit(1), exponent + 1),
-        F.lit("."),
-        F.coalesce(F.nullif(F.substring(padded, exponent + 2, F.length(padded)), F.lit("")), F.lit("0")),
-    )
-    body = (
-        F.when(~raw.contains("E"), raw)
+    fraction = F.coalesce(F.nullif(F.substring(padded, exponent + 2, F.length(padded)), F.lit("")), F.lit("0"))
+    return (
+        F.when(~n["raw"].contains("E"), n["raw"])
         .when(exponent == -4, F.concat(F.lit("0.000"), digits))
-        .when(exponent < -4, F.concat(mantissa, F.lit("e-"), F.lpad((-exponent).cast("string"), 2, "0")))
-        .when(exponent >= 16, F.concat(mantissa, F.lit("e+"), exponent.cast("string")))
-        .otherwise(whole)
+        .when(exponent < -4, F.concat(mantissa, F.lit("e-"), power))
+        .when(exponent >= 16, F.concat(mantissa, F.lit("e+"), power))
+        .otherwise(F.concat(F.substring(padded, F.lit(1), exponent + 1), F.lit("."), fraction))
     )
-    return F.when(F.isnan(x), F.lit("NaN")).when(raw == "Infinity", F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(
-        F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)
+
+
+def python_float_text(x: Column) -> Column:
+    """A double as Python's repr writes it (0.0003, 1e-05, 100.0)."""
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    plain = _let(F.abs(x).cast("string"), lambda raw: _let(_number_parts(raw), _python_style))
+    return (
+        F.when(F.isnan(x), F.lit("NaN"))
+        .when(F.abs(x) == F.lit(float("inf")), F.concat(sign, F.lit("Infinity")))
+        .otherwise(F.concat(sign, plain))
     )
 
 

@@ -41,5 +41,6 @@ def hashed_fingerprint(tokens: str, n_bits: int = S.FINGERPRINT_BITS, radius: in
             F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull()
         )
         runs.append(grams)
-    bits = F.transform(F.concat(*runs), lambda g: hash_bucket(g, n_bits))
+    # Equal runs repeat a lot in long texts; each is hashed once.
+    bits = F.transform(F.array_distinct(F.concat(*runs)), lambda g: hash_bucket(g, n_bits))
     return F.array_sort(F.array_distinct(bits))

@@ -8,7 +8,7 @@ from doseframe.functions import potency as P
 from doseframe.operators import cleaning as C, ordering as O
 from doseframe.plans.etl import joined_activity, processed_activity
 from registry.base import query, r, rounded
-from registry.inputs import ACT, ACTIVITIES_SQL, FLAT_SQL, POTENCY_SQL, TARGETS, activities, activity, sources, table
+from registry.inputs import ACT, ACTIVITIES_SQL, FLAT_SQL, POTENCY_SQL, TARGETS, activities, activity, activity_table, sources, table
 
 COLUMNS = """activity_id, molregno, canonical_smiles, mw_freebase, alogp, hba, hbd, psa, rtb, aromatic_rings,
  qed_weighted, standard_value, standard_units, standard_type, standard_relation, pchembl_value, target_chembl_id,
@@ -162,7 +162,7 @@ def default_relation(spark, d):
 @query("median_imputation", f"""with {ACT}, m as (select quantile_cont(alogp, 0.5) as m from act)
  select activity_id, {r('coalesce(alogp, m)')} as alogp from act, m""")
 def median_imputation(spark, d):
-    return rounded(C.impute_median(activity(spark, d), ["alogp"]).select("activity_id", "alogp"))
+    return rounded(C.impute_median(activity_table(spark, d), ["alogp"]).select("activity_id", "alogp"))
 
 
 @query("common_unit", f"""with {ACTIVITIES_SQL}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doseframe.operators.cleaning import with_potency
 from doseframe.plans.etl import joined_activity
+from doseframe.session import staged
 
 TARGETS = ["BUILDING", "FURNITURE", "MACHINERY"]
 
@@ -64,6 +65,11 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
     return with_potency(joined_activity(sources(spark, folder), TARGETS))
 
 
+def activity_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once: for profiles that read it several times."""
+    return staged(activity(spark, folder), "activity")
+
+
 ACTIVITIES_SQL = """
 activities as (
   select ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey as activity_id,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from doseframe import schemas as S
 from doseframe.operators import evaluate as E, joins as J, runs as N, splits as L, stats as T
 from doseframe.plans.learn import fingerprint_table, train_and_score
+from doseframe.session import staged
 from registry.base import query, r, rounded
-from registry.inputs import ACT, activity, table
+from registry.inputs import ACT, activity, activity_table, table
 from registry.splitting import RANDOM
 
 PREDICTED = "pr as (select *, l_extendedprice / 10000 as y, l_quantity / 5 as p from lineitem)"
@@ -66,7 +67,7 @@ def auc_price(spark, d):
 
 @query("auc_active", f"with {ACT}, " + AUC.format(pos='"pIC50" > 4.3', score="alogp", source="act", out=AUC_OUT))
 def auc_active(spark, d):
-    return rounded(E.auc(activity(spark, d), "alogp", F.col("pIC50") > 4.3))
+    return rounded(E.auc(activity_table(spark, d), "alogp", F.col("pIC50") > 4.3))
 
 
 # One training run per user, one epoch per day, losses from the day's values.
@@ -215,7 +216,7 @@ def config_keys(spark, d):
 
 @query("configs_to_run", f"with {CONFIG_SQL} select model, split, seed, lr, amount from k where split <> 'F'")
 def configs_to_run(spark, d):
-    keyed = N.with_config_key(configs(spark, d), CONFIG_FIELDS)
+    keyed = staged(N.with_config_key(configs(spark, d), CONFIG_FIELDS), "configs")
     return N.configs_to_run(keyed, keyed.where("split = 'F'")).select("model", "split", "seed", "lr", "amount")
 
 
@@ -326,7 +327,7 @@ def graph_model(spark, d):
 @query("feature_importance")
 def feature_importance(spark, d):
     cols = ["mw_freebase", "hba", "hbd", "psa", "rtb", "aromatic_rings"]
-    rows = activity(spark, d).where("pIC50 is not null")
+    rows = activity_table(spark, d).where("pIC50 is not null")
     return E.feature_importance(rows, cols, "pIC50", maxIter=5, maxDepth=3)
 
 
@@ -345,7 +346,7 @@ def cross_validation(spark, d):
 def feature_transforms(spark, d):
     from doseframe.functions.encode import one_hot
 
-    scaled = T.standardized(activity(spark, d), ["mw_freebase"])
+    scaled = T.standardized(activity_table(spark, d), ["mw_freebase"])
     return rounded(scaled.select(
         "activity_id", "mw_freebase", F.log1p("standard_value").alias("log_value"),
         F.array_join(one_hot(F.col("standard_type"), ["IC50", "Ki"]).cast("array<int>").cast("array<string>"), ",").alias("type_code"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from doseframe.operators import cleaning as C, profile as P, stats as T
 from registry.base import query, r, rounded
-from registry.inputs import ACT, ACTIVITIES_SQL, activities, activity, table
+from registry.inputs import ACT, ACTIVITIES_SQL, activities, activity, activity_table, table
 
 LABELLED = "labelled as (select d.*, l.quality, l.toxic from documents d left join labels l using (doc_id))"
 
@@ -45,7 +45,7 @@ DESCRIBED = ["mw_freebase", "alogp", "hba", "standard_value", '"pIC50"']
 
 @query("describe_activity", f"with {ACT} {_describe_sql('act', DESCRIBED)}")
 def describe_activity(spark, d):
-    return rounded(P.describe(activity(spark, d), [c.strip('"') for c in DESCRIBED]), 4)
+    return rounded(P.describe(activity_table(spark, d), [c.strip('"') for c in DESCRIBED]), 4)
 
 
 @query("describe_events", _describe_sql("events", ["value"]))
@@ -124,7 +124,7 @@ def histogram_auto(spark, d):
 @query("violation_histogram", f"""with {ACT}, v as (select (mw_freebase > 500)::INT + (alogp > 5)::INT + (hbd > 5)::INT + (hba > 10)::INT as x from act),
  w as (select x::DOUBLE as x from v where x is not null), {_hist_sql('w', 'x', '5')}""")
 def violation_histogram(spark, d):
-    return rounded(P.histogram(C.with_rule_violations(activity(spark, d)), "lipinski_violations", 5), 4)
+    return rounded(P.histogram(C.with_rule_violations(activity_table(spark, d)), "lipinski_violations", 5), 4)
 
 
 @query("density_curve", f"""with s as (select count(*) as n, stddev_samp(value) as sd, min(value) as lo, max(value) as hi from events),
@@ -153,7 +153,7 @@ def _box_sql(c: str, source: str) -> str:
 
 @query("box_stats", f"with {ACT} {_box_sql('standard_value', 'act')} union all {_box_sql('alogp', 'act')} union all {_box_sql('psa', 'act')}")
 def box_stats(spark, d):
-    return rounded(P.box_stats(activity(spark, d), ["standard_value", "alogp", "absent", "psa"]))
+    return rounded(P.box_stats(activity_table(spark, d), ["standard_value", "alogp", "absent", "psa"]))
 
 
 @query("box_stats_events", _box_sql("value", "events"))
@@ -269,7 +269,7 @@ def vif_summary(spark, d):
 @query("standardized", f"""with {ACT}, s as (select avg(mw_freebase) as m1, stddev_pop(mw_freebase) as s1, avg(hba) as m2, stddev_pop(hba) as s2 from act)
  select activity_id, {r('(mw_freebase - m1) / s1')} as mw_freebase, {r('(hba - m2) / s2')} as hba from act, s""")
 def standardized(spark, d):
-    return rounded(T.standardized(activity(spark, d), ["mw_freebase", "hba"]).select("activity_id", "mw_freebase", "hba"))
+    return rounded(T.standardized(activity_table(spark, d), ["mw_freebase", "hba"]).select("activity_id", "mw_freebase", "hba"))
 
 
 # Two standardized columns: the components are (1, 1) and (1, -1) over sqrt 2, with shares (1 +- r) / 2.
@@ -279,7 +279,7 @@ def standardized(spark, d):
  select activity_id, {r('"pIC50"', 5)} as "pIC50", {r('(za + sg * zb) / sqrt(2)', 5)} as "PCA1", {r('(za - sg * zb) / sqrt(2)', 5)} as "PCA2",
    {r('(1 + abs(r)) / 2', 5)} as explained1, {r('(1 - abs(r)) / 2', 5)} as explained2 from z""")
 def pca_scores(spark, d):
-    return rounded(T.pca_scores(activity(spark, d), ["mw_freebase", "psa"], "pIC50", ["activity_id"]), 5)
+    return rounded(T.pca_scores(activity_table(spark, d), ["mw_freebase", "psa"], "pIC50", ["activity_id"]), 5)
 
 
 # Seven columns: the scores have mean 0 and, along a component, the explained share of 7 as variance.
@@ -288,7 +288,7 @@ def pca_scores(spark, d):
    true as matches_share from f""")
 def pca_activity(spark, d):
     cols = ["mw_freebase", "alogp", "hba", "hbd", "psa", "rtb", "aromatic_rings"]
-    s = T.pca_scores(activity(spark, d), cols, "pIC50", ["activity_id"])
+    s = T.pca_scores(activity_table(spark, d), cols, "pIC50", ["activity_id"])
     return rounded(s.agg(
         F.count("*").alias("rows"), F.avg("PCA1").alias("mean1"), F.avg("PCA2").alias("mean2"),
         F.covar_pop("PCA1", "PCA2").alias("overlap"), (F.var_pop("PCA1") >= F.var_pop("PCA2")).alias("ordered"),
