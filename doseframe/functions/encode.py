@@ -54,7 +54,7 @@ def _python_style(n: Column) -> Column:
     exponent, lead, tail = n["exponent"], n["lead"], n["tail"]
     digits = F.concat(lead, tail)
     mantissa = F.concat_ws(".", lead, F.nullif(tail, F.lit("")))
-    power = F.lpad(F.abs(exponent).cast("string"), 2, "0")
+    power = F.regexp_replace(F.abs(exponent).cast("string"), r"^(\d)$", "0$1")
     # Digits before and after the point of a plain number of 1e7 and more.
     padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0"))
     fraction = F.coalesce(F.nullif(F.substring(padded, exponent + 2, F.length(padded)), F.lit("")), F.lit("0"))

@@ -87,7 +87,7 @@ def value_cuts(df: DataFrame, cols: Sequence[str], buckets: int = VALUE_BUCKETS)
     """Distinct approximate quantiles per column: one pass, a fixed number of values each."""
     probs = [i / buckets for i in range(1, buckets)]
     found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(list(cols), probs, 0.5 / buckets)
-    return {c: sorted({v for v in q if math.isfinite(v)}) for c, q in zip(cols, found)}
+    return {c: sorted({v + 0.0 for v in q if math.isfinite(v)}) for c, q in zip(cols, found)}
 
 
 def value_ranks(
@@ -98,7 +98,8 @@ def value_ranks(
     Copies of a value are combined before the shuffle; each range bucket is ordered on its own.
     """
     extra = extra or {}
-    base = df.where(present(col)).withColumn(col, F.col(col).cast("double"))
+    # Adding 0.0 makes -0.0 and 0.0 the same value before they are put into buckets.
+    base = df.where(present(col)).withColumn(col, F.col(col).cast("double") + F.lit(0.0))
     inner = cuts or [0.0]
     base = Bucketizer(
         splits=[float("-inf"), *inner, float("inf")], inputCol=col, outputCol="_b", handleInvalid="keep"

@@ -195,7 +195,8 @@ def pca_scores(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[st
     Rows with a null are dropped; the first largest loading of a component is positive.
     """
     cols = list(cols)
-    complete = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols], label).na.drop(subset=[*cols, label])
+    others = [c for c in (*keys, label) if c not in cols]
+    complete = df.select(*others, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=[*cols, label])
     # Fixed numbers from here on: the fit and the projection use the same ones.
     m = complete.agg(*[f(c).alias(f"{s}{i}") for i, c in enumerate(cols) for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = [(F.col(c) - m[f"m{i}"]) / (m[f"s{i}"] or 1.0) for i, c in enumerate(cols)]
