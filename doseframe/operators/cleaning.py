@@ -33,6 +33,13 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str |
     return df.groupBy(*keys).agg(kept).select(*keys, "_row.*").select(*df.columns)
 
 
+def first_per_text(df: DataFrame, text: str, order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
+    """`first_per_key` for long texts: grouped by sha-256 and length, so a text is only shuffled
+    when it is among the columns to keep."""
+    kept = F.min_by(F.struct(*keep), F.struct(*order)).alias("_row")
+    return df.groupBy(F.sha2(text, 256).alias("_h"), F.length(text).alias("_n")).agg(kept).select("_row.*")
+
+
 def clean_activity(df: DataFrame, order: Sequence[str] = ("activity_id",)) -> DataFrame:
     """Drop rows without a finite label (NaN stays), one row per structure."""
     return first_per_key(df.where(P.finite_or_nan("pIC50")), "canonical_smiles", order)

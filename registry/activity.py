@@ -222,7 +222,7 @@ def large_targets(spark, d):
 @query("first_document_per_text", """select doc_id, source from (
   select *, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1""")
 def first_document_per_text(spark, d):
-    return C.first_per_key(table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "source")
+    return C.first_per_text(table(spark, d, "documents"), "text", ["doc_id"], ["doc_id", "source"])
 
 
 @query("exact_sample", "select o_orderkey from (select *, row_number() over (order by md5('11:' || o_orderkey)) as rn from orders) where rn <= 700")

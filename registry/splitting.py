@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doseframe.operators import profile as P, splits as L
+from doseframe.operators.featurize import featurize
 from registry.base import query, r, rounded
 from registry.inputs import table
 
@@ -61,6 +62,18 @@ def group_split_hot(spark, d):
     return out.select(F.col("o_orderkey").alias("id"), "split")
 
 
+# The group is computed once per distinct name; names with 'ring' cannot be read and have none.
+@query("scaffold_split_parts", _group_sql("part", "p_partkey", "case when p_name not like '%ring%' then p_name end"))
+def scaffold_split_parts(spark, d):
+    def scaffold(name: str) -> dict:
+        if "ring" in name:
+            raise ValueError("cannot read this structure")
+        return {"scaffold": name}
+
+    parts = featurize(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", scaffold, "scaffold string")
+    return L.assign_split(parts, "scaffold", group="scaffold").select(F.col("p_partkey").alias("id"), "split")
+
+
 @query("leakage_random", f"""with {RANDOM.format(seed=42)} select o_custkey, min(split) as first_split, max(split) as last_split,
  count(*) as rows from split group by 1 having min(split) <> max(split)""")
 def leakage_random(spark, d):

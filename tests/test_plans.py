@@ -69,4 +69,33 @@ def test_the_join_side_is_never_forced(spark):
     from registry.inputs import TARGETS, sources
 
     logical = joined_activity(sources(spark, ROOT), TARGETS)._jdf.queryExecution().optimizedPlan().toString()
-    assert "ResolvedHint" not in logical and "strategy=broadcast" not in logical
\ No newline at end of file
+    assert "ResolvedHint" not in logical and "strategy=broadcast" not in logical
+
+def test_a_hot_key_is_split_at_run_time(spark):
+    """With no side small enough to broadcast, the partition of a popular compound is split."""
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 60_000
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+        facts = spark.range(0, n, 1, 16).select(F.col("id").alias("activity_id"), hot.alias("molregno"))
+        dims = spark.range(5000).select(F.col("id").alias("molregno"), (F.col("id") * 2).alias("v"))
+        joined = facts.join(dims, "molregno")
+        assert joined.agg(F.count("*").alias("n")).first().n == n
+        joined.write.format("noop").mode("overwrite").save()
+        counted = joined.groupBy("v").agg(F.count("*").alias("n"))
+        assert counted.where("n > 1000").count() == 1
+        joined.collect()
+        assert "skew=true" in plan(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
