@@ -18,7 +18,7 @@ HEX = 16
 CUT_DIGITS = 4    # 65,536 buckets: a cut sorts 1/65,536 of the rows
 RANK_DIGITS = 3   # 4,096 buckets: the offsets table that is broadcast has at most 4,096 rows
 VALUE_BUCKETS = 1000
-SELECT_LIMIT = 1_000_000
+SELECT_LIMIT = 200_000
 
 
 def _running(sizes: DataFrame, bucket: str) -> DataFrame:
@@ -135,48 +135,65 @@ def order_statistics(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]
     for i, c in enumerate(cols):
         n = first[f"n_{i}"]
         answers[c] = (n, {})
-        for k in set(wanted[c](n)) if n else ():
-            spans[(c, k)] = (first[f"lo_{i}"], first[f"hi_{i}"], 0, n)
+        for run in _runs(wanted[c](n)) if n else ():
+            spans[(c, *run)] = (first[f"lo_{i}"], first[f"hi_{i}"], 0, n)
     spans = _narrowed(vals, spans)
     for (c, k), value in _picked(vals, spans).items():
         answers[c][1][k] = value
     return answers
 
 
+def _runs(positions: list[int]) -> list[tuple[int, int]]:
+    """Neighbouring positions as (first, last)."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(set(positions)):
+        if out and k == out[-1][1] + 1:
+            out[-1] = (out[-1][0], k)
+        else:
+            out.append((k, k))
+    return out
+
+
 def _narrowed(vals: DataFrame, spans: dict) -> dict:
+    """Spans (low, high, rows below, rows inside) shrunk to at most SELECT_LIMIT rows, or to a few values."""
     margin, accuracy = 0.0005, 10_000
-    pending = {t: s for t, s in spans.items() if s[3] > SELECT_LIMIT and s[0] < s[1]}
+    pending = [t for t, s in spans.items() if s[3] > SELECT_LIMIT and s[0] < s[1]]
     while pending:
-        order = list(pending)
-        marks = vals.agg(*[
+        # One sketch per distinct span, asked for the marks of all its positions.
+        shared: dict[tuple, list] = {}
+        for t in pending:
+            shared.setdefault((t[0], spans[t]), []).append(t)
+        found = vals.agg(*[
             F.percentile_approx(
                 F.when(F.col(c).between(lo, hi), F.col(c)),
-                [max(0.0, (k - below) / inside - margin), min(1.0, (k - below) / inside + margin)], accuracy,
-            ).alias(f"m{j}")
-            for j, (c, k) in enumerate(order) for lo, hi, below, inside in [pending[(c, k)]]
+                [q for t in members for q in (max(0.0, (t[1] - below) / inside - margin), min(1.0, (t[2] - below) / inside + margin))],
+                accuracy,
+            ).alias(f"m{g}")
+            for g, ((c, (lo, hi, below, inside)), members) in enumerate(shared.items())
         ]).first()
+        marks = {t: found[f"m{g}"][2 * i:2 * i + 2] for g, members in enumerate(shared.values()) for i, t in enumerate(members)}
         sizes = vals.agg(*[
             F.count_if(expr).alias(f"{name}{j}")
-            for j, (c, k) in enumerate(order)
-            for name, expr in (("b", F.col(c) < marks[f"m{j}"][0]), ("i", F.col(c).between(*marks[f"m{j}"])))
+            for j, t in enumerate(pending)
+            for name, expr in (("b", F.col(t[0]) < marks[t][0]), ("i", F.col(t[0]).between(*marks[t])))
         ]).first()
-        again = {}
-        for j, t in enumerate(order):
-            (lo, hi), below, inside = marks[f"m{j}"], sizes[f"b{j}"], sizes[f"i{j}"]
-            if not below <= t[1] < below + inside:
+        again = []
+        for j, t in enumerate(pending):
+            below, inside = sizes[f"b{j}"], sizes[f"i{j}"]
+            if not (below <= t[1] and t[2] < below + inside):
                 continue  # the wider span of the previous pass is still right
             shrunk = inside * 2 <= spans[t][3]
-            spans[t] = (lo, hi, below, inside)
-            if shrunk and inside > SELECT_LIMIT and lo < hi:
-                again[t] = spans[t]
+            spans[t] = (*marks[t], below, inside)
+            if shrunk and inside > SELECT_LIMIT and marks[t][0] < marks[t][1]:
+                again.append(t)
         pending = again
     return spans
 
 
 def _picked(vals: DataFrame, spans: dict) -> dict:
     groups: dict[tuple, list] = {}
-    for (c, k), (lo, hi, below, _) in spans.items():
-        groups.setdefault((c, lo, hi, below), []).append(k)
+    for (c, first, last), (lo, hi, below, _) in spans.items():
+        groups.setdefault((c, lo, hi, below), []).extend(range(first, last + 1))
     if not groups:
         return {}
     order = list(groups)

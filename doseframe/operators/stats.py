@@ -5,6 +5,7 @@ Each works on sums over all rows; only k x k numbers reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -17,24 +18,90 @@ from doseframe.functions.potency import nan_to_null, present
 from doseframe.operators.ordering import average_rank, exact_sample, value_cuts, value_ranks
 
 
-def _pairs_long(row: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with r_i_j columns to the full symmetric (x, y, r)."""
-    def cell(i: int, j: int) -> Column:
-        a, b = min(i, j), max(i, j)
-        return F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.col(f"r_{a}_{b}").alias("r"))
+class _PairSums:
+    """Sums over the rows where both columns of a pair are present, all in one aggregate.
 
-    k = len(cols)
-    return row.select(F.inline(F.array(*[cell(i, j) for i in range(k) for j in range(k)])))
+    Columns are shifted by a value near their mean, so that the sums do not cancel. Plain sums run
+    many times faster than one `corr` per pair, and columns without gaps share theirs.
+    """
+
+    def __init__(self, cols: Sequence[str], pairs: Sequence[tuple[str, str]], centre: dict[str, float], gaps: dict[str, int]):
+        self.cols, self.pairs, self.centre, self.gaps = list(cols), list(pairs), centre, gaps
+
+    @classmethod
+    def measured(cls, vals: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]]) -> "_PairSums":
+        """With means and gap counts from a first pass."""
+        row = vals.agg(*[
+            f.alias(f"{s}{i}") for i, c in enumerate(cols)
+            for s, f in (("m", F.avg(c)), ("g", F.count_if(F.col(c).isNull())))
+        ]).first()
+        centre = {c: row[f"m{i}"] if row[f"m{i}"] is not None and math.isfinite(row[f"m{i}"]) else 0.0 for i, c in enumerate(cols)}
+        return cls(cols, pairs, centre, {c: row[f"g{i}"] for i, c in enumerate(cols)})
+
+    def _name(self, kind: str, *cols: str) -> str:
+        return "_".join([kind, *[str(self.cols.index(c)) for c in cols]])
+
+    def aggregate(self, vals: DataFrame) -> DataFrame:
+        shifted = vals.select(*[(F.col(c) - F.lit(self.centre[c])).alias(c) for c in self.cols])
+        aggs = {}
+        for c in self.cols:
+            aggs[self._name("n", c)] = F.count(c)
+            aggs[self._name("s", c)] = F.sum(c)
+            aggs[self._name("q", c)] = F.sum(F.col(c) * F.col(c))
+        for x, y in self.pairs:
+            if x != y:
+                aggs[self._name("p", x, y)] = F.sum(F.col(x) * F.col(y))
+            for a, b in ((x, y), (y, x)):
+                if a != b and self.gaps[b]:
+                    where_b = F.when(F.col(b).isNotNull(), F.col(a))
+                    aggs[self._name("n", a, b)] = F.count(where_b)
+                    aggs[self._name("s", a, b)] = F.sum(where_b)
+                    aggs[self._name("q", a, b)] = F.sum(where_b * where_b)
+        return shifted.agg(*[v.alias(k) for k, v in aggs.items()])
+
+    def _one(self, kind: str, a: str, b: str) -> Column:
+        return F.col(self._name(kind, a, b) if a != b and self.gaps[b] else self._name(kind, a))
+
+    def pair_rows(self, vals: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+        """(x, y, n, mean_x, mean_y, xx, yy, xy, r) per pair: centred sums, and Pearson's r, which is
+        null without two different values on both sides. The arithmetic runs on one row per pair."""
+        def product(x: str, y: str) -> Column:
+            return F.col(self._name("q", x) if x == y else self._name("p", *((x, y) if (x, y) in self.pairs else (y, x))))
+
+        rows = self.aggregate(vals).select(F.inline(F.array(*[
+            F.struct(
+                F.lit(x).alias("x"), F.lit(y).alias("y"), self._one("n", x, y).alias("n"),
+                self._one("s", x, y).alias("sx"), self._one("s", y, x).alias("sy"),
+                self._one("q", x, y).alias("qx"), self._one("q", y, x).alias("qy"), product(x, y).alias("p"),
+                F.lit(float(self.centre[x])).alias("cx"), F.lit(float(self.centre[y])).alias("cy"),
+            ) for x, y in pairs
+        ])))
+        n = F.col("n")
+        centred = rows.select(
+            "x", "y", "n",
+            (F.try_divide("sx", n) + F.col("cx")).alias("mean_x"), (F.try_divide("sy", n) + F.col("cy")).alias("mean_y"),
+            (F.col("qx") - F.try_divide(F.col("sx") * F.col("sx"), n)).alias("xx"),
+            (F.col("qy") - F.try_divide(F.col("sy") * F.col("sy"), n)).alias("yy"),
+            (F.col("p") - F.try_divide(F.col("sx") * F.col("sy"), n)).alias("xy"),
+        )
+        r = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
+        return centred.withColumn(
+            "r", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+        )
+
+    def matrix(self, vals: DataFrame) -> DataFrame:
+        """(x, y, r) of the full symmetric matrix."""
+        return self.pair_rows(vals, [(x, y) for x in self.cols for y in self.cols]).select("x", "y", "r")
+
+
+def _values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(*[nan_to_null(c).alias(c) for c in cols])
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x, y, r) over all column pairs, each on the rows where both are present; one pass."""
-    vals = df.select(*[nan_to_null(c).alias(c) for c in cols])
-    k = len(cols)
-    row = vals.agg(*[
-        F.corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i in range(k) for j in range(i, k)
-    ])
-    return _pairs_long(row, cols)
+    """(x, y, r) over all column pairs, each on the rows where both are present."""
+    vals = _values(df, cols)
+    return _PairSums.measured(vals, cols, list(combinations(cols, 2))).matrix(vals)
 
 
 def _ranked(vals: DataFrame, cols: Sequence[str], cuts: dict[str, list[float]]) -> DataFrame:
@@ -53,19 +120,23 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Columns without missing values share one ranking; a pair with a gap gets its own.
     """
     cols = list(cols)
-    vals = df.select(*[nan_to_null(c).alias(c) for c in cols])
-    gaps = vals.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    vals = _values(df, cols)
+    found = vals.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     cuts = value_cuts(vals, cols)
-    whole = [c for c in cols if gaps[c] == 0]
-    parts = []
-    if len(whole) > 1:
-        parts.append(pearson(_ranked(vals, whole, cuts), whole).where("x < y"))
+    middle = (found["_n"] + 1) / 2.0
+
+    def ranked_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
+        sums = _PairSums(names, list(combinations(names, 2)), dict.fromkeys(names, middle), dict.fromkeys(names, 0))
+        return sums.matrix(_ranked(rows, names, cuts)).where("x < y")
+
+    whole = [c for c in cols if found[c] == 0]
+    parts = [ranked_matrix(vals, whole)] if len(whole) > 1 else []
     for a, b in combinations(cols, 2):
-        if gaps[a] or gaps[b]:
-            both = vals.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            parts.append(pearson(_ranked(both, [a, b], cuts), [a, b]).where("x < y"))
-    self_pairs = vals.agg(*[F.corr(c, c).alias(c) for c in cols]).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(c).alias("r")) for c in cols
+        if found[a] or found[b]:
+            parts.append(ranked_matrix(vals.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]))
+    varies = vals.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols])
+    self_pairs = varies.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.when(F.col(c), 1.0).alias("r")) for c in cols
     ])))
     upper = reduce(DataFrame.unionByName, parts) if parts else None
     if upper is None:
@@ -84,13 +155,12 @@ def strength(r: Column) -> Column:
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """(feature, r, strength, direction, label): features by absolute correlation with the target."""
-    vals = df.select(*[nan_to_null(c).alias(c) for c in [*cols, target]])
-    row = vals.agg(*[F.corr(c, target).alias(c) for c in cols if c != target])
+    features = [c for c in cols if c != target]
+    vals = _values(df, [*features, target])
+    sums = _PairSums.measured(vals, [*features, target], [(c, target) for c in features])
     direction = F.when(F.col("r") > 0, "↑ dodatnia").otherwise("↓ ujemna")
     return (
-        row.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in cols if c != target
-        ])))
+        sums.pair_rows(vals, sums.pairs).select(F.col("x").alias("feature"), "r")
         .withColumn("strength", strength(F.col("r")))
         .withColumn("direction", direction)
         .withColumn("label", F.format_string("%+.3f", "r"))
@@ -119,19 +189,20 @@ def correlation_summary(correlations: DataFrame) -> DataFrame:
 def trends(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """(feature, slope, intercept, low, high, n): least squares of the target on each feature,
     on all rows where both are present."""
-    y = nan_to_null(target)
-    aggs, entries = [], []
-    for i, c in enumerate(cols):
-        x = F.when(y.isNotNull(), nan_to_null(c))
-        aggs += [
-            F.regr_slope(y, nan_to_null(c)).alias(f"s{i}"), F.regr_intercept(y, nan_to_null(c)).alias(f"b{i}"),
-            F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.count(x).alias(f"n{i}"),
-        ]
-        entries.append(F.struct(
-            F.lit(c).alias("feature"), F.col(f"s{i}").alias("slope"), F.col(f"b{i}").alias("intercept"),
-            F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high"), F.col(f"n{i}").alias("n"),
-        ))
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    vals = _values(df, [*cols, target])
+    sums = _PairSums.measured(vals, [*cols, target], [(c, target) for c in cols])
+    spans = vals.agg(*[
+        f(F.when(F.col(target).isNotNull(), F.col(c))).alias(f"{s}{i}")
+        for i, c in enumerate(cols) for s, f in (("l", F.min), ("h", F.max))
+    ]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("x"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")) for i, c in enumerate(cols)
+    ])))
+    slope = F.try_divide("xy", "xx")
+    fits = sums.pair_rows(vals, sums.pairs).join(F.broadcast(spans), "x")  # one row per feature
+    return fits.select(
+        F.col("x").alias("feature"), slope.alias("slope"),
+        (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"), "low", "high", "n",
+    )
 
 
 def trend_lines(fits: DataFrame, points: int = 100) -> DataFrame:

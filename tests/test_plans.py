@@ -43,7 +43,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_profiles_are_one_pass(spark):
     line = spark.read.parquet(f"{ROOT}/lineitem.parquet")
-    for df in (P.null_counts(line), T.pearson(line, ["l_quantity", "l_tax", "l_discount"]), T.trends(line, ["l_tax"], "l_quantity")):
+    for df in (P.null_counts(line), T.pearson(line, ["l_quantity", "l_tax", "l_discount"]), T.target_correlations(line, ["l_tax"], "l_quantity")):
         assert plan(df).count("FileScan") == 1
 
 
