@@ -23,7 +23,8 @@ def hot_split_join(
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how must be 'inner', 'left' or 'left_semi'")
     whole = right.agg(F.sum(weight)).scalar() if total is None else F.lit(total)
-    is_hot = F.col(weight) * HOT_SHARE >= whole
+    # A key without a weight, or that no row has, is never hot.
+    is_hot = F.coalesce((F.col(weight) > 0) & (F.col(weight) * HOT_SHARE >= whole), F.lit(False))
     hot = right.where(is_hot).drop(weight)
     cold = right.where(~is_hot).drop(weight)
     near = left.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")

@@ -56,3 +56,11 @@ def test_mapped_label_default(spark):
     mapping = spark.createDataFrame([("a", "test", 1)], "k string, split string, n long")
     got = {r.id: r.split for r in J.mapped_label(rows, mapping, "k", "split", "train", "n").collect()}
     assert got == {1: "test", 2: "train", 3: "train"}
+
+
+def test_keys_without_rows_or_weight_are_not_hot(spark):
+    left = spark.createDataFrame([(1, "a")], "id int, k string").where("id > 1")
+    right = spark.createDataFrame([("a", 1, 0), ("b", 2, None)], "k string, v int, w long")
+    assert J.hot_split_join(left, right, "k", "inner", "w").count() == 0
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    assert sorted((r.k, r.v) for r in J.hot_split_join(rows, right, "k", "inner", "w").collect()) == [("a", 1), ("b", 2)]
