@@ -96,10 +96,11 @@ def history(spark, d):
     st + train_loss, sv + val_loss
   from w join o on o.user_id = w.user_id and o.i = w.i + 1 where idle < 4),
  f as (select *, row_number() over (partition by user_id order by i desc) as last from w)
- select user_id, best_epoch::INTEGER as best_epoch, {r('best')} as best_val_loss, i::INTEGER as epochs_trained,
-  {r('st / i')} as avg_train_loss, {r('sv / i')} as avg_val_loss from f where last = 1""")
+ select user_id, best_epoch::INTEGER as best_epoch, {r('best', 9)} as best_val_loss, i::INTEGER as epochs_trained,
+  {r('st / i', 9)} as avg_train_loss, {r('sv / i', 9)} as avg_val_loss from f where last = 1""")
 def early_stopping(spark, d):
-    return rounded(E.early_stopping(history(spark, d), run="user_id", patience=4, min_delta=0.5))
+    # Nine digits: a mean of cents over 16 or 32 epochs is often an exact tie at six.
+    return rounded(E.early_stopping(history(spark, d), run="user_id", patience=4, min_delta=0.5), 9)
 
 
 @query("epoch_metrics", f"""with {HISTORY} select user_id, epoch, 'train_loss' as metric, {r('train_loss')} as value from h
