@@ -142,3 +142,29 @@ def test_fingerprints_learn(spark):
     docs = spark.createDataFrame([(i, "good" if i % 2 else "bad thing", 8.0 if i % 2 else 4.0) for i in range(60)], "id int, canonical_smiles string, pIC50 double")
     _, table = train_and_score(fingerprint_table(docs), ["id"], "pIC50", maxIter=20)
     assert all(r.r2 > 0.99 for r in table.collect() if r.n > 1 and r.mse > 0)
+
+
+def test_importance_of_the_only_useful_feature(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), 1.0 if a > 0 else -1.0) for a, b in rng.normal(size=(300, 2))] + [(0.5, 0.5, None), (0.5, 0.5, float("nan"))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    top = E.feature_importance(df, ["b", "a"], "y", maxIter=2, maxDepth=2).collect()
+    assert top[0].feature == "a" and top[0].importance > 0.95
+
+
+def test_cross_validation_of_an_exact_line(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(120).select(
+        (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") * 2.0 + 1).alias("y"), array_to_vector(F.array(F.col("id") * 1.0)).alias("x")
+    )
+    got = {r.parameters: r for r in E.cross_validated(df, "x", "y", "fold", 3, {"regParam": [0.0, 50.0]}).collect()}
+    assert got["regParam=0.0"].r2_mean == pytest.approx(1.0) and got["regParam=0.0"].r2_std == pytest.approx(0.0, abs=1e-6)
+    assert got["regParam=50.0"].r2_mean < 0.95
+
+
+def test_trees_learn_a_step(spark):
+    rows = [(i, [float(i % 40)], 5.0 if i % 40 >= 20 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y0 double")
+    _, table = train_and_score(df, ["id"], "y0", features="x", model="trees", maxIter=3, maxDepth=2)
+    assert all(r.r2 > 0.99 for r in table.collect())
