@@ -171,14 +171,19 @@ def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
     return decode(ids)
 
 
-def digest_column(text: Column, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES) -> Column:
-    """Struct n_tokens, ids_sha256, decoded_sha256: encoded, decoded and hashed in one pass, so that
-    the ids of long texts never leave the task that made them."""
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digest_column(text: Column, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES, with_ids: bool = False) -> Column:
+    """Struct n_tokens, ids_sha256, decoded_sha256 (and ids): encoded, decoded and hashed in one pass.
+
+    Without `with_ids` the ids of long texts never leave the task that made them.
+    """
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = Tokenizer(ranks, pattern, leaf)
         for texts in batches:
-            rows = [tokenizer.digest(tokenizer.encode(t)) for t in texts]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = []
+            for t in texts:
+                ids = tokenizer.encode(t)
+                rows.append((*tokenizer.digest(ids), *([ids] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:3 + with_ids])
 
     return digest(text)
