@@ -17,7 +17,7 @@ from doseframe.session import staged
 # Labelled rows of each class that a classifier is fitted on at most (chosen by a hash of the id).
 FIT_ROWS_PER_CLASS = 5_000
 # Terms a classifier uses at most, and the least evidence (likelihood ratio statistic) and rows of each.
-MAX_TERMS, LEAST_EVIDENCE, LEAST_ROWS = 4_096, 20.0, 5
+MAX_TERMS, LEAST_EVIDENCE, LEAST_ROWS = 4_096, 15.0, 4
 PREFIXES = (4, 5, 6)
 EDGE = b".,;:!?\"'()[]{}<>*#&-_"
 
