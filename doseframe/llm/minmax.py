@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doseframe.llm.components import components
+from doseframe.llm.sieve import sieve
 from doseframe.session import staged
 
 # 48 bands of 6 values (3 permutations): a pair of similarity 0.8 is missed with a chance of 5e-7.
@@ -25,10 +26,10 @@ SALTS = 16
 # Pivot orders of the buckets: a member is first compared with this many classes at most in a group of copies.
 PIVOTS = 8
 # Pairs of a bucket whose signatures agree less than this many standard deviations below the similarity are
-# not worth a comparison of full sets (1e-9 of the pairs at the threshold).
-DEVIATIONS = 6.0
-# Members of one bucket that are compared in one group at most, and rows of small buckets that share a group.
-BLOCK, GROUP_ROWS = 1_024, 4_000
+# not worth a comparison of full sets (3e-7 of the pairs at the threshold).
+DEVIATIONS = 5.0
+# Members that are compared in one block at most; rows and bytes of small groups that share a task.
+BLOCK, GROUP_ROWS, GROUP_BYTES = 512, 1_000, 8 << 20
 # Shingles hashed at once, and bytes of text at once (bounds memory for very long texts).
 CHUNK, TEXT_CHUNK = 512, 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -142,8 +143,8 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def sketch_column(text: Column, shingle: int) -> Column:
-    """Struct n, digest (of the full set), bands, kinds (packed set); null digest and no bands for empty sets."""
-    @F.pandas_udf("n long, digest binary, bands array<long>, signature binary, kinds binary")
+    """Struct n, digest (of the full set), bands; null digest and no bands for empty sets."""
+    @F.pandas_udf("n long, digest binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         make = Sketcher(shingle)
         for texts in batches:
@@ -152,15 +153,27 @@ def sketch_column(text: Column, shingle: int) -> Column:
                 kinds = make.set_of(t)
                 if len(kinds):
                     digest = hashlib.blake2b(kinds.tobytes(), digest_size=16).digest()
-                    bands, signature = make.bands_of(kinds)
-                    rows.append((len(kinds), digest, bands.view(np.int64), signature, packed(kinds)))
+                    rows.append((len(kinds), digest, make.bands_of(kinds)[0].view(np.int64)))
                 else:
-                    rows.append((0, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["n", "digest", "bands", "signature", "kinds"])
+                    rows.append((0, None, None))
+            yield pd.DataFrame(rows, columns=["n", "digest", "bands"])
 
     return sketch(text)
 
 
+def set_column(text: Column, shingle: int) -> Column:
+    """Struct signature (a byte for each value) and kinds (packed set)."""
+    @F.pandas_udf("signature binary, kinds binary")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        make = Sketcher(shingle)
+        for texts in batches:
+            kinds = [make.set_of(t) for t in texts]
+            rows = [(make.bands_of(k)[1], packed(k)) if len(k) else (b"", b"") for k in kinds]
+            yield pd.DataFrame(rows, columns=["signature", "kinds"])
+
+    return sets(text)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; sets has (class, n, kinds)."""
     @F.pandas_udf("boolean")
@@ -185,40 +198,52 @@ def _least_agreeing(values: int, percent: int) -> float:
     return values * percent / 100 - DEVIATIONS * np.sqrt(values * percent * (100 - percent)) / 100
 
 
-def _across(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different parts whose sizes and signatures allow the similarity.
+def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different parts.
 
-    Large buckets are cut into blocks by a hash, and every pair of blocks is one group; small buckets
-    share groups. Only pairs that pass leave a group.
+    Buckets with the same smallest class are taken together, so that a group of copies, which shares many
+    buckets, is sent once and not once for every band. Large groups are cut into blocks by a hash, and every
+    pair of blocks is compared on its own. Sizes and signatures rule most pairs out, full sets decide, and
+    only links leave a task.
     """
-    sizes = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    cut = apart.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = staged(cut.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "class", "n", "part", "top", "signature"), "blocks")
-    groups = cut.count() // GROUP_ROWS + 1
-    cut = cut.withColumn("group", F.pmod(F.xxhash64("band", "i", "j"), F.lit(groups)))
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        found_a, found_b = [], []
-        for _, rows in pdf.groupby(["band", "i", "j"], sort=False):
+    leads = apart.groupBy("band").agg(F.min("class").alias("lead"))
+    found = apart.join(leads, "band").select("lead", "class", "n", "part").distinct()
+    sizes = found.groupBy("lead").agg(
+        F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("part").alias("p"), F.max("part").alias("q")
+    ).where("p <> q").select("lead", "blocks")
+    cut = found.join(sizes, "lead").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "part")
+    cut = staged(cut.join(sets, "class"), "blocks")
+    amount = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("kinds")), F.lit(0)).alias("bytes")).first()
+    groups = amount["n"] // GROUP_ROWS + amount["bytes"] // GROUP_BYTES + 1
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups)))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = set()
+        for (_, i, j), rows in pdf.groupby(["lead", "i", "j"], sort=False):
             sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint8).reshape(len(rows), -1)
-            n, part, name = rows["n"].to_numpy(), rows["part"].to_numpy(), rows["class"].to_numpy()
-            # A pair with the pivot has been compared already.
-            rest = np.flatnonzero(name != rows["top"].to_numpy())
+            n, part, name, mine = (rows[c].to_numpy() for c in ("n", "part", "class", "mine"))
+            kinds = [None] * len(rows)
+            packs = list(rows["kinds"])
             # A first look at a part of the signature drops most pairs.
             looks = [(s, _least_agreeing(s.shape[1], percent)) for s in (np.ascontiguousarray(sig[:, ::4]), sig)]
-            for x, k in enumerate(rest[:-1]):
-                others = rest[x + 1:]
-                others = others[(part[others] != part[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)]
+            for k in range(len(rows) - 1):
+                others = np.arange(k + 1, len(rows))
+                fit = (part[others] != part[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)
+                others = others[fit & (mine[others] != mine[k])] if i != j else others[fit]
                 for s, least in looks:
                     others = others[np.count_nonzero(s[others] == s[k], axis=1) >= least]
-                if len(others):
-                    found_a.append(np.full(len(others), name[k]))
-                    found_b.append(name[others])
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (found_a, found_b))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+                for o in others:
+                    for x in (k, o):
+                        if kinds[x] is None:
+                            kinds[x] = unpacked(packs[x])
+                    common = shared(kinds[k], kinds[o])
+                    if 100 * common >= percent * (len(kinds[k]) + len(kinds[o]) - common):
+                        out.add((max(name[k], name[o]), min(name[k], name[o])))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    return cut.groupBy("group").applyInPandas(pairs, "a long, b long").distinct()
+    return cut.groupBy("group").applyInPandas(links, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -240,22 +265,34 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
         F.col(key).alias("key"), text_hash(F.col(text)).alias("text_hash"), sketch_column(F.col(text), shingle).alias("s"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    rows = staged(rows.select("key", "text_hash", "rid", "s.n", "s.digest", "s.bands", "s.signature", "s.kinds"), "sketches")
+    rows = staged(rows.select("key", "text_hash", "rid", "s.n", "s.digest", "s.bands"), "sketches")
 
     # A class is named by the row id of its first row: by key, then by row.
-    order = F.struct(F.col("key").isNull(), "key", "rid")
+    order = F.struct(F.col("key").isNull(), "key", "rid", "text_hash")
     classes = staged(rows.where("digest is not null").groupBy("digest").agg(
         F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"),
-    ).select(F.col("least.rid").alias("class"), F.col("least.key").alias("key"), "digest", "n", "bands", "copies"), "classes")
+    ).select(
+        F.col("least.rid").alias("class"), F.col("least.key").alias("key"), F.col("least.text_hash").alias("text_hash"),
+        "digest", "n", "bands", "copies",
+    ), "classes")
 
+    # Only keys are shuffled to find the bands that classes share; a sieve spares most others the join.
     members = classes.select("class", "n", F.explode("bands").alias("band"))
+    common = staged(members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "common")
+    members = staged(members.where(sieve(common)(F.col("band"))).join(common, "band"), "members")
     turn = F.xxhash64("class", F.pmod("band", F.lit(PIVOTS)))
-    tops = members.groupBy("band").agg(F.min(F.struct(turn, "class", "n")).alias("t"), F.count("*").alias("m")).where("m > 1")
+    tops = members.groupBy("band").agg(F.min(F.struct(turn, "class", "n")).alias("t"))
     tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.n").alias("top_n"))
     buckets = staged(members.join(tops, "band"), "buckets")
-    # Sets of the classes that share a bucket at all: the only ones that are ever moved.
-    sets = rows.select(F.col("rid").alias("class"), "signature", "kinds").join(buckets.select("class").distinct(), "class", "left_semi")
-    sets = staged(sets, "sets")
+
+    # Full sets are made of the texts whose class shares a band at all, and only those texts are moved.
+    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", F.col("key").alias("_key"), F.col("text_hash").alias("_hash"))
+    wanted = staged(wanted, "wanted")
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
+    texts = texts.where(sieve(wanted.select(F.xxhash64("_key", "_hash")))(F.xxhash64("key", "text_hash")))
+    texts = texts.join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash")))
+    sets = texts.select("class", set_column(F.col("text"), shingle).alias("s")).groupBy("class").agg(F.first("s").alias("s"))
+    sets = staged(sets.select("class", "s.signature", "s.kinds"), "sets")
     star = _sizes_fit(buckets.where("class <> top"), "n", "top_n", percent)
     pairs = star.select(F.greatest("class", "top").alias("a"), F.least("class", "top").alias("b")).distinct()
     links = staged(_confirmed(pairs, sets, percent), "links")
@@ -263,12 +300,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
 
     # Buckets whose members are still in several parts.
     part = F.coalesce("label", "class")
-    apart = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", "top", part.alias("part"))
+    apart = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", part.alias("part"))
     mixed = apart.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"))
     mixed = mixed.where("p <> q and m > 2").select("band")
-    apart = apart.join(mixed, "band", "left_semi").join(sets.select("class", "signature"), "class")
-    across = _across(staged(apart, "apart"), percent)
-    more = staged(_confirmed(across, sets, percent), "links")
+    apart = staged(apart.join(mixed, "band", "left_semi").select("band", "class", "n", "part"), "apart")
+    more = staged(_across(apart, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -307,21 +343,22 @@ def keep_one(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int
     def same(other: DataFrame):
         return marked[key].eqNullSafe(other["_key"]) & (marked["_hash"] == other["_hash"])
 
-    gone = rows.where(~F.col("stays")).select("_key", "_hash")
+    gone = staged(rows.where(~F.col("stays")).select("_key", "_hash"), "gone")
     again = staged(rows.where(F.col("stays") & (F.col("n") > 1) & (F.col("size") > 0)).select("_key", "_hash"), "again")
+    touched = gone.unionByName(again)
+    may_go = F.coalesce(sieve(touched.select(F.xxhash64("_key", "_hash")))(F.xxhash64(F.col(key), F.col("_hash"))), F.lit(False))
+    out = marked.where(~may_go).unionByName(marked.where(may_go).join(touched, same(touched), "left_anti")).drop("_hash")
     if again.isEmpty():
-        return marked.join(gone, same(gone), "left_anti").drop("_hash")
-    out = gone.unionByName(again)
+        return out
     rest = [c for c in df.columns if c not in (key, text)]
-    one = marked.join(again, same(again), "left_semi").drop("_hash").groupBy(key, text).agg(F.min(F.struct(*rest)).alias("_rest")) if rest else (
-        marked.join(again, same(again), "left_semi").select(key, text).distinct()
-    )
-    one = one.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
-    return marked.join(out, same(out), "left_anti").drop("_hash").unionByName(one)
+    extra = marked.where(may_go).join(again, same(again), "left_semi").drop("_hash")
+    one = extra.groupBy(key, text).agg(F.min(F.struct(F.lit(0), *rest)).alias("_rest"))
+    return out.unionByName(one.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]))
 
 
 def text_hash(text: Column) -> Column:
-    """Two hashes of a text as one string; equal for equal texts."""
+    """Two hashes and the length of a text as one string; the same for null and empty texts."""
+    text = F.coalesce(text, F.lit(""))
     return F.concat_ws("/", F.xxhash64(text), F.crc32(text.cast("binary")), F.length(text))
 
 
