@@ -3,8 +3,8 @@
 The model predicts the next subword from a window of at least CONTEXT subwords before it: one attention head
 with a bias for each distance, a hidden layer, and a two-level softmax (class, then slot of the class). Texts
 are cut into chunks of SCORED subwords; each chunk is read together with the subwords before it, so that
-windows overlap and every subword is scored once. A word's probability is the mean of that model's and of
-the word's smoothed share in the corpus, so that frequent words are known by heart.
+windows overlap and every subword is scored once. A word's probability is a weighted mean of that model's
+and of the word's smoothed share in the corpus (weight MIX), so that frequent words are known by heart.
 
 Counts cover every training text. The network sees the training texts whose id falls into one of TRAIN_PARTS
 folds (a fixed share at every size), in rounds: each task trains on its chunks from the common parameters, and
@@ -26,15 +26,15 @@ from doseframe.llm.text import id_fold, words
 from doseframe.session import staged
 
 # Slots (the most frequent subwords; the last slot stands for all others), slots of a class, sizes of the network.
-SLOTS, CLASS, WIDTH, HIDDEN = 2_048, 64, 16, 24
+SLOTS, CLASS, WIDTH, HIDDEN = 1_024, 32, 16, 16
 # Subwords scored with one window, and subwords before them that it holds.
-SCORED = CONTEXT = 16
+SCORED, CONTEXT = 16, 8
 # Share (1 / TRAIN_PARTS) of the training texts the network sees, rounds, chunks of a step, step size.
-TRAIN_PARTS, ROUNDS, STEP_CHUNKS, RATE = 8, 3, 64, 0.15
+TRAIN_PARTS, ROUNDS, STEP_CHUNKS, RATE = 16, 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
 KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 300_000, 400_000, 32_768
-MIX = 0.5
+MIX = 0.6
 
 
 class Subwords:
@@ -144,7 +144,7 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
-    """Hidden states of the scored positions, and what the gradient needs."""
+    """Hidden states of the scored positions, and what the gradient needs; `Scorer.states` gives the same states."""
     outside = inputs > SLOTS
     x = w["embed"][np.where(outside, SLOTS, inputs)]
     own = x[:, CONTEXT:]
@@ -159,18 +159,8 @@ def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
     return state, (x, q, k, v, attend, mixed, outside)
 
 
-def target_logs(w: dict[str, np.ndarray], state: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target slot; state (n, HIDDEN)."""
-    kind, slot = target // CLASS, target % CLASS
-    n = np.arange(len(target))
-    out = _log_softmax(state @ w["class"] + w["class_bias"])[n, kind]
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(SLOTS // CLASS + 1))
-    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if a < b:
-            rows = order[a:b]
-            out[rows] += _log_softmax(state[rows] @ w["slot"][c] + w["slot_bias"][c])[np.arange(b - a), slot[rows]]
-    return out
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
 
 
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -203,7 +193,7 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     dstate[take] = dh / m
     dz = dstate.reshape(state.shape) * (1 - state * state)
     own = x[:, CONTEXT:]
-    g["own"], g["seen"], g["hidden"] = np.einsum("bsw,bsh->wh", own, dz), np.einsum("bsw,bsh->wh", mixed, dz), dz.sum(axis=(0, 1))
+    g["own"], g["seen"], g["hidden"] = _outer(own, dz), _outer(mixed, dz), dz.sum(axis=(0, 1))
     dmixed = dz @ w["seen"].T
     dv = np.matmul(attend.transpose(0, 2, 1), dmixed)
     dattend = np.matmul(dmixed, v.transpose(0, 2, 1))
@@ -212,11 +202,13 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     np.add.at(g["near"], np.maximum(BACK, 0), np.where(BACK < 0, 0, by_pair))
     dscore /= np.float32(np.sqrt(WIDTH))
     dq, dk = np.matmul(dscore, k), np.matmul(dscore.transpose(0, 2, 1), q)
-    g["q"] = np.einsum("bsw,bsu->wu", own, dq)
-    g["k"], g["v"] = np.einsum("bsw,bsu->wu", x, dk), np.einsum("bsw,bsu->wu", x, dv)
+    g["q"], g["k"], g["v"] = _outer(own, dq), _outer(x, dk), _outer(x, dv)
     dx = dk @ w["k"].T + dv @ w["v"].T
     dx[:, CONTEXT:] += dq @ w["q"].T + dz @ w["own"].T
-    np.add.at(g["embed"], np.where(outside, SLOTS, inputs)[~outside], dx[~outside])
+    dx, which = dx[~outside], inputs[~outside]
+    order = np.argsort(which, kind="stable")
+    rows, first = np.unique(which[order], return_index=True)
+    g["embed"][rows] = np.add.reduceat(dx[order], first, axis=0)
     return float(loss) / m, g
 
 
@@ -233,18 +225,63 @@ def train(net: Network, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     return Network(net.slot_of, net.rest_log10, w), seen
 
 
-def subword_log10(net: Network, ids: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of every subword id of some texts (each an array that ends with the end id), flat."""
-    flat = np.concatenate(ids)
-    slots = net.slot_of[flat]
-    ends = np.cumsum([len(i) for i in ids])
-    inputs, targets, place = chunked(slots, np.concatenate(([0], ends[:-1])), ends)
-    out = np.empty(len(flat))
-    for a in range(0, len(inputs), 512):
-        state, _ = forward(net.weights, inputs[a:a + 512])
-        real = place[a:a + 512] >= 0
-        out[place[a:a + 512][real]] = target_logs(net.weights, state[real], targets[a:a + 512][real])
-    return out / np.log(10) + net.rest_log10[flat]
+class Scorer:
+    """A trained network made ready for scoring: what depends on one subword alone is looked up by its slot.
+
+    The last coordinate of q and k carries the mask of places outside a text, that of v counts the
+    attention, so that masked attention is two matrix products around one exponential.
+    """
+
+    def __init__(self, net: Network):
+        w = net.weights
+        self.net, self.w = net, w
+        embed = np.concatenate((w["embed"], w["embed"][SLOTS:]))  # the last row: outside
+        one = np.ones((len(embed), 1), dtype=np.float32)
+        outside = np.where(np.arange(len(embed)) > SLOTS, np.float32(-1e4), np.float32(0))[:, None]
+        self.q = np.concatenate((embed @ w["q"] / np.float32(np.sqrt(WIDTH)), one), axis=1)
+        self.k = np.concatenate((embed @ w["k"], outside), axis=1)
+        self.v = np.concatenate((embed @ w["v"], one), axis=1)
+        self.own = embed @ w["own"] + w["hidden"]
+        self.near = np.where(BACK < 0, np.float32(-1e4), w["near"][np.maximum(BACK, 0)])
+
+    def states(self, inputs: np.ndarray) -> np.ndarray:
+        own = inputs[:, CONTEXT:]
+        score = np.matmul(self.q[own], self.k[inputs].transpose(0, 2, 1))
+        score += self.near
+        np.exp(np.minimum(score, np.float32(60), out=score), out=score)
+        mixed = np.matmul(score, self.v[inputs])
+        mixed = mixed[:, :, :WIDTH] / np.maximum(mixed[:, :, WIDTH:], np.float32(1e-30))
+        return np.tanh(self.own[own] + mixed @ self.w["seen"])
+
+    def logs(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target slot."""
+        kind, slot = target // CLASS, target % CLASS
+        order = np.argsort(kind, kind="stable")
+        state, kind, slot = state[order], kind[order], slot[order]
+        z = state @ self.w["class"] + self.w["class_bias"]
+        got = z[np.arange(len(z)), kind] - np.log(np.exp(z) @ np.ones(z.shape[1], dtype=np.float32))
+        cuts = np.searchsorted(kind, np.arange(SLOTS // CLASS + 1))
+        ones = np.ones(CLASS, dtype=np.float32)
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                z = state[a:b] @ self.w["slot"][c] + self.w["slot_bias"][c]
+                got[a:b] += z[np.arange(b - a), slot[a:b]] - np.log(np.exp(z) @ ones)
+        out = np.empty(len(target), dtype=np.float32)
+        out[order] = got
+        return out
+
+    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of every subword id of some texts (each an array that ends with the end id), flat."""
+        flat = np.concatenate(ids)
+        slots = self.net.slot_of[flat]
+        ends = np.cumsum([len(i) for i in ids])
+        inputs, targets, place = chunked(slots, np.concatenate(([0], ends[:-1])), ends)
+        out = np.empty(len(flat))
+        for a in range(0, len(inputs), 512):
+            here = place[a:a + 512]
+            real = here >= 0
+            out[here[real]] = self.logs(self.states(inputs[a:a + 512])[real], targets[a:a + 512][real])
+        return out / np.log(10) + self.net.rest_log10[flat]
 
 
 # --- the corpus on Spark ---------------------------------------------------------------------------------------
@@ -371,11 +408,11 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, ranks: dict[by
     head = _head(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sub = Subwords(ranks, pattern)
+        sub, scorer = Subwords(ranks, pattern), Scorer(net)
         get = head.get
 
         def finish(texts: list[list[bytes]], got: list[tuple[list[int], list[int]]]) -> list[tuple]:
-            logs = subword_log10(net, [np.array(ids) for ids, _ in got])
+            logs = scorer.log10([np.array(ids) for ids, _ in got])
             sizes = np.concatenate([np.array(s) for _, s in got])
             logs = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
             out, at = [], 0
