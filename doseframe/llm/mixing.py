@@ -108,14 +108,17 @@ def member_column(text: Column, model: Membership) -> Column:
 
 
 def _sums(members: DataFrame, rates: Rates, domains: int) -> np.ndarray:
-    """Expected domain tokens at the rates, then the tokens of each pair of domains, in one distributed sum."""
+    """Expected domain tokens at the rates, then the tokens of each pair of domains among documents with a rate
+    above 0, in one distributed sum."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(domains + domains * domains)
         for pdf in batches:
             if len(pdf):
                 p, n = np.stack(pdf["p"]), pdf["n_tokens"].to_numpy(float)
-                total[:domains] += (n * rates.of(p)) @ p
-                total[domains:] += (p.T @ (n[:, None] * p)).ravel()
+                rate = rates.of(p)
+                free = rate > 0
+                total[:domains] += (n * rate) @ p
+                total[domains:] += (p[free].T @ (n[free, None] * p[free])).ravel()
         yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
 
     rows = members.select("n_tokens", "p").mapInPandas(partial, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
@@ -129,8 +132,9 @@ def fit_rates(members: DataFrame, shares: list[float], anchor: int | None = None
     """Rates whose expected domain tokens meet `shares` of a total; members has n_tokens and p.
 
     The total is that of all documents; with `anchor` it is the one at which that domain keeps the tokens it
-    has. Residuals are weighted by the inverse of the domains' token matrix, so that a step without an
-    active bound is exact. Targets of domains without any token cannot be met and are left out.
+    has. Residuals are weighted by the inverse of the token matrix of the documents above the bound, so that
+    a step is exact while the same documents stay there. Targets that no rates can meet (domains without
+    any token among them) are approached; `residual` tells how far.
     """
     if len(shares) == 0 or min(shares) < 0 or not sum(shares) > 0:
         raise ValueError("shares are not negative and one is positive")
@@ -141,14 +145,14 @@ def fit_rates(members: DataFrame, shares: list[float], anchor: int | None = None
     target = np.array(shares) / sum(shares)
     total = have.sum() if anchor is None or target[anchor] == 0 else have[anchor] / target[anchor]
     target = target * total
-    inverse = np.linalg.pinv(matrix, rcond=1e-10, hermitian=True)
     got = have
     for _ in range(STEPS):
         rates.residual = got - target
         if np.abs(rates.residual).max(initial=0) <= TOLERANCE * max(total, 1.0):
             break
-        rates.steps.append(inverse @ rates.residual)
-        got = _sums(members, rates, k)[:k]
+        rates.steps.append(np.linalg.pinv(matrix, rcond=1e-10, hermitian=True) @ rates.residual)
+        sums = _sums(members, rates, k)
+        got, matrix = sums[:k], sums[k:].reshape(k, k)
     rates.residual = got - target
     return rates
 
