@@ -81,16 +81,16 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 def early_stopping(
     history: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss", train_loss: str = "train_loss",
-    max_epochs: int = S.EPOCHS, patience: int = S.PATIENCE, min_delta: float = S.MIN_DELTA,
+    max_epochs: int | None = None, patience: int = S.PATIENCE, min_delta: float = S.MIN_DELTA,
 ) -> DataFrame:
     """Per run: best_epoch, best_val_loss, epochs_trained and the mean losses up to the stop.
 
     An epoch improves when its loss is below the best by more than min_delta; training stops after
-    `patience` epochs without. The history has one row per run and epoch 1..max_epochs, so the
-    ordered list of a run never has more than max_epochs entries.
+    `patience` epochs without. best_epoch is the epoch's own number, -1 where none improves. All epochs
+    count unless `max_epochs` is given; a run's list is as long as its training.
     """
-    inside = history.where(F.col(epoch).between(1, max_epochs))
-    # One entry per epoch even if the log holds copies of a row.
+    inside = history if max_epochs is None else history.where(F.col(epoch) <= max_epochs)
+    # One entry per epoch even if the log holds copies of a row: the copy with the smallest loss.
     steps = inside.groupBy(run, epoch).agg(F.min_by(F.struct(train_loss, loss), F.struct(loss, train_loss)).alias("_row"))
     listed = steps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
         F.col(epoch).cast("int").alias("e"), F.col(f"_row.{loss}").cast("double").alias("v"),
@@ -106,7 +106,7 @@ def early_stopping(
         better = F.coalesce(x["v"] < acc["best"] - min_delta, F.lit(False))
         moved = F.struct(
             F.when(better, x["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(better, acc["seen"] + 1).otherwise(acc["best_epoch"]).alias("best_epoch"),
+            F.when(better, x["e"]).otherwise(acc["best_epoch"]).alias("best_epoch"),
             F.when(better, 0).otherwise(acc["idle"] + 1).alias("idle"),
             (acc["seen"] + 1).alias("seen"), (acc["sv"] + x["v"]).alias("sv"), (acc["st"] + x["t"]).alias("st"),
         )
@@ -126,8 +126,9 @@ def parameter_grid(spark: SparkSession, space: dict[str, Sequence], seeds: Seque
     return spark.createDataFrame(list(itertools.product(*axes.values())), list(axes))
 
 
-def tuning_table(results: DataFrame, keys: Sequence[str] = S.GRID_KEY) -> DataFrame:
-    """Mean and population std of r2_val and best_val_loss over seeds, best configuration first."""
+def tuning_table(results: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Mean and population std of r2_val and best_val_loss over the seeds of a model, split and configuration, best first."""
+    keys = keys or [*(c for c in ("model", "split") if c in results.columns), *S.GRID_KEY]
     metrics = [("r2_val", F.avg, "mean"), ("r2_val", F.stddev_pop, "std"), ("best_val_loss", F.avg, "mean"), ("best_val_loss", F.stddev_pop, "std")]
     return (
         results.groupBy(*keys)
@@ -146,9 +147,9 @@ def results_report(results: DataFrame) -> DataFrame:
 
 
 def comparison_report(results: DataFrame, splits: Sequence[str] = ("random", "scaffold")) -> DataFrame:
-    """One row per model: best loss and R2 on each split."""
+    """One row per model: loss and R2, on each split, of the run with the least loss (of equal ones the best R2)."""
     return results.groupBy("model").pivot("split", list(splits)).agg(
-        F.min("best_val_loss").alias("loss"), F.max("r2_val").alias("r2")
+        F.min("best_val_loss").alias("loss"), F.min_by("r2_val", F.struct("best_val_loss", -F.col("r2_val"))).alias("r2")
     )
 
 

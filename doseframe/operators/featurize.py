@@ -23,6 +23,8 @@ def _applied(fn: Callable[[str], dict | None], key: str, columns: list[str]):
             for text in batch[key]:
                 try:
                     found.append(fn(text) or {})
+                except (ImportError, MemoryError, OSError):  # of the machine, not of the structure
+                    raise
                 except Exception:  # an invalid structure has no features
                     found.append({})
             yield batch.assign(**{c: pd.Series([f.get(c) for f in found], dtype=object, index=batch.index) for c in columns})

@@ -37,7 +37,8 @@ def run_log(results: DataFrame, sizes: DataFrame | None = None, project: str = "
             row = sizes.agg(F.struct(*[F.first(c).alias(c) for c in ("n_train", "n_val", "n_test")]).alias("s")).scalar()
             results = results.withColumns({c: row.getField(c) for c in ("n_train", "n_val", "n_test")})
     known = results.columns
-    params = [c for c in S.RESULT_SCHEMA.names if c in known and c not in metrics and c not in ("model", "split")]
+    # Every other column of a result row is a parameter of its run.
+    params = [c for c in known if c not in metrics and c not in ("model", "split")]
     return results.select(
         F.concat_ws("_", "model", "split", F.concat(F.lit("seed"), F.col("seed"))).alias("run_name"),
         _map(tags, "string").alias("tags"),

@@ -13,7 +13,6 @@ from doseframe.operators.joins import HOT_SHARE, mapped_label
 from doseframe.operators.ordering import RANK_DIGITS, hash_cuts
 from doseframe.session import staged
 
-BROADCAST_SIZES = 100_000
 
 
 def random_split(
@@ -97,8 +96,6 @@ def group_split(
         [(c, len(runs) > 1 or "/" in runs[0][2], runs) for c, runs in plans.items()],
         "_n bigint, mixed boolean, runs array<struct<first:bigint,last:bigint,label:string>>",
     )
-    if len(plans) <= BROADCAST_SIZES:
-        table = F.broadcast(table)
     used = groups.join(table, "_n")
     plain = used.where(~F.col("mixed")).select(group, "_n", F.element_at("runs", 1)["label"].alias("split"))
     run = F.element_at(F.filter("runs", lambda r: F.col("pos").between(r["first"], r["last"])), 1)

@@ -222,8 +222,17 @@ def scatter_sample(df: DataFrame, cols: Sequence[str], keys: Sequence[str], cap:
     return exact_sample(complete, cap, keys, seed).select(*keys, *[c for c in cols if c not in keys])
 
 
+def _inflation(unit: np.ndarray, i: int) -> float:
+    """1 / (1 - R2) of column i on the others, infinite where they give it exactly."""
+    if not np.isfinite(unit).all():
+        return float("nan")
+    others = np.arange(len(unit)) != i
+    left = 1.0 - unit[i, others] @ np.linalg.pinv(unit[np.ix_(others, others)], rcond=1e-12, hermitian=True) @ unit[others, i]
+    return float(1.0 / left) if left > 1e-12 else float("inf")
+
+
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, vif, label) without intercept, from one pass of cross-product sums."""
+    """(feature, vif, label) without intercept, from one pass of cross-product sums; collinear columns are infinite."""
     cols = list(cols)
     vals = df.select(*[nan_to_null(c).alias(c) for c in cols]).na.drop()
     k = len(cols)
@@ -234,8 +243,8 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         gram[i, j] = gram[j, i] = np.nan if sums[f"g{i}_{j}"] is None else sums[f"g{i}_{j}"]
     scale = np.sqrt(np.diag(gram))
     # Unit diagonal first: columns may differ by many orders of magnitude.
-    inverse = np.linalg.inv(gram / np.outer(scale, scale))
-    rows = [(c, float(inverse[i, i])) for i, c in enumerate(cols)]
+    unit = gram / np.outer(scale, scale)
+    rows = [(c, _inflation(unit, i)) for i, c in enumerate(cols)]
     found = df.sparkSession.createDataFrame(rows, "feature string, vif double")
     label = F.when(F.col("vif") > 10, "strong").when(F.col("vif") > 5, "moderate").otherwise("none")
     return found.withColumn("label", label).orderBy(F.desc("vif"), "feature")

@@ -11,7 +11,7 @@ from doseframe.operators.cleaning import label_valid
 from doseframe.operators.evaluate import fit_baseline, predictions, regression_scores
 from doseframe.operators.featurize import with_fingerprint, with_vector
 from doseframe.operators.splits import assign_split
-from doseframe.session import spread, staged
+from doseframe.session import staged
 
 
 def fingerprint_table(df: DataFrame, structure: str = "canonical_smiles", label: str = "pIC50") -> DataFrame:
@@ -19,7 +19,7 @@ def fingerprint_table(df: DataFrame, structure: str = "canonical_smiles", label:
 
     Only a missing text has no bits, so the filter runs on the text, before any hashing.
     """
-    return with_fingerprint(spread(label_valid(df, structure, label)), structure)
+    return with_fingerprint(label_valid(df, structure, label), structure)
 
 
 def train_and_score(

@@ -6,13 +6,12 @@ from pyspark.sql import types as T
 
 # ---- fixed values -----------------------------------------------------------
 TARGET_IDS = ["CHEMBL220", "CHEMBL4822", "CHEMBL3177"]
-ROW_LIMIT = 2_000_000
 NANOMOLAR = "nM"
 IMPUTE_LOW, IMPUTE_HIGH = 0.01, 1e6
 FINGERPRINT_BITS = 2048
 SPLIT_SEED = 42
 TEST_SIZE, VAL_SIZE = 0.1, 0.1
-EPOCHS, PATIENCE, MIN_DELTA, BATCH_SIZE = 100, 12, 1e-4, 64
+PATIENCE, MIN_DELTA, BATCH_SIZE = 12, 1e-4, 64
 
 NUMERIC_FEATURES = [
     "mw_freebase", "alogp", "hba", "hbd", "psa", "rtb", "aromatic_rings",

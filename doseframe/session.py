@@ -57,16 +57,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer splits than there are cores.
-
-    For per-row work that costs much more than moving the row. A large scan has enough splits and
-    is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table."""
     spark = df.sparkSession

@@ -150,7 +150,7 @@ def run_upsert(spark, d):
 
 
 @query("tuning_table", f"""with {RESULTS.format(where="true")}
- select lr, weight_decay, pooling, gnn_hidden_dim, gnn_num_layers, gnn_dropout,
+ select model, split, lr, weight_decay, pooling, gnn_hidden_dim, gnn_num_layers, gnn_dropout,
   array_to_string(list_sort(list_distinct(list(seed))), ',') as seeds, {r('avg(r2_val)')} as r2_val_mean,
   {r('stddev_pop(r2_val)')} as r2_val_std, {r('avg(best_val_loss)')} as best_val_loss_mean, {r('stddev_pop(best_val_loss)')} as best_val_loss_std
  from res group by all""")
@@ -165,8 +165,8 @@ def results_report(spark, d):
 
 
 @query("comparison_report", f"""with {RESULTS.format(where="true")} select model,
- {r("min(best_val_loss) filter (split = 'random')")} as random_loss, {r("max(r2_val) filter (split = 'random')")} as random_r2,
- {r("min(best_val_loss) filter (split = 'scaffold')")} as scaffold_loss, {r("max(r2_val) filter (split = 'scaffold')")} as scaffold_r2
+ {r("min(best_val_loss) filter (split = 'random')")} as random_loss, {r("arg_min(r2_val, best_val_loss) filter (split = 'random')")} as random_r2,
+ {r("min(best_val_loss) filter (split = 'scaffold')")} as scaffold_loss, {r("arg_min(r2_val, best_val_loss) filter (split = 'scaffold')")} as scaffold_r2
  from res group by 1""")
 def comparison_report(spark, d):
     return rounded(E.comparison_report(results(spark, d)))

@@ -129,10 +129,10 @@ def violation_histogram(spark, d):
 
 @query("density_curve", f"""with s as (select count(*) as n, stddev_samp(value) as sd, min(value) as lo, max(value) as hi from events),
  p as (select *, sd * pow(n, -0.2) as bw from s),
- b as (select least(floor((value - lo) / ((hi - lo) / 512)), 511) as bin, count(*) as k from events, s group by 1),
- c as (select (lo + (hi - lo) / 512 * bin + lo + (hi - lo) / 512 * (bin + 1)) / 2 as c, k from b, s),
+ b as (select floor((value - lo) / pow(2.0, floor(log2(bw / 16)))) as cell, count(*) as k from events, p group by 1),
+ c as (select lo + pow(2.0, floor(log2(bw / 16))) * (cell + 0.5) as c, k from b, p),
  g as (select unnest(range(0, 200)) as i),
- x as (select i, lo - 3 * bw + ((hi + 3 * bw) - (lo - 3 * bw)) * i / 199.0::DOUBLE as x from g, p)
+ x as (select i, lo + (hi - lo) * i / 199.0::DOUBLE as x from g, p)
  select i::BIGINT as point, {r('any_value(x)')} as x,
    {r('sum(k * exp(-0.5 * pow((x - c) / bw, 2)) / (n * bw * sqrt(2 * pi())))', 9)} as density
  from x, c, p group by i""")

@@ -50,24 +50,23 @@ def test_early_stopping(spark):
     assert stop(spark, [1.0 / i for i in range(1, 50)], max_epochs=10).epochs_trained == 10
 
 
-def test_early_stopping_random_runs(spark):
-    rng = np.random.default_rng(2)
-    rows, want = [], {}
-    for run in range(30):
-        losses = np.round(rng.random(40) * np.linspace(2, 1, 40), 3)
-        best, best_epoch, idle, seen = math.inf, -1, 0, 0
-        for v in losses:
-            seen += 1
-            if v < best - 0.01:
-                best, best_epoch, idle = v, seen, 0
-            else:
-                idle += 1
-            if idle >= 5:
-                break
-        want[str(run)] = (best_epoch, seen)
-        rows += [(str(run), i, 0.0, float(v)) for i, v in enumerate(losses, start=1)]
-    out = E.early_stopping(spark.createDataFrame(rows, HISTORY), patience=5, min_delta=0.01)
-    assert {r.run_id: (r.best_epoch, r.epochs_trained) for r in out.collect()} == want
+def test_early_stopping_long_runs_and_epoch_numbers(spark):
+    long = stop(spark, [1.0 / i for i in range(1, 301)], min_delta=0.0)
+    assert (long.best_epoch, long.epochs_trained) == (300, 300)
+    rows = [("r", 10, 0.0, 0.9), ("r", 20, 0.0, 0.5), ("r", 30, 0.0, 0.4)]
+    gaps = E.early_stopping(spark.createDataFrame(rows, HISTORY)).first()
+    assert (gaps.best_epoch, gaps.epochs_trained) == (30, 3)
+
+
+def test_reports_by_model_split_and_run(spark):
+    rows = [("a", "random", 1, 0.1, 0.2), ("a", "random", 2, 0.5, 0.9), ("b", "random", 1, 0.3, 0.4), ("a", "scaffold", 1, 0.2, 0.7)]
+    df = spark.createDataFrame(rows, "model string, split string, seed int, best_val_loss double, r2_val double")
+    best = {r.model: (r.random_loss, r.random_r2) for r in E.comparison_report(df).collect()}
+    assert best == {"a": (0.1, 0.2), "b": (0.3, 0.4)}
+    table = {(r.model, r.split): (r.seeds, r.r2_val_mean) for r in E.tuning_table(df, ["model", "split"]).collect()}
+    assert table == {("a", "random"): ("1,2", pytest.approx(0.55)), ("b", "random"): ("1", 0.4), ("a", "scaffold"): ("1", 0.7)}
+    log = N.run_log(df.withColumn("patience", F.lit(12)).withColumn("evaluate_test", F.lit(False))).first()
+    assert log.params["patience"] == "12" and log.params["evaluate_test"] == "false"
 
 
 def test_auc(spark):

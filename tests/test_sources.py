@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, types as T
 from doseframe import schemas as S, session
 from doseframe.plans.export import export_database
 from doseframe.sources import sinks, tables
+from doseframe.sources.sinks import export_tables
 
 
 def test_export_skips_a_failing_table(spark, tmp_path):
@@ -33,8 +34,13 @@ def test_export_database(spark, tmp_path):
         spark.sql("drop database exported cascade")
 
 
-def test_default_row_limit():
-    assert S.ROW_LIMIT == 2_000_000
+def test_export_is_whole_unless_a_limit_is_given(spark, tmp_path):
+    big = spark.range(0, 2_100_000, 1, 4)
+    row = export_tables(spark, ["big"], lambda _: big, str(tmp_path / "a")).first()
+    assert (row.rows, row.ok, row.truncated) == (2_100_000, True, False)
+    assert len(list((tmp_path / "a/raw_big.parquet").glob("part-*"))) == 4
+    row = export_tables(spark, ["big"], lambda _: big, str(tmp_path / "b"), 1000).first()
+    assert (row.rows, row.truncated) == (1000, True)
 
 
 def test_limited(spark):

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -8,23 +9,6 @@ from pyspark.sql import functions as F
 from doseframe.operators import splits as L
 
 
-def literal_loop(sizes, goal_test, goal_val):
-    """The rule one group at a time."""
-    test = val = 0
-    labels = []
-    for c in sizes:
-        need_test, need_val = goal_test - test, goal_val - val
-        if need_test > 0 and need_test >= need_val:
-            labels.append("test")
-            test += c
-        elif need_val > 0:
-            labels.append("val")
-            val += c
-        else:
-            labels.append("train")
-    return labels
-
-
 def expanded(sizes, goal_test, goal_val):
     counts = sorted(Counter(sizes).items(), reverse=True)
     labels = []
@@ -36,17 +20,26 @@ def expanded(sizes, goal_test, goal_val):
 
 @settings(max_examples=1500, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=60), st.floats(0, 0.6), st.floats(0, 0.6))
-def test_blocks_equal_the_literal_loop(sizes, test_size, val_size):
+def test_blocks_meet_the_goals_by_whole_groups(sizes, test_size, val_size):
+    """Train comes last; no part gets a group once its goal is met; of two open goals the larger need is served."""
     sizes = sorted(sizes, reverse=True)
-    goals = int(sum(sizes) * test_size), int(sum(sizes) * val_size)
-    assert expanded(sizes, *goals) == literal_loop(sizes, *goals)
+    goal = {"test": int(sum(sizes) * test_size), "val": int(sum(sizes) * val_size)}
+    labels = expanded(sizes, goal["test"], goal["val"])
+    assert len(labels) == len(sizes)
+    had = {part: np.cumsum([n * (x == part) for n, x in zip(sizes, labels)]) - [n * (x == part) for n, x in zip(sizes, labels)] for part in goal}
+    need = {part: goal[part] - had[part] for part in goal}
+    for i, label in enumerate(labels):
+        open_goals = {part: need[part][i] for part in goal if need[part][i] > 0}
+        assert label == "train" if not open_goals else open_goals.get(label) == max(open_goals.values())
+        if len(open_goals) == 2 and need["test"][i] == need["val"][i]:
+            assert label == "test"
 
 
 def brute_group_split(pairs, seed=42, share=0.1):
     sizes = Counter(g for _, g in pairs if g is not None)
     order = sorted(sizes, key=lambda g: (-sizes[g], hashlib.md5(f"{seed}:{g}".encode()).hexdigest()))
     goal = int(sum(sizes.values()) * share)
-    label = dict(zip(order, literal_loop([sizes[g] for g in order], goal, goal)))
+    label = dict(zip(order, expanded([sizes[g] for g in order], goal, goal)))
     return {i: label[g] for i, g in pairs if g is not None}
 
 
