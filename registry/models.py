@@ -92,7 +92,7 @@ def history(spark, d):
   select user_id, 0::BIGINT as i, 'inf'::DOUBLE as best, -1::BIGINT as best_epoch, 0 as idle, 0.0::DOUBLE as st, 0.0::DOUBLE as sv from (select distinct user_id from h)
   union all
   select w.user_id, o.i, case when val_loss < best - 0.5 then val_loss else best end,
-    case when val_loss < best - 0.5 then o.i else best_epoch end, case when val_loss < best - 0.5 then 0 else idle + 1 end,
+    case when val_loss < best - 0.5 then o.epoch::BIGINT else best_epoch end, case when val_loss < best - 0.5 then 0 else idle + 1 end,
     st + train_loss, sv + val_loss
   from w join o on o.user_id = w.user_id and o.i = w.i + 1 where idle < 4),
  f as (select *, row_number() over (partition by user_id order by i desc) as last from w)
