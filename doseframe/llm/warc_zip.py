@@ -93,8 +93,8 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, folder: str,
 
     Of rows with equal payloads of at least `revisit_from` bytes those with the largest key are responses,
     the others revisit it; null keys revisit, too, and get an empty record id. A null payload is empty.
-    Only digests meet in a shuffle by payload, and copies of the largest key are salted, so that
-    a payload that very many pages share is not gathered in one task.
+    The owners of shared payloads are found from digests alone; rows are then joined with salted copies of
+    them, so that a payload that very many pages share is not gathered in one task.
 
     A task writes its archive under a name of its own and moves it into place, so a task that runs again
     replaces whole archives only.
