@@ -31,22 +31,31 @@ def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 
 
-def relu_array(feats: Column) -> Column:
-    return F.transform(feats, relu)
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _number_parts(raw: Column) -> Column:
-    """Java's text of a positive double as struct(raw, exponent, lead, tail)."""
+def _shortest(x: Column) -> Column:
+    """A positive double in exponent form with the fewest of 15, 16 or 17 digits that read back as the same number.
+
+    Sixteen digits are tried with their neighbours too, as the JVM may round its own text and not the number.
+    """
+    tries = [F.format_string(f"%.{d}e", x) for d in (14, 15, 16)]
+    digits = F.regexp_replace(F.substring_index(tries[1], "e", 1), r"\.", "").try_cast("bigint")
+    near = [F.concat(F.regexp_replace((digits + d).cast("string"), r"^(\d)", "$1."), F.lit("e"), F.substring_index(tries[1], "e", -1)) for d in (-1, 1)]
+    fits = F.lit(None).cast("string")
+    for text in (*near, tries[1], tries[0]):
+        fits = F.when(text.try_cast("double") == x, text).otherwise(fits)
+    return F.coalesce(fits, tries[2])
+
+
+def _number_parts(text: Column) -> Column:
+    """Exponent form as struct(exponent, lead, tail), the tail without trailing zeros."""
     return F.struct(
-        raw.alias("raw"),
-        F.coalesce(F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("exponent"),
-        F.regexp_extract(raw, r"^(\d)\.", 1).alias("lead"),
-        F.regexp_replace(F.regexp_extract(raw, r"^\d\.(\d+)", 1), r"^0$", "").alias("tail"),
+        F.regexp_extract(text, r"e([+-]\d+)$", 1).try_cast("int").alias("exponent"),
+        F.regexp_extract(text, r"^(\d)", 1).alias("lead"),
+        F.regexp_extract(text, r"^\d\.(\d*?)0*e", 1).alias("tail"),
     )
 
 
@@ -55,26 +64,26 @@ def _python_style(n: Column) -> Column:
     digits = F.concat(lead, tail)
     mantissa = F.concat_ws(".", lead, F.nullif(tail, F.lit("")))
     power = F.regexp_replace(F.abs(exponent).cast("string"), r"^(\d)$", "0$1")
-    # Digits before and after the point of a plain number of 1e7 and more.
+    # Digits before and after the point of a plain number of 1 and more.
     padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0"))
     fraction = F.coalesce(F.nullif(F.substring(padded, exponent + 2, F.length(padded)), F.lit("")), F.lit("0"))
     return (
-        F.when(~n["raw"].contains("E"), n["raw"])
-        .when(exponent == -4, F.concat(F.lit("0.000"), digits))
-        .when(exponent < -4, F.concat(mantissa, F.lit("e-"), power))
+        F.when(exponent < -4, F.concat(mantissa, F.lit("e-"), power))
         .when(exponent >= 16, F.concat(mantissa, F.lit("e+"), power))
+        .when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
         .otherwise(F.concat(F.substring(padded, F.lit(1), exponent + 1), F.lit("."), fraction))
     )
 
 
 def python_float_text(x: Column) -> Column:
-    """A double as Python's repr writes it (0.0003, 1e-05, 100.0)."""
+    """A double as Python's repr writes it (0.0003, 1e-05, 100.0); null for null."""
+    x = x.cast("double")
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    plain = _let(F.abs(x).cast("string"), lambda raw: _let(_number_parts(raw), _python_style))
+    plain = _let(F.abs(x), lambda a: _let(_number_parts(_shortest(a)), _python_style))
     return (
         F.when(F.isnan(x), F.lit("NaN"))
         .when(F.abs(x) == F.lit(float("inf")), F.concat(sign, F.lit("Infinity")))
-        .otherwise(F.concat(sign, plain))
+        .when(x.isNotNull(), F.concat(sign, plain))
     )
 
 

@@ -1,6 +1,6 @@
 """Global order without a global sort: hash cuts, dense ranks, value ranks, order statistics.
 
-Every single-partition window in this module runs over bucket counts, whose number is fixed.
+Every single-partition window in this module runs over bucket counts, whose number is fixed, or SELECT_LIMIT values at most.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from doseframe.functions.hashing import seeded_hash
 from doseframe.functions.potency import present
+from doseframe.session import staged
 
 HEX = 16
 CUT_DIGITS = 4    # 65,536 buckets: a cut sorts 1/65,536 of the rows
 RANK_DIGITS = 3   # 4,096 buckets: the offsets table that is broadcast has at most 4,096 rows
 VALUE_BUCKETS = 1000
 SELECT_LIMIT = 200_000
+PARTS = 64  # parts that a pass over distinct values cuts a span into
 
 
 def _running(sizes: DataFrame, bucket: str) -> DataFrame:
@@ -35,8 +37,9 @@ def _running(sizes: DataFrame, bucket: str) -> DataFrame:
 def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, goals: Callable[[Column], list[Column]]) -> Column:
     """Hashes at which the first `goal` rows in seeded hash order end, as one scalar struct c0, c1, ...
 
-    The keys identify a row. Two narrow scans: bucket counts, then the one bucket per goal that
-    holds the boundary. The table itself is neither shuffled nor sorted. A goal of 0 gives null.
+    The keys identify a row; where a cut would fall between rows of equal keys the job fails, because no
+    exact cut exists. Two narrow scans: bucket counts, then the one bucket per goal that holds the
+    boundary. The table itself is neither shuffled nor sorted. A goal of 0 gives null.
     """
     hashed = df.select(seeded_hash(list(keys), seed).alias("_h")).withColumn("_b", F.substring("_h", 1, CUT_DIGITS))
     run = _running(hashed.groupBy("_b").agg(F.count("*").alias("n")), "_b")
@@ -46,9 +49,12 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, goals: Callable[[Co
         F.inline(F.array(*[F.struct(F.lit(i).alias("cut"), g.cast("bigint").alias("goal")) for i, g in enumerate(wanted)])),
     ).where((F.col("start") < F.col("goal")) & (F.col("goal") <= F.col("end")))
     # At most one row per goal, so the broadcast is bounded by the number of goals.
-    edge = hashed.join(F.broadcast(hits), "_b").withColumn(
-        "_r", F.row_number().over(Window.partitionBy("cut").orderBy("_h"))
+    order = Window.partitionBy("cut").orderBy("_h")
+    edge = hashed.join(F.broadcast(hits), "_b").withColumns(
+        {"_r": F.row_number().over(order), "_next": F.lead("_h").over(order)}
     ).where(F.col("_r") == F.col("goal") - F.col("start"))
+    tied = F.raise_error(F.lit(f"the keys {', '.join(keys)} do not identify a row"))
+    edge = edge.withColumn("_h", F.when(F.col("_next") == F.col("_h"), tied.cast("string")).otherwise(F.col("_h")))
     return edge.agg(
         F.struct(*[F.max(F.when(F.col("cut") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(wanted))]).alias("cuts")
     ).scalar()
@@ -204,6 +210,10 @@ def _picked(vals: DataFrame, spans: dict) -> dict:
     counts = (
         vals.select(F.inline(tagged)).where(F.col("v").isNotNull()).groupBy("g", "v").agg(F.count("*").alias("n"))
     )
+    asked = {(g, k): k - key[3] for g, key in enumerate(order) for k in groups[key]}
+    # Rows left in a span bound its distinct values; a span that a hot value kept wide may hold many others.
+    if any(inside > SELECT_LIMIT and lo < hi for lo, hi, _, inside in spans.values()):
+        return {(order[g][0], k): v for (g, k), v in _by_distinct(counts, asked).items()}
     upto = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     run = counts.withColumn("end", F.sum("n").over(upto))
     hit = F.lit(False)
@@ -220,6 +230,55 @@ def _picked(vals: DataFrame, spans: dict) -> dict:
     return out
 
 
+def _by_distinct(counts: DataFrame, asked: dict[tuple[int, int], int]) -> dict[tuple[int, int], float]:
+    """Values at the positions `asked[g, name]` of each group of `counts` (g, v, n), by cuts of the distinct values.
+
+    A hot value is one row here, so every pass leaves about a PARTS-th of a group's distinct values.
+    """
+    counts = staged(counts, "distinct-values")
+    accuracy = 10_000
+    shares = [i / PARTS for i in range(1, PARTS)]
+    left = {t: (None, None, 0) for t in asked}  # low (included), high (excluded), rows below
+    out: dict[tuple[int, int], float] = {}
+    while left:
+        names = list(left)
+        inside = {}
+        for t in names:
+            lo, hi, _ = left[t]
+            cond = F.col("g") == t[0]
+            cond = cond if lo is None else cond & (F.col("v") >= lo)
+            inside[t] = cond if hi is None else cond & (F.col("v") < hi)
+        cuts = counts.agg(*[
+            F.struct(
+                F.count_if(inside[t]).alias("m"), F.percentile_approx(F.when(inside[t], F.col("v")), shares, accuracy).alias("q")
+            ).alias(f"c{i}") for i, t in enumerate(names)
+        ]).first()
+        small = [t for i, t in enumerate(names) if cuts[f"c{i}"]["m"] <= SELECT_LIMIT]
+        for t in small:
+            place = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + left[t][2]
+            run = counts.where(inside[t]).withColumn("end", place)
+            out[t] = run.where((F.col("end") - F.col("n") <= asked[t]) & (F.col("end") > asked[t])).first()["v"]
+        marks = {t: sorted(set(cuts[f"c{i}"]["q"])) for i, t in enumerate(names) if t not in small}
+        if not marks:
+            break
+        sums = counts.agg(*[
+            F.array(*[F.coalesce(F.sum(F.when((F.col("g") == t[0]) & (F.col("v") < m), F.col("n"))), F.lit(0)) for m in ms]).alias(f"s{i}")
+            for i, (t, ms) in enumerate(marks.items())
+        ]).first()
+        again = {}
+        for i, (t, ms) in enumerate(marks.items()):
+            lo, hi, below = left[t]
+            for m, s in zip(ms, sums[f"s{i}"]):
+                if s <= asked[t]:
+                    lo, below = m, s
+                else:
+                    hi = m
+                    break
+            again[t] = (lo, hi, below)
+        left = again
+    return out
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of the present values, exact at any table size."""
     def positions(n: int) -> list[int]:
@@ -239,7 +298,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return out
 
 
-def first_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows with the smallest values of a unique numeric key, by threshold, unsorted."""
+def first_by_key(df: DataFrame, key: str, n: int, by_threshold: bool = False) -> DataFrame:
+    """The n rows with the smallest values of a unique numeric key: the first n of each task, then of all.
+
+    With `by_threshold`, for an n that one task cannot hold, rows are compared with the n-th key and stay unsorted.
+    """
+    if not by_threshold:
+        return df.orderBy(key).limit(n)
     found, at = order_statistics(df, {key: lambda size: [n - 1] if n <= size else []})[key]
     return df.where(F.col(key) <= F.lit(at[n - 1])) if n <= found else df

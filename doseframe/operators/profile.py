@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from doseframe.functions.potency import nan_to_null, present
 from doseframe.operators.ordering import exact_quantiles
@@ -56,6 +56,19 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _long(row, entries)
 
 
+def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, count, null_count, min, max) of the text columns, in one pass."""
+    cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)])
+    row = df.agg(*[
+        F.struct(
+            F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("null_count"),
+            F.min(c).alias("min"), F.max(c).alias("max"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(cols)
+    ])
+    return row.select(F.inline(F.array(*row.columns)))
+
+
 def group_count(df: DataFrame, key: str, counted: str | None = None, out: str = "count") -> DataFrame:
     """Rows per key, or rows with a non-null `counted`."""
     return df.groupBy(key).agg(F.count(counted or "*").alias(out))

@@ -53,6 +53,17 @@ def describe_events(spark, d):
     return rounded(P.describe(table(spark, d, "events"), ["value"]), 4)
 
 
+TEXT_COLUMNS = {"documents": ["text", "lang", "source"], "orders": ["o_orderpriority", "o_orderstatus"]}
+
+
+@query("describe_text", " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column, count({c}) as count, count(*) - count({c}) as null_count, min({c}) as min, max({c}) as max from {t}"
+    for t, cols in TEXT_COLUMNS.items() for c in cols))
+def describe_text(spark, d):
+    docs, orders = (P.describe_text(table(spark, d, t), cols).select(F.lit(t).alias("table_name"), "*") for t, cols in TEXT_COLUMNS.items())
+    return docs.unionByName(orders)
+
+
 @query("value_counts", f"""with {ACT}
  select 'standard_type' as column, standard_type as value, count(*) as count from act group by 2
  union all select 'standard_units', standard_units, count(*) from act group by 2

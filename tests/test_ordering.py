@@ -18,6 +18,13 @@ def test_exact_sample(spark, n):
     assert sorted(r.id for r in O.exact_sample(df, n, ["id"], 3).collect()) == sorted(want)
 
 
+def test_a_cut_between_equal_keys_fails(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 10).alias("k"))
+    with pytest.raises(Exception, match="do not identify a row"):
+        O.exact_sample(df, 50, ["k"]).collect()
+    assert O.exact_sample(df, 100, ["k"]).count() == 100
+
+
 def test_slice_and_rank(spark):
     df = spark.range(300)
     order = md5_order(range(300), 42)
@@ -40,6 +47,15 @@ def test_exact_quantiles_with_hot_value(spark, monkeypatch, limit):
     assert got["y"] == pytest.approx(list(np.quantile(-x[~np.isnan(x)], probs)))
 
 
+def test_quantile_at_the_edge_of_a_hot_value(spark, monkeypatch):
+    """Half the rows are one value and a wanted position lies at its edge: what is left is cut by distinct values."""
+    monkeypatch.setattr(O, "SELECT_LIMIT", 50)
+    x = np.concatenate([np.full(3000, 7.0), np.arange(8, 3008, dtype=float)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probs = [0.4999, 0.5, 0.5001, 0.75]
+    assert O.exact_quantiles(df, ["x"], probs)["x"] == pytest.approx(list(np.quantile(x, probs)))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
     assert O.exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
@@ -57,6 +73,8 @@ def test_first_by_key(spark):
     df = spark.range(100).withColumn("k", 1000 - F.col("id"))
     assert {r.k for r in O.first_by_key(df, "k", 3).collect()} == {901, 902, 903}
     assert O.first_by_key(df, "k", 101).count() == 100
+    assert {r.k for r in O.first_by_key(df, "k", 3, by_threshold=True).collect()} == {901, 902, 903}
+    assert "TakeOrderedAndProject" in O.first_by_key(df, "k", 3)._jdf.queryExecution().toString()
 
 
 def test_negative_zero_is_zero(spark):
