@@ -6,9 +6,8 @@ are cut into chunks of SCORED subwords; each chunk is read together with the sub
 windows overlap and every subword is scored once. A word's probability is a weighted mean of that model's
 and of the word's smoothed share in the corpus (weight MIX), so that frequent words are known by heart.
 
-Counts cover every training text. The network sees the training texts whose id falls into one of TRAIN_PARTS
-folds (a fixed share at every size), in rounds: each task trains on its chunks from the common parameters, and
-the results are averaged by number of subwords.
+Counts and network cover every training text. The network sees each chunk once, in rounds: each task trains on
+its chunks from the common parameters, and the results are averaged by number of subwords.
 """
 
 from __future__ import annotations
@@ -22,15 +21,15 @@ import pandas as pd
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doseframe.llm.text import id_fold, words
+from doseframe.llm.text import words
 from doseframe.session import staged
 
 # Slots (the most frequent subwords; the last slot stands for all others), slots of a class, sizes of the network.
 SLOTS, CLASS, WIDTH, HIDDEN = 1_024, 32, 16, 16
 # Subwords scored with one window, and subwords before them that it holds.
 SCORED, CONTEXT = 16, 8
-# Share (1 / TRAIN_PARTS) of the training texts the network sees, rounds, chunks of a step, step size.
-TRAIN_PARTS, ROUNDS, STEP_CHUNKS, RATE = 8, 3, 64, 0.15
+# Rounds that the training chunks are dealt to, chunks of a step, step size.
+ROUNDS, STEP_CHUNKS, RATE = 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
 KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 300_000, 400_000, 32_768
@@ -402,7 +401,7 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, ranks: dict[by
     n, v = total["n"] + texts, total["v"] + (texts > 0)
     base = float(n + v + 1)
     net = new_network(_subword_counts(counts, ranks, pattern, texts))
-    chunks = _training_chunks(seen.where(id_fold(F.concat(F.lit("n"), F.col("key")), TRAIN_PARTS) == 0), net, ranks, pattern)
+    chunks = _training_chunks(seen, net, ranks, pattern)
     for turn in range(ROUNDS):
         net = _round(chunks.where(F.col("turn") == turn), net)
     head = _head(counts)

@@ -111,6 +111,22 @@ def test_query_against_brute_force(spark, monkeypatch):
         scores = [r.score for r in got]
 
 
+def test_network_sees_every_training_text(spark, monkeypatch):
+    """The rounds together train on each subword of every text that is not held out, once."""
+    seen, plain = [], lm._round
+
+    def counted(chunks, net):
+        seen.extend(int(np.frombuffer(r.real, dtype=np.int16).sum()) for r in chunks.select("real").collect())
+        return plain(chunks, net)
+
+    monkeypatch.setattr(lm, "_round", counted)
+    QUERIES["op5_attention_lm"](spark, ROOT)
+    sub = lm.Subwords(RANKS, P.PATTERN)
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").collect()
+    want = sum(len(sub.text(words(r.text))[0]) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2)
+    assert sum(seen) == want
+
+
 def test_held_out_texts(spark):
     """Held-out texts are no less likely than under the word shares alone."""
     got = QUERIES["op5_attention_lm"](spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
