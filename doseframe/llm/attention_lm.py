@@ -25,15 +25,15 @@ from doseframe.llm.text import words
 from doseframe.session import staged
 
 # Slots (the most frequent subwords; the last slot stands for all others), slots of a class, sizes of the network.
-SLOTS, CLASS, WIDTH, HIDDEN = 1_024, 32, 16, 16
+SLOTS, CLASS, WIDTH, HIDDEN = 2_048, 64, 16, 24
 # Subwords scored with one window, and subwords before them that it holds.
-SCORED, CONTEXT = 16, 8
+SCORED = CONTEXT = 16
 # Rounds that the training chunks are dealt to, chunks of a step, step size.
 ROUNDS, STEP_CHUNKS, RATE = 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
 KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 300_000, 400_000, 32_768
-MIX = 0.6
+MIX = 0.5
 
 
 class Subwords:

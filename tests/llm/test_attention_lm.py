@@ -44,6 +44,17 @@ def test_every_subword_is_scored_once_and_sees_its_own_text_only():
     assert np.allclose(lm.Scorer(net).log10(changed)[:39 + 60], together[:39 + 60], atol=1e-5)
 
 
+def test_sizes_of_the_model():
+    """2,047 subwords have a slot of their own, and the subword 17 places back still counts."""
+    net = network()
+    assert len(np.unique(net.slot_of)) >= 2_048 and lm.MIX <= 0.5
+    ids = np.random.default_rng(6).integers(0, 3000, 48)
+    changed = ids.copy()
+    changed[15] = (ids[15] + 1) % 1000
+    logs = [lm.Scorer(net).log10([i])[32] for i in (ids, changed)]
+    assert abs(logs[0] - logs[1]) > 1e-6
+
+
 def test_probabilities_of_the_next_subword_sum_to_one():
     net = network()
     start = np.array([5, 900, 42])
