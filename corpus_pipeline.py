@@ -34,16 +34,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that bring the token shares of poor and good ones to the target.
 
-    Good documents are the anchor, so poor ones are thinned and nothing is repeated: a document stays when its
-    draw gives it a copy at all.
+    Good documents are the anchor: their expected tokens stay, poor ones are thinned. A document is given as
+    many rows as its draw has copies, so rates above 1, which make up for good tokens of thinned mixed documents,
+    count in full.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = mixing.fit_membership(docs, labels, len(SHARES))
     members = staged(docs.select(mixing.member_column(F.col("text"), model).alias("m")).select("m.n_tokens", "m.p"), "members")
     rates = mixing.fit_rates(members, SHARES, GOOD)
     rate = mixing.rate_column(mixing.member_column(F.col("text"), model)["p"], rates)
-    drawn = docs.withColumn("_rate", rate).where(mixing.copies_column(F.col("doc_id"), F.col("_rate")) > 0)
-    return drawn.drop("_rate")
+    copies = mixing.copies_column(F.col("doc_id"), F.col("_rate"))
+    drawn = docs.withColumn("_rate", rate).withColumn("_copies", copies).where("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 import public_tokenizers as P
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from doseframe.llm import bpe
+from doseframe.llm import bpe, mixing
 from tests.llm.test_minmax import brute
 
 ROOT = "/root/testdata/sf0.001"
@@ -34,6 +38,29 @@ def test_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("poor", [0.03, 0.5])
+def test_mixing_gives_every_copy(spark, monkeypatch, poor):
+    """Rows of the stage are the copies drawn, and their expected tokens have the target shares."""
+    rng = np.random.default_rng(8)
+    p0 = {str(i): float(rng.beta(2 * poor, 2 * (1 - poor))) for i in range(4000)}
+    n = {t: int(rng.integers(20, 60)) for t in p0}
+
+    def member(text, model):
+        @F.pandas_udf("n_tokens long, p array<double>")
+        def of(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({"n_tokens": [n[t] for t in texts], "p": [[p0[t], 1 - p0[t]] for t in texts]})
+        return of(text)
+
+    monkeypatch.setattr(mixing, "fit_membership", lambda *a: None)
+    monkeypatch.setattr(mixing, "member_column", member)
+    monkeypatch.setattr(cp, "table", lambda *a: spark.createDataFrame([], "doc_id long, quality int"))
+    docs = spark.createDataFrame([(int(t), t) for t in p0], "doc_id long, text string")
+    got = cp.mix_sources(spark, docs, "").collect()
+    kept = np.array([sum(n[r.text] * p0[r.text] for r in got), sum(n[r.text] * (1 - p0[r.text]) for r in got)])
+    good = sum(n[t] * (1 - p0[t]) for t in p0)
+    assert abs(kept[1] / good - 1) < 0.03 and abs(kept[0] / kept.sum() - cp.SHARES[0]) < 0.01
+
+
 def test_odd_documents(spark, save):
     rows = [(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "A b c d e f g"), (None, "x"), (5, "long text " * 20000)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _rate double")
