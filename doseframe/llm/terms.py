@@ -55,6 +55,35 @@ def term_column(texts: pd.Series) -> pd.Series:
     return pd.Series([terms_of(t) for t in texts], index=texts.index, dtype=object)
 
 
+def slots_of(terms: np.ndarray, slots: int) -> np.ndarray:
+    """Sorted distinct places of term hashes in a table of `slots`."""
+    return np.unique(np.asarray(terms, dtype=np.int64) % slots)
+
+
+class SlotIndex:
+    """Places of all terms of a text in a table of `slots`; remembers the words it has met."""
+
+    KEPT_WORDS = 200_000
+
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def find(self, text: str | None) -> list[int]:
+        found = words(text)
+        kinds = set(found)
+        slots, known = self.slots, self.known
+        got = {t % slots for t in shape_terms(found, len(kinds))}
+        for w in kinds:
+            hits = known.get(w)
+            if hits is None:
+                if len(known) >= self.KEPT_WORDS:
+                    known.clear()
+                hits = known[w] = tuple(t % slots for t in word_terms(w))
+            got.update(hits)
+        return sorted(got)
+
+
 class TermIndex:
     """Positions of the chosen terms that a text holds; remembers the words it has met."""
 
@@ -141,6 +170,17 @@ def chosen_rows(rows: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray],
     return [np.array(sorted(r["p"]), dtype=np.int64) for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 
+def slot_rows(rows: DataFrame, slots: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of all terms of each row and the rows' labels, on the driver: bounded by the sample."""
+    @F.pandas_udf("binary")
+    def places(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in terms:
+            yield pd.Series([slots_of(t, slots).astype(np.int32).tobytes() for t in batch], dtype=object)
+
+    got = rows.select("doc_id", "label", places("terms").alias("p")).orderBy("doc_id", "label").collect()
+    return [np.frombuffer(r["p"], dtype=np.int32) for r in got], np.array([r["label"] for r in got], dtype=np.int64)
+
+
 def padded(rows: list[np.ndarray], pad: int) -> np.ndarray:
     """Rows of positions as one matrix, filled up with `pad`."""
     out = np.full((len(rows), max([1, *map(len, rows)])), pad, dtype=np.int64)

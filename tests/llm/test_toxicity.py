@@ -21,6 +21,21 @@ def test_pairs_are_learnt():
     assert ((machine.scores(rows) > 0.5) == labels).mean() > 0.98
 
 
+def test_a_pair_without_single_evidence_is_learnt_from_texts(spark):
+    """Exclusive or of two words through `fit`: neither word alone differs between the labels."""
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(2400):
+        a, b = i & 1, i >> 1 & 1
+        filler = " ".join(f"{x:04d}" for x in rng.integers(0, 60, 3))
+        docs.append((i, f"{'foo' if a else 'bar'} {'sun' if b else 'sky'} {filler}"))
+        labels.append((i, int(a != b)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = toxicity.fit(d, spark.createDataFrame(labels[:2000], "doc_id long, label int"))
+    got = {r.doc_id: r.s for r in d.select("doc_id", toxicity.score_column(d["text"], machine).alias("s")).collect()}
+    assert np.mean([(got[i] > 0.5) == label for i, label in labels[2000:]]) > 0.95
+
+
 def test_held_out_documents(spark):
     got = QUERIES["op6_toxicity"](spark, ROOT)
     assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
