@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from doseframe.llm.text import ascii_lower
 from doseframe.session import staged
 
-# Least share and number of the labelled rows that a combination occurs in, least confidence of a rule.
-SUPPORT, LEAST_ROWS, CONFIDENCE = 0.005, 20, 0.5
+# Least share and number of the labelled rows that a combination occurs in, least confidence of a rule. The
+# share is 0: a number of rows that does not grow with the table, so that rare hosts get rules at every size.
+SUPPORT, LEAST_ROWS, CONFIDENCE = 0.0, 20, 0.5
 BAD, GOOD = "label=block", "label=allow"
 
 

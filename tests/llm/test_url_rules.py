@@ -54,6 +54,15 @@ def test_unseen_urls_follow_the_rules(spark):
     assert all(r.verdict == ("block" if "buy" in r.path else "allow") for r in got)
 
 
+def test_a_rare_bad_host_gets_a_rule_at_every_size(spark):
+    """30 bad pages of one host among 12,000 labelled ones (a quarter of a percent)."""
+    urls = [(i, f"https://{'worst.net' if i < 30 else f'fine{chr(97 + i % 20)}.org'}/a{chr(97 + i % 7)}/x") for i in range(12000)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 30) for i in range(12000)], "page_id long, bad boolean")
+    got = url_rules.judge(df, "page_id", "url", labels, []).select("page_id", "verdict").collect()
+    assert len(got) == 12000 and all((r.verdict == "block") == (r.page_id < 30) for r in got)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     got = QUERIES["op1_url_rules"](spark, folder)
