@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from doseframe.llm import ann_graph, attention_lm, bpe, exact_topk, minmax, mixing, sharding, toxicity, url_rules, warc_zip
+from doseframe.llm import (
+    ann_graph, attention_lm, bpe, exact_topk, minmax, mixing, period_runs, sharding, tier_packing, toxicity, trie_codes, url_rules,
+    warc_zip,
+)
 from doseframe.llm.text import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +26,7 @@ GIVEN_RULES = [
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 NEAREST, QUERY_EVERY = 20, 20
+PACK_FILE, PACK_END = "word_bpe_49k.json", 2
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -106,6 +110,26 @@ def op10_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return ann_graph.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", NEAREST, QUERY_EVERY)
 
 
+@query
+def op11_tier_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens packed into sequences of several context sizes."""
+    return tier_packing.pack(table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path(PACK_FILE), PACK_END).drop("ids")
+
+
+@query
+def op12_trie_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's code of eight parts with 16 entries each, after six rounds."""
+    found = trie_codes.compress(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op13_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's periodic runs of words; every tenth document's end is first made periodic."""
+    docs = table(spark, folder, "documents")
+    return period_runs.digests(period_runs.find(docs, "doc_id", "text", rewrite=period_runs.repeated_tail), "doc_id")
+
+
 SQL["op2_zip_warc"] = """
 with p as (
   select page_id, octet_length(encode(coalesce(html, '')))::BIGINT as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
@@ -149,3 +173,40 @@ reach as (
 low as (select a as doc_id, min(b) as component_id from reach group by 1)
 select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, low.component_id, d.doc_id = low.component_id as kept
 from documents d join low using (doc_id) left join n using (doc_id)"""
+
+
+def _trie_sql(rounds: int = 6) -> str:
+    """Every round in turn: c holds the entries (part, entry, c), a the nearest entry of every part of every row."""
+    def nearest(t: int) -> str:
+        return f"""a{t} as materialized (
+  select rid, part, any_value(v) as v, min([d, entry]) as m from (
+    select rid, p.part, v, entry, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT as d
+    from p join c{t} c on c.part = p.part) group by rid, part)"""
+
+    def moved(t: int) -> str:
+        return f"""c{t + 1} as materialized (
+  select c.part, c.entry, coalesce(u.c, c.c) as c from c{t} c left join (
+    select part, entry, list((s - ((s % n) + n) % n) // n order by i) as c from (
+      select part, m[2] as entry, i, sum(v[i])::BIGINT as s, count(*) as n
+      from (select part, m, v, unnest(range(1, len(v) + 1)) as i from a{t}) group by 1, 2, 3) group by 1, 2) u
+  on u.part = c.part and u.entry = c.entry)"""
+
+    steps = ",\n".join(f"{nearest(t)},\n{moved(t)}" for t in range(rounds))
+    return f"""
+with k as materialized (
+  select row_number() over (order by vec_id, embedding) as rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) as v from embeddings
+  where embedding is not null and list_sum(list_transform(embedding, lambda x: case when x is null or not isfinite(x) then 1 else 0 end)) = 0),
+p as materialized (
+  select rid, part::BIGINT as part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] as v
+  from (select rid, v, unnest(range(0, 8)) as part from k)),
+c0 as materialized (select part, rid - 1 as entry, v as c from p where rid <= 16),
+{steps},
+{nearest(rounds)},
+e as (select rid, string_agg(printf('%02x', m[2]), '' order by part) as code, sum(m[1])::BIGINT as error from a{rounds} group by rid),
+h as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds})
+select vec_id, code, error, sum(error) over (partition by label)::BIGINT as label_error, codebooks_sha256
+from k join e using (rid), h"""
+
+
+SQL["op12_trie_codes"] = _trie_sql()

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,3 +38,14 @@ def id_fold(col: Column, folds: int) -> Column:
 def fold_of(value: int, folds: int) -> int:
     """The same in Python."""
     return zlib.crc32(str(value).encode()) % folds
+
+
+def byte_groups(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, in order, whose values of a binary or text column have at most `limit` bytes in all;
+    a value beyond the limit is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo, done = 0, 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, done + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo, done = hi, int(upto[hi - 1])
