@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -24,8 +25,8 @@ from doseframe.llm.text import byte_groups
 TIERS = (256, 512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 POOL_TOKENS = 1 << 21      # tokens packed at once; a longer document is one pool
-GROUP_BYTES = 4 << 20      # texts tokenized at once
-KEPT_WORDS, WORDS_AT_ONCE = 1 << 18, 512
+GROUP_BYTES = 2 << 20      # texts tokenized at once
+KEPT_WORDS, WORDS_AT_ONCE = 200_000, 64
 ID = np.dtype("<u4")
 
 
@@ -66,6 +67,12 @@ class WordIds(dict):
         self.update((w, ids[lo:hi]) for w, lo, hi in zip(words, cuts.tolist(), cuts[1:].tolist()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for all tasks of a worker: the tokenizer is built once, and words known stay known."""
+    return WordIds(vocabulary)
+
+
 class Piece(NamedTuple):
     row: int      # place of the document in the task
     start: int    # its ids before the piece
@@ -220,7 +227,7 @@ def pack(
     end_id = np.array([end], dtype=ID).tobytes()
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packer = WordIds(words), Packer(tiers, step_tokens)
+        known, packer = word_ids(words), Packer(tiers, step_tokens)
         base = TaskContext.get().partitionId() << 33
         keys: dict[int, tuple] = {}   # documents not given in full: key, tokens, tokens given
         n = 0
