@@ -10,31 +10,55 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 1000
 
 
-def hot_split_join(
-    left: DataFrame, right: DataFrame, on: str, how: str, weight: str, total: int | None = None
-) -> DataFrame:
-    """Join `left` to `right` (one row per key) with hot keys taken out of the shuffle.
+def hot_keys(weights: DataFrame, on: str, weight: str, total: int | None = None) -> DataFrame:
+    """(key, _salts) of the hot keys, at most HOT_SHARE rows: so many parts that none has more than 1/HOT_SHARE of the rows.
 
-    `weight` is a column of `right`: how many rows of `left` have the key. The weights of the
-    keys above sum to at most the total, hence at most HOT_SHARE hot rows are broadcast; all
-    other keys go through a shuffle in which no key exceeds 1/HOT_SHARE of the rows.
-    `how` is 'inner', 'left' or 'left_semi'; `total` saves a pass where the sum is known.
+    `weights` has one row per key, `weight` is the number of rows that hold it; a key without rows is never hot.
     """
+    whole = weights.agg(F.sum(weight)).first()[0] if total is None else total
+    hot = weights.where((F.col(weight) > 0) & (F.col(weight) * HOT_SHARE >= F.lit(whole or 0)))
+    salted = hot.select(on, F.ceil(F.col(weight) * HOT_SHARE / F.lit(float(whole or 1))).cast("int").alias("_salts"))
+    # The bound holds by the sum of the weights; the rows become a local table that any plan can broadcast.
+    return weights.sparkSession.createDataFrame(salted.collect(), salted.schema)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+
+
+def _known(how: str) -> None:
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how must be 'inner', 'left' or 'left_semi'")
-    whole = right.agg(F.sum(weight)).scalar() if total is None else F.lit(total)
-    # A key without a weight, or that no row has, is never hot.
-    is_hot = F.coalesce((F.col(weight) > 0) & (F.col(weight) * HOT_SHARE >= whole), F.lit(False))
-    hot = right.where(is_hot).drop(weight)
-    cold = right.where(~is_hot).drop(weight)
-    near = left.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, how: str, hot: DataFrame) -> DataFrame:
+    """Join `left` to `right` (one row per key); hot keys are marked by one broadcast and salted in the same pass.
+
+    Both sides are read once. Rows of a hot key go to one of its parts, by their content and the task that reads them,
+    and meet a copy of the key's row there; there are at most 2 * HOT_SHARE copies. Rows without a key match nothing
+    and are spread as well. `how` is 'inner', 'left' or 'left_semi'.
+    """
+    _known(how)
+    spread = F.xxhash64(*_hashable(left), F.spark_partition_id())
     if how != "left":
-        return near.unionByName(rest.join(cold, on, how))
-    # Rows without a key match nothing and need no shuffle.
-    keyless = rest.where(F.col(on).isNull())
-    far = rest.where(F.col(on).isNotNull()).join(cold, on, "left")
-    return near.unionByName(far).unionByName(keyless, allowMissingColumns=True)
+        left = left.where(F.col(on).isNotNull())
+    salts = F.coalesce("_salts", F.when(F.col(on).isNull(), F.lit(HOT_SHARE)), F.lit(1))
+    marked = left.withColumn("_spread", spread).join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod("_spread", salts).cast("int"))
+    copies = right.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    ).drop("_salts")
+    return marked.drop("_spread", "_salts").join(copies, [on, "_salt"], how).drop("_salt")
+
+
+def hot_split_join(
+    left: DataFrame, right: DataFrame, on: str, how: str, weight: str, total: int | None = None
+) -> DataFrame:
+    """`salted_join` where `weight`, a column of `right`, tells how many rows of `left` have the key.
+
+    `total` saves a pass where the sum of the weights is known.
+    """
+    _known(how)
+    return salted_join(left, right.drop(weight), on, how, hot_keys(right.select(on, weight), on, weight, total))
 
 
 def key_weights(df: DataFrame, on: str, weight: str = "_w") -> DataFrame:
@@ -45,8 +69,7 @@ def key_weights(df: DataFrame, on: str, weight: str = "_w") -> DataFrame:
 def lookup(left: DataFrame, features: DataFrame, on: str) -> DataFrame:
     """Attach stored features; rows without any are dropped, columns of `left` win."""
     keep = [c for c in features.columns if c == on or c not in left.columns]
-    weighted = features.select(*keep).join(key_weights(left, on), on)
-    return hot_split_join(left, weighted, on, "inner", "_w")
+    return salted_join(left, features.select(*keep), on, "inner", hot_keys(key_weights(left, on), on, "_w"))
 
 
 def mapped_label(

@@ -1,6 +1,6 @@
 """Global order without a global sort: hash cuts, dense ranks, value ranks, order statistics.
 
-Every single-partition window in this module runs over bucket counts, whose number is fixed, or SELECT_LIMIT values at most.
+Every single-partition window in this module runs over counts of buckets or range partitions, or SELECT_LIMIT values at most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from doseframe.session import staged
 
 HEX = 16
 CUT_DIGITS = 4    # 65,536 buckets: a cut sorts 1/65,536 of the rows
-RANK_DIGITS = 3   # 4,096 buckets: the offsets table that is broadcast has at most 4,096 rows
+RANGE_ROWS = 1_000_000  # rows of a range partition, but for the sampling error
+LEAST_ROWS = 20_000     # fewer rows are not worth a partition of their own
 VALUE_BUCKETS = 1000
 SELECT_LIMIT = 200_000
 PARTS = 64  # parts that a pass over distinct values cuts a span into
@@ -76,16 +77,50 @@ def positional_slice(df: DataFrame, lo: int, hi: int, keys: Sequence[str], seed:
     return df.where(above & (h <= cuts.getField("c1")))
 
 
+def range_parts(rows: int, cores: int) -> int:
+    """Range partitions for so many rows: all cores busy, no partition above RANGE_ROWS at any size."""
+    return max(1, -(-rows // RANGE_ROWS), min(cores, -(-rows // LEAST_ROWS)))
+
+
+def ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`df` sorted by `order` over range partitions and written once, with `_part` and `_at`, the 0-based place in it.
+
+    One shuffle; partitions follow each other in the order. Where `order` identifies a row, no value is hot.
+    """
+    spark = df.sparkSession
+    parts = range_parts(df.count(), spark.sparkContext.defaultParallelism)
+    # The id holds the partition's number above its lowest 33 bits, the place in it below.
+    numbered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    at = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return staged(numbered.select(*df.columns, F.shiftright("_m", 33).alias("_part"), at.alias("_at")), name)
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, out: str = "rank") -> DataFrame:
-    """Dense 1-based rank in seeded hash order; the keys identify a row."""
-    hashed = df.withColumn("_h", seeded_hash(list(keys), seed)).withColumn("_b", F.substring("_h", 1, RANK_DIGITS))
-    offsets = _running(hashed.groupBy("_b").agg(F.count("*").alias("n")), "_b").select("_b", "start")
-    local = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
-    return (
-        hashed.withColumn("_r", local)
-        .join(F.broadcast(offsets), "_b")
-        .withColumn(out, (F.col("start") + F.col("_r")).cast("bigint"))
-        .drop("_h", "_b", "_r", "start")
+    """Dense 1-based rank in seeded hash order; the keys identify a row.
+
+    Positions in range partitions plus the sizes of the partitions before: two levels, no fixed number of buckets.
+    """
+    rows = ranged(df.withColumn("_h", seeded_hash(list(keys), seed)), ["_h", *keys], "ranked")
+    # One row a partition, that is one for RANGE_ROWS rows.
+    starts = _running(rows.groupBy("_part").agg(F.count("*").alias("n")), "_part").select("_part", "start")
+    rank = (F.col("start") + F.col("_at") + 1).cast("bigint")
+    return rows.join(F.broadcast(starts), "_part").withColumn(out, rank).drop("_h", "_part", "_at", "start")
+
+
+def running_before(df: DataFrame, group: str, value: str, sums: Sequence[str]) -> DataFrame:
+    """(group, value, the sums, before_<sum>...): for each distinct (group, value) what lies below the value in its group.
+
+    Range partitions of distinct values, prefix sums in each, and the totals of the partitions before.
+    """
+    rows = ranged(df.select(group, value, *sums), [group, value], "running")
+    upto = Window.partitionBy("_part", group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part", group).agg(*[F.sum(c).alias(c) for c in sums])
+    # One row a partition and group.
+    starts = totals.select("_part", group, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_start_{c}") for c in sums])
+    local = rows.withColumns({f"before_{c}": F.sum(c).over(upto) - F.col(c) for c in sums})
+    return local.join(F.broadcast(starts), ["_part", group]).select(
+        group, value, *sums, *[(F.col(f"before_{c}") + F.col(f"_start_{c}")).alias(f"before_{c}") for c in sums]
     )
 
 

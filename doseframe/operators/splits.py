@@ -10,7 +10,7 @@ from doseframe import schemas as S
 from doseframe.functions.encode import truncated_share
 from doseframe.functions.hashing import hash_bucket, seeded_hash
 from doseframe.operators.joins import HOT_SHARE, mapped_label
-from doseframe.operators.ordering import RANK_DIGITS, hash_cuts
+from doseframe.operators.ordering import hash_cuts, ranged, running_before
 from doseframe.session import staged
 
 
@@ -65,13 +65,26 @@ def _blocks(sizes: list[tuple[int, int]], need_test: int, need_val: int) -> Iter
 
 def _positions(groups: DataFrame, group: str, seed: int) -> DataFrame:
     """Adds `pos`, the 1-based place of each group among those of its size, in seeded hash order."""
-    hashed = groups.withColumn("_h", seeded_hash([group], seed)).withColumn("_b", F.substring("_h", 1, RANK_DIGITS))
-    upto = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    starts = hashed.groupBy("_n", "_b").agg(F.count("*").alias("_c")).select(
-        "_n", "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_start")
+    rows = ranged(groups.withColumn("_h", seeded_hash([group], seed)), ["_n", "_h", group], "group-order")
+    # Groups of a size lie next to each other: one row for each partition that holds some.
+    runs = rows.groupBy("_part", "_n").agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    earlier = Window.partitionBy("_n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_part", "_n", "_first", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(runs, ["_part", "_n"]).withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+
+
+def size_head(groups: DataFrame, goal: int) -> list[tuple[int, int]]:
+    """(size, number of groups) of the largest sizes, until what lies above a size is the goal and one group more.
+
+    Sums run in Spark; sizes below the head belong to no goal and never reach the driver.
+    """
+    sizes = groups.groupBy("_n").agg(F.count("*").alias("m")).select(
+        F.lit(0).alias("g"), (-F.col("_n")).alias("at"), "m", (F.col("m") * F.col("_n")).alias("w")
     )
-    local = F.row_number().over(Window.partitionBy("_n", "_b").orderBy("_h", group))
-    return hashed.withColumn("_r", local).join(starts, ["_n", "_b"]).withColumn("pos", F.col("_start") + F.col("_r"))
+    run = running_before(sizes, "g", "at", ["w", "m"])
+    largest = run.agg(F.max(-F.col("at"))).first()[0] or 0
+    head = run.where(F.col("before_w") < F.lit(goal + largest)).orderBy("at").collect()
+    return [(-r["at"], r["m"]) for r in head]
 
 
 def group_split(
@@ -80,16 +93,16 @@ def group_split(
     """Adds `split` such that no group is in two splits; rows without a group are dropped.
 
     Groups are taken by size, largest first, ties in seeded hash order, and fill test and val up to
-    their targets by whole groups. The driver sees one number per distinct group size (at most
-    sqrt(2n)); groups are placed by Spark, and hot groups do not pass a shuffle on the way back.
+    their targets by whole groups. The driver sees one number per distinct size among the groups that fill them;
+    groups are placed by Spark, and hot groups are parted on the way back.
     """
     spark = df.sparkSession
     rows = df.where(F.col(group).isNotNull())
     groups = staged(rows.groupBy(group).agg(F.count("*").alias("_n")), "group-sizes")
-    sizes = [(r["_n"], r["m"]) for r in groups.groupBy("_n").agg(F.count("*").alias("m")).orderBy(F.desc("_n")).collect()]
-    total = sum(c * m for c, m in sizes)
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    need_test, need_val = int(total * test_size), int(total * val_size)
     plans: dict[int, list] = {}
-    for size, first, last, label in _blocks(sizes, int(total * test_size), int(total * val_size)):
+    for size, first, last, label in _blocks(size_head(groups, need_test + need_val), need_test, need_val):
         plans.setdefault(size, []).append((first, last, label))
     plans = {c: runs for c, runs in plans.items() if any(r[2] != "train" for r in runs)}
     table = spark.createDataFrame(

@@ -15,7 +15,9 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doseframe.functions.potency import nan_to_null, present
-from doseframe.operators.ordering import average_rank, exact_sample, value_cuts, value_ranks
+from doseframe.operators.joins import hot_split_join
+from doseframe.operators.ordering import exact_sample, running_before
+from doseframe.session import staged
 
 
 class _PairSums:
@@ -104,49 +106,96 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _PairSums.measured(vals, cols, list(combinations(cols, 2))).matrix(vals)
 
 
-def _ranked(vals: DataFrame, cols: Sequence[str], cuts: dict[str, list[float]]) -> DataFrame:
-    """Average ranks of complete columns. The join back is on a table with one row per value;
-    its size decides at run time between broadcast and a shuffle whose hot values are split."""
-    out = vals
-    for c in cols:
-        ranks = value_ranks(vals, c, cuts[c]).select(c, average_rank().alias(f"_rank_{c}"))
-        out = out.join(ranks, c)
-    return out.select(*[F.col(f"_rank_{c}").alias(c) for c in cols])
+class _Ranks:
+    """Average ranks of every column in one long table (column, value): among all present values and, for every column
+    with gaps, among the rows in which that column is present, too."""
+
+    def __init__(self, vals: DataFrame, cols: Sequence[str]):
+        self.cols = list(cols)
+        # Adding 0.0 makes -0.0 and 0.0 one value; the narrow columns are written once and read by every pass.
+        self.vals = staged(vals.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols]), "rank-values")
+        found = self.vals.agg(F.count("*").alias("n"), *[
+            f.alias(f"{s}{i}") for i, c in enumerate(cols)
+            for s, f in (("gaps", F.count_if(F.col(c).isNull())), ("varies", F.min(c) < F.max(c)))
+        ]).first()
+        self.rows = found["n"]
+        self.gaps = [i for i in range(len(cols)) if found[f"gaps{i}"]]
+        self.varies = [bool(found[f"varies{i}"]) for i in range(len(cols))]
+
+    def _long(self) -> DataFrame:
+        cell = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(self.cols)])
+        # Bit b tells that column b is present.
+        bits = reduce(lambda a, b: a.bitwiseOR(b), [
+            F.when(F.col(self.cols[i]).isNotNull(), F.lit(1 << b)).otherwise(F.lit(0)) for b, i in enumerate(self.gaps)
+        ], F.lit(0)).cast("long")
+        # The id belongs to the row, hence before the cells are unfolded.
+        rows = self.vals.withColumn("id", F.monotonically_increasing_id()).withColumn("bits", bits)
+        return rows.select("id", "bits", F.inline(cell)).where(F.col("v").isNotNull())
+
+    def table(self) -> DataFrame:
+        """One row per row of the input: r<i> for column i, r<i>_<j> among the rows with column j."""
+        names = ["n", *[f"n{i}" for i in self.gaps]]
+        counts = self._long().groupBy("c", "v").agg(F.count("*").alias("n"), *[
+            F.count_if(F.col("bits").bitwiseAND(F.lit(1 << b)) != 0).alias(f"n{i}") for b, i in enumerate(self.gaps)
+        ])
+        ranks = staged(running_before(counts, "c", "v", names).select(
+            F.struct("c", "v").alias("k"), "n", *[(F.col(f"before_{m}") + (F.col(m) + 1) / 2.0).alias(f"r_{m}") for m in names]
+        ), "ranks")
+        cells = self._long().select("id", F.struct("c", "v").alias("k"))
+        placed = hot_split_join(cells, ranks, "k", "inner", "n")
+        return placed.groupBy("id").agg(*[
+            F.max(F.when(F.col("k.c") == i, F.col(f"r_{m}"))).alias(f"r{i}" + (f"_{m[1:]}" if m != "n" else ""))
+            for i in range(len(self.cols)) for m in names
+        ])
+
+    def correlations(self) -> DataFrame:
+        """(x, y, r) of all pairs of different columns, both orders, from one aggregate over the ranks."""
+        middle = F.lit((self.rows + 1) / 2.0)
+        aggs: dict[str, Column] = {}
+
+        def total(i: int, j: int, a: str, b: str) -> Column:
+            """Sum of a * b, centred, over the rows with columns i and j; without gaps the columns' own sums are shared."""
+            both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
+            open_pair = i in self.gaps or j in self.gaps
+            key = f"s_{a}_{b}" + (f"_{i}_{j}" if open_pair else "")
+            product = (F.col(a) - middle) * (F.col(b) - middle)
+            aggs[key] = F.sum(F.when(both, product) if open_pair else product)
+            return F.col(key)
+
+        pairs = []
+        for i, j in combinations(range(len(self.cols)), 2):
+            a = f"r{i}_{j}" if j in self.gaps else f"r{i}"
+            b = f"r{j}_{i}" if i in self.gaps else f"r{j}"
+            aggs[f"n_{i}_{j}"] = F.count_if(F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull())
+            pairs.append((i, j, F.col(f"n_{i}_{j}"), total(i, j, a, a), total(i, j, b, b), total(i, j, a, b)))
+        # The mean of n average ranks is (n + 1) / 2.
+        rows = self.table().agg(*[v.alias(k) for k, v in aggs.items()]).select(F.inline(F.array(*[
+            F.struct(*[v.alias(k) for k, v in (
+                ("x", F.lit(self.cols[i])), ("y", F.lit(self.cols[j])), ("n", n), ("aa", aa), ("bb", bb), ("ab", ab),
+                ("shift", n * F.pow((n + 1) / 2.0 - middle, F.lit(2.0))),
+            )]) for i, j, n, aa, bb, ab in pairs
+        ])))
+        centred = rows.select("x", "y", "n", *[(F.col(s) - F.col("shift")).alias(s) for s in ("aa", "bb", "ab")])
+        # Two different ranks among n give squares of n * (n - 1) / 4 at least.
+        least = F.col("n") * (F.col("n") - 1) / 8.0
+        r = F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb"))
+        fit = (F.col("n") > 1) & (F.col("aa") > least) & (F.col("bb") > least)
+        one_way = centred.select("x", "y", F.when(fit, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
+        return one_way.select(F.inline(F.array(
+            F.struct(F.col("x"), F.col("y"), F.col("r")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("r"))
+        )))
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x, y, r): Pearson on average ranks, ranked anew on the rows where both are present.
 
-    Columns without missing values share one ranking; a pair with a gap gets its own.
+    All columns are ranked together in one long table, and all pairs come from one aggregate; no plan per pair.
     """
-    cols = list(cols)
-    vals = _values(df, cols)
-    found = vals.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    cuts = value_cuts(vals, cols)
-    middle = (found["_n"] + 1) / 2.0
-
-    def ranked_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
-        sums = _PairSums(names, list(combinations(names, 2)), dict.fromkeys(names, middle), dict.fromkeys(names, 0))
-        return sums.matrix(_ranked(rows, names, cuts)).where("x < y")
-
-    whole = [c for c in cols if found[c] == 0]
-    parts = [ranked_matrix(vals, whole)] if len(whole) > 1 else []
-    for a, b in combinations(cols, 2):
-        if found[a] or found[b]:
-            parts.append(ranked_matrix(vals.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]))
-    varies = vals.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols])
-    self_pairs = varies.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.when(F.col(c), 1.0).alias("r")) for c in cols
-    ])))
-    upper = reduce(DataFrame.unionByName, parts) if parts else None
-    if upper is None:
-        return self_pairs
-    # Both orders of a pair from one evaluation.
-    both_ways = upper.select(F.inline(F.array(
-        F.struct(F.col("x"), F.col("y"), F.col("r")),
-        F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("r")),
-    )))
-    return both_ways.unionByName(self_pairs)
+    ranks = _Ranks(_values(df, cols), cols)
+    itself = df.sparkSession.createDataFrame(
+        [(c, c, 1.0 if varies else None) for c, varies in zip(ranks.cols, ranks.varies)], "x string, y string, r double"
+    )
+    return ranks.correlations().unionByName(itself) if len(ranks.cols) > 1 else itself
 
 
 def strength(r: Column) -> Column:

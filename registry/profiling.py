@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from doseframe import schemas as S
 from doseframe.operators import cleaning as C, profile as P, stats as T
 from registry.base import query, r, rounded
 from registry.inputs import ACT, ACTIVITIES_SQL, activities, activity, activity_table, table
@@ -172,7 +175,12 @@ def box_stats_events(spark, d):
     return rounded(P.box_stats(table(spark, d, "events"), ["value"]))
 
 
-NUMERIC = ["mw_freebase", "alogp", "hba", "psa", "standard_value", '"pIC50"']
+def quoted(cols: list[str]) -> list[str]:
+    """Column names for SQL."""
+    return [f'"{c}"' if c != c.lower() else c for c in cols]
+
+
+NUMERIC = quoted(S.NUMERIC_FEATURES)
 
 
 def _corr_sql(cols: list[str], source: str) -> str:
@@ -188,9 +196,9 @@ def pearson_matrix(spark, d):
 
 
 TARGET_R = "tr as (" + " union all ".join(
-    f"select '{c}' as feature, corr({c}, \"pIC50\") as r from act" for c in ["mw_freebase", "alogp", "hba", "psa", "standard_value"]
+    f"select '{c}' as feature, corr({c}, \"pIC50\") as r from act" for c in S.NUMERIC_FEATURES[:-1]
 ) + ")"
-FEATURES = ["mw_freebase", "alogp", "hba", "psa", "standard_value"]
+FEATURES = S.NUMERIC_FEATURES[:-1]
 
 
 @query("target_correlations", f"""with {ACT}, {TARGET_R}
@@ -217,23 +225,28 @@ def correlation_summary(spark, d):
 SPEARMAN = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-def _spearman_sql(source: str, pairs: list[tuple[str, str]], cols: list[str]) -> str:
-    parts = [f"select '{c}' as x, '{c}' as y, 1.0::DOUBLE as r" for c in cols]
-    for a, b in pairs:
+def _spearman_sql(source: str, cols: list[str]) -> str:
+    parts = [f"select '{c.strip(chr(34))}' as x, '{c.strip(chr(34))}' as y, case when min({c}) < max({c}) then 1.0::DOUBLE end as r from {source}" for c in cols]
+    for a, b in combinations(cols, 2):
         ranked = f"""select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0 as ra,
             rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0 as rb
             from {source} where {a} is not null and {b} is not null"""
         for x, y in ((a, b), (b, a)):
-            parts.append(f"select '{x}' as x, '{y}' as y, {r('corr(ra, rb)')} as r from ({ranked})")
+            parts.append(f"select '{x.strip(chr(34))}' as x, '{y.strip(chr(34))}' as y, {r('corr(ra, rb)')} as r from ({ranked})")
     return " union all ".join(parts)
 
 
-@query("spearman_matrix", _spearman_sql("lineitem", [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")], SPEARMAN))
+@query("spearman_matrix", f"with {ACT}, m as materialized (select {', '.join(NUMERIC)} from act) " + _spearman_sql("m", NUMERIC))
 def spearman_matrix(spark, d):
+    return rounded(T.spearman(activity(spark, d), S.NUMERIC_FEATURES))
+
+
+@query("spearman_lineitem", _spearman_sql("lineitem", SPEARMAN))
+def spearman_lineitem(spark, d):
     return rounded(T.spearman(table(spark, d, "lineitem"), SPEARMAN))
 
 
-@query("spearman_with_gaps", f"with {LABELLED} " + _spearman_sql("labelled", [("n_chars", "quality"), ("n_chars", "toxic"), ("quality", "toxic")], ["n_chars", "quality", "toxic"]))
+@query("spearman_with_gaps", f"with {LABELLED} " + _spearman_sql("labelled", ["n_chars", "quality", "toxic"]))
 def spearman_with_gaps(spark, d):
     return rounded(T.spearman(labelled(spark, d), ["n_chars", "quality", "toxic"]))
 

@@ -23,11 +23,40 @@ def test_hot_split_join_equals_plain_join(skewed, how):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
-def test_hot_keys_leave_the_shuffle(skewed):
+def test_the_left_side_is_read_once_and_hot_keys_are_parted(spark, skewed, tmp_path):
     left, right = skewed
+    left.repartition(8).write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
     weighted = right.join(J.key_weights(left, "k"), "k")
-    plan = J.hot_split_join(left, weighted, "k", "inner", "_w")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("broadcast") >= 2 and "LeftAnti" in plan
+    hot = J.hot_keys(weighted, "k", "_w")
+    assert hot.where("k = 0").first()._salts > 300 and hot.count() <= J.HOT_SHARE
+    weighted.write.parquet(str(tmp_path / "right"))
+    right = spark.read.parquet(str(tmp_path / "right"))
+    for how in ("inner", "left", "left_semi"):
+        joined = J.hot_split_join(left, right, "k", how, "_w")
+        text = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Relation [") == 2 and "strategy=broadcast" in text
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = J.hot_split_join(left, right, "k", "inner", "_w")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        total = sum(sizes)
+        assert max(sizes) < total / 5 and sum(r.k == 0 for r in joined.collect()) > total / 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_identical_rows_of_a_hot_key_and_map_columns(spark):
+    left = spark.range(0, 4000, 1, 8).select(F.lit(5).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    right = spark.createDataFrame([(5, "x", 4000)], "k int, v string, w long")
+    got = J.hot_split_join(left, right, "k", "inner", "w")
+    assert got.count() == 4000 and got.columns == ["k", "m", "v"]
 
 
 def test_join_kind_is_checked(skewed):

@@ -27,12 +27,27 @@ def test_row_split_moves_no_rows(spark):
         assert {n.split(" ")[0] for n in main_plan(df)} <= {"Project", "Filter", "Scan", "ColumnarToRow"}
 
 
-def test_single_partition_windows_see_bucket_counts_only(spark):
+def test_single_partition_windows_see_partition_counts_only(spark):
     text = plan(O.hash_rank(spark.read.parquet(f"{ROOT}/orders.parquet"), ["o_orderkey"]))
-    # One exchange to a single partition, right above the aggregate by bucket.
+    # One exchange to a single partition, right above the aggregate by range partition; rows themselves are not moved again.
     lines = text.splitlines()
     singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert singles and all("HashAggregate" in lines[i + 1] for i in singles)
+    assert len(singles) == 1 and "HashAggregate" in lines[singles[0] + 1]
+    assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text
+
+
+def test_range_partitions_grow_with_the_rows():
+    assert [O.range_parts(n, 8) for n in (0, 5, 19_999, 60_000, 2_000_000, 10**9, 10**12)] == [1, 1, 1, 3, 8, 1000, 10**6]
+
+
+def test_one_rank_table_and_no_plan_per_pair(spark):
+    """Two columns or eleven: the same scans, one aggregate of all pairs."""
+    from doseframe import schemas as S
+    from registry.inputs import activity
+
+    act = activity(spark, ROOT)
+    few, many = (T.spearman(act, S.NUMERIC_FEATURES[:k])._jdf.queryExecution().optimizedPlan().toString() for k in (2, 11))
+    assert few.count("Relation [") == many.count("Relation [") <= 3 and few.count("Aggregate") == many.count("Aggregate")
 
 
 def test_filters_and_columns_reach_the_scan(spark):

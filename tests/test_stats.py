@@ -153,3 +153,28 @@ def test_null_counts_and_value_counts(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, b string")
     assert [(r.column, r.nulls) for r in P.null_counts(df).collect()] == [("b", 2), ("a", 1)]
     assert {(r.column, r.value, r["count"]) for r in P.value_counts(df, ["b"]).collect()} == {("b", None, 2), ("b", "x", 1)}
+
+
+def test_spearman_with_a_hot_value_ties_and_columns_of_nothing(spark):
+    """Every pair is ranked anew on its own rows: many gap patterns, a value in a third of the rows, a constant, all nulls."""
+    rng = np.random.default_rng(4)
+    n = 900
+    frame = pd.DataFrame({f"c{i}": np.round(rng.normal(size=n) * 10 ** (i % 3), 1) for i in range(6)})
+    frame.loc[rng.random(n) < 0.35, "c0"] = 7.0
+    frame.loc[rng.random(n) < 0.3, "c1"] = -0.0
+    for i in (0, 2, 3, 5):
+        frame.loc[rng.random(n) < 0.15 * (i + 1), f"c{i}"] = np.nan
+    frame["one"], frame["none"] = 3.0, np.nan
+    df = spark.createDataFrame([tuple(None if math.isnan(v) else float(v) for v in row) for row in frame.itertuples(index=False)],
+                               ", ".join(f"{c} double" for c in frame))
+    got = {(r.x, r.y): r.r for r in T.spearman(df, list(frame.columns)).collect()}
+    assert len(got) == 64
+    for x in frame:
+        for y in frame:
+            both = frame[[x, y]].dropna() if x != y else frame[[x]].dropna()
+            ranks = [both[c].rank() for c in (x, y)]
+            varies = len(both) > 1 and all(r.nunique() > 1 for r in ranks)
+            want = float(np.corrcoef(*ranks)[0, 1]) if varies else None
+            assert got[x, y] == (pytest.approx(want, abs=1e-9) if varies else None), (x, y)
+    assert T.spearman(df.limit(0), ["c0", "c1"]).where("r is not null").count() == 0
+    assert T.spearman(df, ["c1"]).collect()[0].r == 1.0
