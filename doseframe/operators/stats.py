@@ -6,11 +6,12 @@ Each works on sums over all rows; only k x k numbers reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +21,9 @@ from doseframe.operators.ordering import exact_sample, running_before
 from doseframe.session import staged
 
 
+FEW_VALUES = 100_000  # rows of a rank table that are broadcast: some 10 MB at most
+
+
 class _PairSums:
     """Sums over the rows where both columns of a pair are present, all in one aggregate.
 
@@ -91,19 +95,70 @@ class _PairSums:
             "r", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
         )
 
-    def matrix(self, vals: DataFrame) -> DataFrame:
-        """(x, y, r) of the full symmetric matrix."""
-        return self.pair_rows(vals, [(x, y) for x in self.cols for y in self.cols]).select("x", "y", "r")
-
 
 def _values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[nan_to_null(c).alias(c) for c in cols])
 
 
+def _pair_table(vals: DataFrame, pairs: Sequence[tuple[str, str]], centre: dict[str, float]) -> DataFrame:
+    """(pair, n, xx, yy, xy): centred sums over the rows where both columns of a pair are present.
+
+    Beyond some hundred sums one aggregate is no longer compiled; here a batch is a matrix, a pair a few products of
+    its columns, and a task gives one row per pair.
+    """
+    names = sorted({c for p in pairs for c in p})
+    at = {c: k for k, c in enumerate(names)}
+    shift = np.array([centre[c] for c in names])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pairs), 6))
+        for batch in batches:
+            # A null becomes NaN.
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift[:, None]
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            whole, square = there.all(axis=1), x * x
+            for k, (a, b) in enumerate((at[p], at[q]) for p, q in pairs):
+                u, v = x[a], x[b]
+                if whole[a] and whole[b]:
+                    part = len(u), u.sum(), v.sum(), square[a].sum(), square[b].sum(), u @ v
+                else:
+                    both = (there[a] & there[b]).astype(float)
+                    part = both.sum(), u @ both, v @ both, square[a] @ both, square[b] @ both, u @ v
+                total[k] += part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(pairs)), pa.int32()), *[pa.array(total[:, c]) for c in range(6)]], ["pair", "n", "sx", "sy", "qx", "qy", "p"]
+        )
+
+    found = vals.select(*names).mapInArrow(sums, "pair int, n double, sx double, sy double, qx double, qy double, p double")
+    n = F.col("n")
+    return found.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "p")]).select(
+        "pair", "n", (F.col("qx") - F.try_divide(F.col("sx") * F.col("sx"), n)).alias("xx"),
+        (F.col("qy") - F.try_divide(F.col("sy") * F.col("sy"), n)).alias("yy"),
+        (F.col("p") - F.try_divide(F.col("sx") * F.col("sy"), n)).alias("xy"),
+    )
+
+
+def _both_orders(table: DataFrame, pairs: Sequence[tuple[str, str]], least: Column) -> DataFrame:
+    """(x, y, r) of a `_pair_table`, a pair of different columns in both orders; r is null where a side's squares do
+    not exceed `least`."""
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    r = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
+    fit = (F.col("xx") > least) & (F.col("yy") > least) & ~F.isnan("xx") & ~F.isnan("yy")
+    rows = table.select(F.get(names, F.col("pair")).alias("c"), F.when(fit, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
+    back = F.struct(F.col("c.y").alias("x"), F.col("c.x").alias("y"), F.col("r"))
+    there = F.struct(F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("r"))
+    return rows.select(F.inline(F.when(F.col("c.x") == F.col("c.y"), F.array(there)).otherwise(F.array(there, back))))
+
+
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x, y, r) over all column pairs, each on the rows where both are present."""
-    vals = _values(df, cols)
-    return _PairSums.measured(vals, cols, list(combinations(cols, 2))).matrix(vals)
+    """(x, y, r) over all column pairs, each on the rows where both are present; null without two different values."""
+    cols = list(cols)
+    vals = staged(_values(df, cols).select(*[F.col(c).cast("double").alias(c) for c in cols]), "correlated")
+    means = vals.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centre = {c: m if m is not None and math.isfinite(m) else 0.0 for c, m in zip(cols, means)}
+    pairs = list(combinations_with_replacement(cols, 2))
+    return _both_orders(_pair_table(vals, pairs, centre), pairs, F.lit(0.0))
 
 
 class _Ranks:
@@ -128,68 +183,48 @@ class _Ranks:
         bits = reduce(lambda a, b: a.bitwiseOR(b), [
             F.when(F.col(self.cols[i]).isNotNull(), F.lit(1 << b)).otherwise(F.lit(0)) for b, i in enumerate(self.gaps)
         ], F.lit(0)).cast("long")
-        # The id belongs to the row, hence before the cells are unfolded.
-        rows = self.vals.withColumn("id", F.monotonically_increasing_id()).withColumn("bits", bits)
-        return rows.select("id", "bits", F.inline(cell)).where(F.col("v").isNotNull())
+        return self.vals.select(bits.alias("bits"), F.inline(cell)).where(F.col("v").isNotNull())
 
     def table(self) -> DataFrame:
-        """One row per row of the input: r<i> for column i, r<i>_<j> among the rows with column j."""
+        """Rows of r<i> for column i and r<i>_<j> for column i among the rows with column j.
+
+        The ranks of a column come back by its values: by broadcast where it has few of them, else through a shuffle in
+        which hot values are parted and rows without a value are spread.
+        """
         names = ["n", *[f"n{i}" for i in self.gaps]]
-        counts = self._long().groupBy("c", "v").agg(F.count("*").alias("n"), *[
+        counts = staged(self._long().groupBy("c", "v").agg(F.count("*").alias("n"), *[
             F.count_if(F.col("bits").bitwiseAND(F.lit(1 << b)) != 0).alias(f"n{i}") for b, i in enumerate(self.gaps)
-        ])
+        ]), "value-counts")
         ranks = staged(running_before(counts, "c", "v", names).select(
-            F.struct("c", "v").alias("k"), "n", *[(F.col(f"before_{m}") + (F.col(m) + 1) / 2.0).alias(f"r_{m}") for m in names]
+            "c", "v", "n", *[(F.col(f"before_{m}") + (F.col(m) + 1) / 2.0).alias(f"r_{m}") for m in names]
         ), "ranks")
-        cells = self._long().select("id", F.struct("c", "v").alias("k"))
-        placed = hot_split_join(cells, ranks, "k", "inner", "n")
-        return placed.groupBy("id").agg(*[
-            F.max(F.when(F.col("k.c") == i, F.col(f"r_{m}"))).alias(f"r{i}" + (f"_{m[1:]}" if m != "n" else ""))
-            for i in range(len(self.cols)) for m in names
-        ])
+        distinct = {r["c"]: r["count"] for r in ranks.groupBy("c").count().collect()}
+        out = self.vals
+        for i, c in enumerate(self.cols):
+            own = ranks.where(F.col("c") == i).select(
+                F.col("v").alias(c), "n", *[F.col(f"r_{m}").alias(f"r{i}" + (f"_{m[1:]}" if m != "n" else "")) for m in names]
+            )
+            if distinct.get(i, 0) <= FEW_VALUES:
+                out = out.join(F.broadcast(own.drop("n")), c, "left").drop(c)
+            else:
+                out = hot_split_join(out, own, c, "left", "n").drop(c)
+        return out
 
     def correlations(self) -> DataFrame:
-        """(x, y, r) of all pairs of different columns, both orders, from one aggregate over the ranks."""
-        middle = F.lit((self.rows + 1) / 2.0)
-        aggs: dict[str, Column] = {}
-
-        def total(i: int, j: int, a: str, b: str) -> Column:
-            """Sum of a * b, centred, over the rows with columns i and j; without gaps the columns' own sums are shared."""
-            both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
-            open_pair = i in self.gaps or j in self.gaps
-            key = f"s_{a}_{b}" + (f"_{i}_{j}" if open_pair else "")
-            product = (F.col(a) - middle) * (F.col(b) - middle)
-            aggs[key] = F.sum(F.when(both, product) if open_pair else product)
-            return F.col(key)
-
-        pairs = []
-        for i, j in combinations(range(len(self.cols)), 2):
-            a = f"r{i}_{j}" if j in self.gaps else f"r{i}"
-            b = f"r{j}_{i}" if i in self.gaps else f"r{j}"
-            aggs[f"n_{i}_{j}"] = F.count_if(F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull())
-            pairs.append((i, j, F.col(f"n_{i}_{j}"), total(i, j, a, a), total(i, j, b, b), total(i, j, a, b)))
-        # The mean of n average ranks is (n + 1) / 2.
-        rows = self.table().agg(*[v.alias(k) for k, v in aggs.items()]).select(F.inline(F.array(*[
-            F.struct(*[v.alias(k) for k, v in (
-                ("x", F.lit(self.cols[i])), ("y", F.lit(self.cols[j])), ("n", n), ("aa", aa), ("bb", bb), ("ab", ab),
-                ("shift", n * F.pow((n + 1) / 2.0 - middle, F.lit(2.0))),
-            )]) for i, j, n, aa, bb, ab in pairs
-        ])))
-        centred = rows.select("x", "y", "n", *[(F.col(s) - F.col("shift")).alias(s) for s in ("aa", "bb", "ab")])
-        # Two different ranks among n give squares of n * (n - 1) / 4 at least.
+        """(x, y, r) of all pairs of different columns, both orders, from one pass over the ranks."""
+        middle = (self.rows + 1) / 2.0
+        places = list(combinations(range(len(self.cols)), 2))
+        ranked = [(f"r{i}_{j}" if j in self.gaps else f"r{i}", f"r{j}_{i}" if i in self.gaps else f"r{j}") for i, j in places]
+        table = _pair_table(self.table(), ranked, {c: middle for p in ranked for c in p})
+        # Two different ranks among n give squares of n * (n - 1) / 4 at least: less than half of that is rounding.
         least = F.col("n") * (F.col("n") - 1) / 8.0
-        r = F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb"))
-        fit = (F.col("n") > 1) & (F.col("aa") > least) & (F.col("bb") > least)
-        one_way = centred.select("x", "y", F.when(fit, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
-        return one_way.select(F.inline(F.array(
-            F.struct(F.col("x"), F.col("y"), F.col("r")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("r"))
-        )))
+        return _both_orders(table, [(self.cols[i], self.cols[j]) for i, j in places], least)
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x, y, r): Pearson on average ranks, ranked anew on the rows where both are present.
 
-    All columns are ranked together in one long table, and all pairs come from one aggregate; no plan per pair.
+    All columns are ranked together in one long table, and all pairs come from one pass; no plan per pair.
     """
     ranks = _Ranks(_values(df, cols), cols)
     itself = df.sparkSession.createDataFrame(
