@@ -21,6 +21,10 @@ AGGREGATORS = {
 }
 
 
+# Elements that one aggregate sums: beyond 100 buffer fields it is no longer compiled.
+BLOCK = {"sum": 64, "add": 64, "mean": 32, "max": 64, "min": 64, "std": 24}
+
+
 def node_features(atoms: DataFrame) -> DataFrame:
     """nodes(mol_id, atom_idx, feats[28]) from atom attributes.
 
@@ -91,21 +95,34 @@ def neighbour_aggregate(
     joined = _messages(nodes, edges, hubs)
     has_edge = "feats" in edges.columns
 
-    def message(i: int) -> Column:
-        x = F.get("x", F.lit(i))
-        return F.greatest(x + F.get("e", F.lit(i)), F.lit(0.0)) if has_edge else x
+    size = BLOCK[how]
+    blocks = -(-width // size)
+    # Every message is taken apart into blocks, which are combined in the task before the shuffle.
+    parts = joined.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else joined
+    keys = ["mol_id", "dst", "block"][:2 + (blocks > 1)]
+    place = F.col("block") * size if blocks > 1 else F.lit(0)
 
-    sums = joined.groupBy("mol_id", "dst").agg(*[AGGREGATORS[how](message(i)).alias(f"a{i}") for i in range(width)])
-    incoming = sums.withColumnRenamed("dst", "atom_idx")
-
-    def updated(i: int) -> Column:
-        x = F.get("feats", F.lit(i))
-        out = F.coalesce(F.col(f"a{i}"), F.lit(0.0))
+    def message(i: int) -> Column:
+        x = F.get("x", place + i)
+        return F.greatest(x + F.get("e", place + i), F.lit(0.0)) if has_edge else x
+
+    least = min(size, width)
+    sums = parts.groupBy(*keys).agg(*[AGGREGATORS[how](message(i)).alias(f"a{i}") for i in range(least)])
+    vectors = sums.select("mol_id", F.col("dst").alias("atom_idx"), *keys[2:], F.array(*[f"a{i}" for i in range(least)]).alias("a"))
+    if blocks > 1:
+        ordered = F.sort_array(F.collect_list(F.struct("block", "a")))
+        vectors = vectors.groupBy("mol_id", "atom_idx").agg(F.flatten(F.transform(ordered, lambda b: b["a"])).alias("a"))
+
+    def updated(x: Column, found: Column) -> Column:
+        out = F.coalesce(found, F.lit(0.0))
         out = x + out if own else out
         return F.greatest(out, F.lit(0.0)) + x if residual else out
 
-    return nodes.join(incoming, ["mol_id", "atom_idx"], "left").select(
-        "mol_id", "atom_idx", F.array(*[updated(i) for i in range(width)]).alias("feats")
+    # One short function for all elements: hundreds of expressions would not fit a compiled method.
+    own_part = F.slice("feats", 1, width)
+    found = F.coalesce(F.slice("a", 1, width), F.array_repeat(F.lit(0.0), width))
+    return nodes.join(vectors, ["mol_id", "atom_idx"], "left").select(
+        "mol_id", "atom_idx", F.zip_with(own_part, found, updated).alias("feats")
     )
 
 

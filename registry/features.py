@@ -212,6 +212,20 @@ for _how, _fn in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stdd
         return _cells(G.neighbour_aggregate(nodes, arcs, WIDTH, how, own=False))
 
 
+# Three embeddings side by side: 192 elements, as many as the hidden layer of the wide models.
+WIDE = CHAIN.replace("unnest(range(0, 64))::INTEGER as pos", "unnest(range(0, 192))::INTEGER as pos").replace(
+    "unnest(embedding)::DOUBLE as x", "unnest(embedding || list_transform(embedding, lambda v: -v) || list_transform(embedding, lambda v: 2 * v))::DOUBLE as x")
+
+
+@query("neighbour_wide", f"""with {WIDE}, a as (select mol_id, atom_idx, pos, sum(msg) as s from m group by all)
+ select mol_id, atom_idx, pos, {r('greatest(x + coalesce(s, 0), 0) + x')} as value from n left join a using (mol_id, atom_idx, pos)""")
+def neighbour_wide(spark, d):
+    nodes, arcs = chain(spark, d)
+    tripled = F.concat("feats", F.transform("feats", lambda v: -v), F.transform("feats", lambda v: v * 2))
+    arcs = arcs.withColumn("feats", F.concat("feats", "feats", "feats"))
+    return _cells(G.neighbour_aggregate(nodes.withColumn("feats", tripled), arcs, 3 * WIDTH, "sum", residual=True))
+
+
 @query("neighbour_two_rounds", f"""with {CHAIN}, a as (select mol_id, atom_idx, pos, sum(msg) as s from m group by all),
  n2 as (select mol_id, atom_idx, pos, x + coalesce(s, 0) as x, w from n left join a using (mol_id, atom_idx, pos)),
  a2 as (select d.mol_id, d.atom_idx, d.pos, sum(greatest(s.x + s.w, 0)) as s

@@ -111,6 +111,22 @@ def test_density_is_the_kernel_sum(spark):
     assert P.density_curve(spark.createDataFrame([(2.0,)] * 5, "a double"), "a").count() == 0
 
 
+def test_density_of_many_far_values_stays_in_proportion(spark):
+    """A million distinct outliers: rows made are a small multiple of the cells, not cells times points."""
+    df = spark.range(1_000_000).select(F.pow(F.col("id").cast("double") / 1000, F.lit(3.0)).alias("a"))
+    curve = P.density_curve(df, "a", 200)
+    rows = {r.point: r.density for r in curve.collect()}
+    values = (np.arange(1_000_000) / 1000) ** 3
+    width = values.std(ddof=1) * len(values) ** -0.2
+    for point in (0, 3, 50, 199):
+        at = values.max() * point / 199
+        exact = np.exp(-0.5 * ((at - values) / width) ** 2).sum() / (len(values) * width * np.sqrt(2 * np.pi))
+        assert rows[point] == pytest.approx(exact, rel=1e-3)
+    assert len(rows) == 200
+    text = curve._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(first" in text and "explode([0" not in text
+
+
 def test_vif_of_collinear_columns(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(20)], "a double, b double, c double")
     got = {r.feature: r.vif for r in T.vif(df, ["a", "b", "c"]).collect()}
