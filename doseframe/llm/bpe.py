@@ -11,11 +11,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from doseframe.llm.text import byte_groups
 
 # Leaves of the reduction, in bytes. Any positive number gives the same tokens.
 LEAF_BYTES = 16
@@ -24,6 +28,8 @@ KEPT_MATCHES = 400_000
 # Windows longer than this are merged with a heap of pairs.
 HEAP_BYTES = 96
 NO_RANK = 1 << 60
+# Texts whose ids are held at once.
+GROUP_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -171,19 +177,52 @@ def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
     return decode(ids)
 
 
-def digest_column(text: Column, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES, with_ids: bool = False) -> Column:
-    """Struct n_tokens, ids_sha256, decoded_sha256 (and ids): encoded, decoded and hashed in one pass.
+def tokenized(
+    df: DataFrame, kept: Sequence[str], text: str, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES
+) -> DataFrame:
+    """The `kept` columns of every row with n_tokens, ids array<int>, ids_sha256 and decoded_sha256 of its text.
+
+    A null or empty text has no ids; rows that repeat a key or a text each give their row; columns that are not kept
+    are not read. Texts are handled in groups of GROUP_BYTES, ids go from the list of one text into an integer array at
+    once, and a group's rows leave the task before the next group is read; a longer text is a group of its own.
+    """
+    narrow = df.select(*kept, F.col(text).cast("binary").alias("_text"))
+    at = len(kept)
 
-    Without `with_ids` the ids of long texts never leave the task that made them.
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(ranks, pattern, leaf)
+        for batch in batches:
+            for part in byte_groups(batch, at, GROUP_BYTES):
+                arrays, digests = [], []
+                for raw in part.column(at):
+                    ids = tokenizer.encode(raw.as_py().decode() if raw.is_valid else "")
+                    arrays.append(np.array(ids, dtype=np.int32))
+                    digests.append(tokenizer.digest(ids))
+                offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int64)
+                values = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int32)
+                n, ids_hash, bytes_hash = zip(*digests) if digests else ((), (), ())
+                yield pa.RecordBatch.from_arrays([
+                    *part.columns[:at], pa.array(n, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)),
+                    pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()),
+                ], [*kept, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    return narrow.mapInArrow(tasks, f"{kinds}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def digest_column(text: Column, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES) -> Column:
+    """Struct n_tokens, ids_sha256, decoded_sha256: encoded, decoded and hashed in one pass.
+
+    The ids of long texts never leave the task that made them.
     """
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = Tokenizer(ranks, pattern, leaf)
         for texts in batches:
             rows = []
             for t in texts:
-                ids = tokenizer.encode(t)
-                rows.append((*tokenizer.digest(ids), *([ids] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:3 + with_ids])
+                rows.append(tokenizer.digest(tokenizer.encode(t)))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest(text)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from doseframe.llm.components import components
 from doseframe.llm.sieve import sieve
+from doseframe.llm.text import unused
 from doseframe.session import staged
 
 # 48 bands of 6 values (3 permutations): a pair of similarity 0.8 is missed with a chance of 5e-7.
@@ -335,25 +336,28 @@ def keep_one(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int
     The texts are moved once, to be joined with the keys and text hashes of the rows that go.
     """
     found = staged(near_duplicates(df, key, text, shingle, percent), "found")
-    rows = found.groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(
+    # Columns of `df` keep their names and values, whatever they are called.
+    key_name, hash_name = unused(df, "_key"), unused(df, "_hash")
+    rows = found.groupBy(F.col(key).alias(key_name), F.col("text_hash").alias(hash_name)).agg(
         F.max("first").alias("stays"), F.count("*").alias("n"), F.max("n_shingles").alias("size")
     )
-    marked = df.withColumn("_hash", text_hash(F.col(text)))
+    marked = df.withColumn(hash_name, text_hash(F.col(text)))
 
     def same(other: DataFrame):
-        return marked[key].eqNullSafe(other["_key"]) & (marked["_hash"] == other["_hash"])
+        return marked[key].eqNullSafe(other[key_name]) & (marked[hash_name] == other[hash_name])
 
-    gone = staged(rows.where(~F.col("stays")).select("_key", "_hash"), "gone")
-    again = staged(rows.where(F.col("stays") & (F.col("n") > 1) & (F.col("size") > 0)).select("_key", "_hash"), "again")
+    gone = staged(rows.where(~F.col("stays")).select(key_name, hash_name), "gone")
+    again = staged(rows.where(F.col("stays") & (F.col("n") > 1) & (F.col("size") > 0)).select(key_name, hash_name), "again")
     touched = gone.unionByName(again)
-    may_go = F.coalesce(sieve(touched.select(F.xxhash64("_key", "_hash")))(F.xxhash64(F.col(key), F.col("_hash"))), F.lit(False))
-    out = marked.where(~may_go).unionByName(marked.where(may_go).join(touched, same(touched), "left_anti")).drop("_hash")
+    may_go = F.coalesce(sieve(touched.select(F.xxhash64(key_name, hash_name)))(F.xxhash64(F.col(key), F.col(hash_name))), F.lit(False))
+    out = marked.where(~may_go).unionByName(marked.where(may_go).join(touched, same(touched), "left_anti")).drop(hash_name)
     if again.isEmpty():
         return out
     rest = [c for c in df.columns if c not in (key, text)]
-    extra = marked.where(may_go).join(again, same(again), "left_semi").drop("_hash")
-    one = extra.groupBy(key, text).agg(F.min(F.struct(F.lit(0), *rest)).alias("_rest"))
-    return out.unionByName(one.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]))
+    extra = marked.where(may_go).join(again, same(again), "left_semi").drop(hash_name)
+    row = unused(df, "_row")
+    one = extra.groupBy(key, text).agg(F.min(F.struct(F.lit(0), *rest)).alias(row))
+    return out.unionByName(one.select(*[F.col(row)[c].alias(c) if c in rest else F.col(c) for c in df.columns]))
 
 
 def text_hash(text: Column) -> Column:

@@ -101,8 +101,12 @@ def member_column(text: Column, model: Membership) -> Column:
     def member(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = TermIndex(model.terms)
         for texts in batches:
-            p = model.posteriors([index.find(t) for t in texts])
-            yield pd.DataFrame({"n_tokens": [len(words(t)) for t in texts], "p": list(p)})
+            sizes, places = [], []
+            for text in texts:
+                found = words(text)
+                sizes.append(len(found))
+                places.append(index.find(found))
+            yield pd.DataFrame({"n_tokens": sizes, "p": list(model.posteriors(places))})
 
     return member(text)
 

@@ -91,22 +91,26 @@ class TermIndex:
 
     def __init__(self, chosen: np.ndarray):
         self.place = {int(t): i for i, t in enumerate(chosen)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def find(self, text: str | None) -> list[int]:
-        found = words(text)
-        kinds = set(found)
-        place, known = self.place, self.known
-        got = {place[t] for t in shape_terms(found, len(kinds)) if t in place}
-        for w in kinds:
-            hits = known.get(w)
-            if hits is None:
-                hits = tuple(place[t] for t in word_terms(w) if t in place)
-                if len(known) >= self.KEPT_WORDS:
-                    known.clear()
-                known[w] = hits
+        # Most words hold no chosen term: sets tell in one step which are new and which count.
+        self.met: set[bytes] = set()
+        self.telling: set[bytes] = set()
+        self.hits: dict[bytes, tuple[int, ...]] = {}
+
+    def find(self, found: list[bytes]) -> list[int]:
+        """Sorted positions for the words of a text."""
+        kinds, place = set(found), self.place
+        if len(self.met) >= self.KEPT_WORDS:
+            self.met, self.telling, self.hits = set(), set(), {}
+        new = kinds.difference(self.met)
+        self.met |= new
+        for w in new:
+            hits = tuple(place[t] for t in word_terms(w) if t in place)
             if hits:
-                got.update(hits)
+                self.hits[w] = hits
+                self.telling.add(w)
+        got = {place[t] for t in shape_terms(found, len(kinds)) if t in place}
+        for w in kinds & self.telling:
+            got.update(self.hits[w])
         return sorted(got)
 
 

@@ -40,6 +40,14 @@ def fold_of(value: int, folds: int) -> int:
     return zlib.crc32(str(value).encode()) % folds
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of `df` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_groups(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, in order, whose values of a binary or text column have at most `limit` bytes in all;
     a value beyond the limit is a slice of its own."""

@@ -68,3 +68,30 @@ def test_odd_documents(spark, save):
     got = cp.run(spark, folder).collect()
     assert {r.doc_id for r in got} <= {1, 2, 3, None, 5} and len(got) == len({(r.doc_id, r.ids_sha256) for r in got})
     assert cp.run(spark, save(documents=docs.limit(0))).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark, save):
+    """Columns named like the stages' own helpers come out of every stage but the last as they went in."""
+    extra = ["_rate", "_hash", "_rest", "_copies", "_copy", "_key", "_member", "_row"]
+    rows = [(k, f"words of text number {k} and some more {k * 7} of them", *[f"{c}{k}" for c in extra]) for k in range(30)]
+    rows += [rows[3], (40, rows[4][1], *rows[4][2:]), (41, None, *rows[5][2:]), (42, None, *[None] * len(extra))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    folder = save(documents=docs, labels=spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int"))
+    want = {tuple(r) for r in rows}
+    for _, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert set(got) <= want and len(got) >= 10, stage
+
+
+def test_token_rows_in_small_groups(spark, monkeypatch):
+    """The ids of the token stage are those of the library, however texts are grouped; nulls and empty texts have none."""
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 10)
+    ranks = bpe.read_ranks(P.path(cp.BPE_FILE))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", None, "short", "a longer text, with 12 words or so", "é" * 50, "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in bpe.tokenized(docs, ["doc_id"], "text", ranks, P.PATTERN).collect()}
+    assert [rows[k].ids for k in range(6)] == [library.encode_ordinary(t or "") for t in texts]
+    assert all(rows[k].n_tokens == len(rows[k].ids) for k in range(6))
