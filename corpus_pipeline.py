@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doseframe.llm import bpe, minmax, mixing, toxicity
-from doseframe.llm.text import table
+from doseframe.llm.text import table, unused
 from doseframe.session import staged
 
 TOXIC_FROM = 0.3
@@ -40,21 +40,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = mixing.fit_membership(docs, labels, len(SHARES))
-    members = staged(docs.select(mixing.member_column(F.col("text"), model).alias("m")).select("m.n_tokens", "m.p"), "members")
-    rates = mixing.fit_rates(members, SHARES, GOOD)
-    rate = mixing.rate_column(mixing.member_column(F.col("text"), model)["p"], rates)
-    copies = mixing.copies_column(F.col("doc_id"), F.col("_rate"))
-    drawn = docs.withColumn("_rate", rate).withColumn("_copies", copies).where("_copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    # The classifier reads every text once; names that no column of the documents has.
+    member, rate_of, copies_of, turn = (unused(docs, name) for name in ("_member", "_rate", "_copies", "_copy"))
+    scored = staged(docs.withColumn(member, mixing.member_column(F.col("text"), model)), "members")
+    rates = mixing.fit_rates(scored.select(F.col(member)["n_tokens"].alias("n_tokens"), F.col(member)["p"].alias("p")), SHARES, GOOD)
+    rated = scored.withColumn(rate_of, mixing.rate_column(F.col(member)["p"], rates))
+    drawn = rated.withColumn(copies_of, mixing.copies_column(F.col("doc_id"), F.col(rate_of))).where(F.col(copies_of) > 0)
+    return drawn.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies_of)))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
     ranks = bpe.read_ranks(public_tokenizers.path(BPE_FILE))
-    coded = bpe.digest_column(F.col("text"), ranks, public_tokenizers.PATTERN, with_ids=True)
-    return docs.select("doc_id", "lang", "source", coded.alias("_coded")).select(
-        "doc_id", "lang", "source", "_coded.n_tokens", "_coded.ids", "_coded.ids_sha256", "_coded.decoded_sha256"
-    )
+    return bpe.tokenized(docs, ["doc_id", "lang", "source"], "text", ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [
