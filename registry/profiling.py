@@ -14,6 +14,11 @@ from registry.inputs import ACT, ACTIVITIES_SQL, activities, activity, activity_
 LABELLED = "labelled as (select d.*, l.quality, l.toxic from documents d left join labels l using (doc_id))"
 
 
+def quoted(cols: list[str]) -> list[str]:
+    """Column names for SQL."""
+    return [f'"{c}"' if c != c.lower() else c for c in cols]
+
+
 def labelled(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
 
@@ -43,7 +48,7 @@ def _describe_sql(source: str, cols: list[str]) -> str:
     return " union all ".join(parts)
 
 
-DESCRIBED = ["mw_freebase", "alogp", "hba", "standard_value", '"pIC50"']
+DESCRIBED = [*quoted(S.NUMERIC_FEATURES), "pchembl_value"]
 
 
 @query("describe_activity", f"with {ACT} {_describe_sql('act', DESCRIBED)}")
@@ -165,9 +170,10 @@ def _box_sql(c: str, source: str) -> str:
    select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as q2, quantile_cont({c}, 0.75) as q3 from {source})) group by all"""
 
 
-@query("box_stats", f"with {ACT} {_box_sql('standard_value', 'act')} union all {_box_sql('alogp', 'act')} union all {_box_sql('psa', 'act')}")
+@query("box_stats", f"with {ACT}, m as materialized (select {', '.join(quoted(S.BOX_FEATURES))} from act) "
+       + " union all ".join(_box_sql(c, "m").replace(f"select '{c}'", "select '" + c.strip('"') + "'") for c in quoted(S.BOX_FEATURES)))
 def box_stats(spark, d):
-    return rounded(P.box_stats(activity_table(spark, d), ["standard_value", "alogp", "absent", "psa"]))
+    return rounded(P.box_stats(activity_table(spark, d), [*S.BOX_FEATURES, "absent"]))
 
 
 @query("box_stats_events", _box_sql("value", "events"))
@@ -175,11 +181,6 @@ def box_stats_events(spark, d):
     return rounded(P.box_stats(table(spark, d, "events"), ["value"]))
 
 
-def quoted(cols: list[str]) -> list[str]:
-    """Column names for SQL."""
-    return [f'"{c}"' if c != c.lower() else c for c in cols]
-
-
 NUMERIC = quoted(S.NUMERIC_FEATURES)
 
 
@@ -280,11 +281,35 @@ VIF = """g as (select sum(a*a) as aa, sum(a*b) as ab, sum(a*c) as ac, sum(b*b) a
    union all select 'l_discount', cc * (aa*bb - ab*ab) / det from det)"""
 
 
-@query("vif", f"with {VIF} select feature, {r('vif')} as vif, case when vif > 10 then 'strong' when vif > 5 then 'moderate' else 'none' end as label from v")
-def vif(spark, d):
+@query("vif_lineitem", f"with {VIF} select feature, {r('vif')} as vif, case when vif > 10 then 'strong' when vif > 5 then 'moderate' else 'none' end as label from v")
+def vif_lineitem(spark, d):
     return rounded(T.vif(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
+def _vif_sql(source: str, cols: list[str]) -> str:
+    """Sums of products with a unit diagonal; sweeping every pivot leaves the inverse with its sign turned. Columns that
+    others give up to rounding (here alogp and psa) are infinite."""
+    k = len(cols)
+    cells = " union all ".join(
+        f"select {i} as i, {j} as j, sum({a} * {b}) / sqrt(sum({a} * {a}) * sum({b} * {b})) as a from m"
+        for i, a in enumerate(cols) for j, b in enumerate(cols))
+    steps = "".join(f""",
+ g{p + 1} as materialized (select x.i, x.j, case when x.i = {p} and x.j = {p} then -1 / p.a when x.i = {p} or x.j = {p} then x.a / p.a
+   else x.a - r.a * c.a / p.a end as a
+   from g{p} x join g{p} p on p.i = {p} and p.j = {p} join g{p} r on r.i = x.i and r.j = {p} join g{p} c on c.i = {p} and c.j = x.j)"""
+                    for p in range(k))
+    full = " and ".join(f"{c} is not null" for c in cols)
+    return f"""m as materialized (select {', '.join(f'{c}::DOUBLE as {c}' for c in cols)} from {source} where {full}),
+ g0 as materialized ({cells}){steps},
+ v as (select ({cols!r})[i + 1] as feature, case when -a between 0 and 1e12 then -a else 'inf'::DOUBLE end as vif from g{k} where i = j)"""
+
+
+@query("vif", f"""with {ACT}, {_vif_sql('act', S.VIF_FEATURES)}
+ select feature, {r('vif')} as vif, case when vif > 10 then 'strong' when vif > 5 then 'moderate' else 'none' end as label from v""")
+def vif(spark, d):
+    return rounded(T.vif(activity_table(spark, d), S.VIF_FEATURES))
+
+
 @query("vif_summary", f"with {VIF} select count(*) filter (vif > 10) as high, count(*) filter (vif > 5 and vif <= 10) as moderate from v")
 def vif_summary(spark, d):
     return T.vif_summary(T.vif(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))

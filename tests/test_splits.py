@@ -97,3 +97,17 @@ def test_kind_is_checked(spark):
 def test_folds(spark):
     sizes = L.with_fold(spark.range(1000), ["id"], 5).groupBy("fold").agg(F.count("*").alias("n")).collect()
     assert len(sizes) == 5 and sum(r.n for r in sizes) == 1000
+
+
+def test_only_the_head_of_a_hundred_thousand_sizes_reaches_the_driver(spark):
+    """One group of every size from 1 to 100,000: the split of a tenth and a tenth needs the largest tenth of the sizes."""
+    n = 100_000
+    groups = spark.range(1, n + 1).select(F.col("id").alias("g"), F.col("id").alias("_n"))
+    total = n * (n + 1) // 2
+    goal = total // 10
+    head = L.size_head(groups, 2 * goal)
+    assert [c for c, _ in head] == list(range(n, n - len(head), -1)) and all(m == 1 for _, m in head)
+    assert len(head) < 0.11 * n and sum(c for c, _ in head) >= 2 * goal
+    # The blocks of the head are those of all sizes.
+    everything = [b for b in L._blocks([(c, 1) for c in range(n, 0, -1)], goal, goal) if b[3] != "train"]
+    assert [b for b in L._blocks(head, goal, goal) if b[3] != "train"] == everything
