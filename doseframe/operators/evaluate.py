@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -193,3 +195,57 @@ def cross_validated(df: DataFrame, features: str, label: str, fold: str, k: int,
         for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
     ]
     return df.sparkSession.createDataFrame(rows, f"parameters string, {metric}_mean double, {metric}_std double")
+
+
+def _fold_sums(df: DataFrame, cols: Sequence[str], fold: str) -> dict:
+    """Per fold the sums of products of (1, columns), columns shifted by their means; one row a fold reaches the driver."""
+    vals = df.select(fold, *[F.col(c).cast("double").alias(c) for c in cols]).where(F.col(fold).isNotNull()).na.drop(subset=list(cols))
+    means = vals.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shifted = [F.lit(1.0), *[F.col(c) - F.lit(means[c]) for c in cols]] if means[0] is not None else [F.lit(1.0)] * (len(cols) + 1)
+    k = len(shifted)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    out = {}
+    for row in vals.groupBy(fold).agg(*[F.sum(shifted[i] * shifted[j]).alias(f"s{i}_{j}") for i, j in cells]).collect():
+        sums = np.zeros((k, k))
+        for i, j in cells:
+            sums[i, j] = sums[j, i] = row[f"s{i}_{j}"]
+        out[row[fold]] = sums
+    return out
+
+
+def fold_regressions(df: DataFrame, features: Sequence[str], label: str, fold: str, penalties: Sequence[float] = (0.0,)) -> DataFrame:
+    """(fold, penalty, n, r2, rmse) of linear models fitted on all other folds, for every fold and penalty at once.
+
+    The sums of a fold's training rows are the total minus its own, and its squared errors follow from its own sums:
+    the table is read for the means and once more for all fits and scores. A penalty times the number of training rows
+    is added to the squares of the centred features. Rows with a null take no part; a fold with no other rows, or none
+    of its own, has no model; r2 is null for a fold whose label does not vary.
+    """
+    sums = _fold_sums(df, [*features, label], fold)
+    total = sum(sums.values()) if sums else None
+    rows = []
+    for name, own in sums.items():
+        rest = total - own
+        if rest[0, 0] <= 0:
+            continue
+        middle = rest[0] / rest[0, 0]
+        spread = rest - rest[0, 0] * np.outer(middle, middle)
+        squares, with_label = spread[1:-1, 1:-1], spread[1:-1, -1]
+        n, label_mean = own[0, 0], own[0, -1] / own[0, 0]
+        around = own[-1, -1] - n * label_mean ** 2
+        for penalty in penalties:
+            slopes = np.linalg.pinv(squares + penalty * rest[0, 0] * np.eye(len(squares)), rcond=1e-12, hermitian=True) @ with_label
+            # The residual is a linear form of (1, features, label): its square sum is a quadratic form of the sums.
+            form = np.concatenate([[slopes @ middle[1:-1] - middle[-1]], -slopes, [1.0]])
+            missed = max(float(form @ own @ form), 0.0)
+            r2 = 1 - missed / float(around) if around > 1e-12 * n else None
+            rows.append((name, float(penalty), int(n), r2, math.sqrt(missed / n)))
+    kind = df.schema[fold].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"`{fold}` {kind}, penalty double, n bigint, r2 double, rmse double")
+
+
+def fold_summary(scores: DataFrame) -> DataFrame:
+    """(penalty, folds, r2_mean, r2_std): mean and population deviation over the folds."""
+    return scores.groupBy("penalty").agg(
+        F.count("*").alias("folds"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std")
+    )

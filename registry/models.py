@@ -341,6 +341,35 @@ def cross_validation(spark, d):
     return rounded(E.cross_validated(rows, "features", "t", "fold", 3, {"regParam": [0.0, 1.0]}))
 
 
+# Two features: the slopes by Cramer's rule on the rows outside a fold, the scores on its rows.
+FOLDS_SQL = f"""x as (select (('0x' || substr(md5('42:' || o_orderkey), 1, 7))::BIGINT % 5)::INTEGER as fold,
+   (o_custkey % 17)::DOUBLE as a, (o_orderkey % 13)::DOUBLE as b, o_totalprice / 100000 as t from orders),
+ f as (select fold, penalty from (select distinct fold from x), (select unnest([0.0::DOUBLE, 0.5::DOUBLE]) as penalty)),
+ m as (select f.fold, penalty, avg(a) as ma, avg(b) as mb, avg(t) as mt, var_pop(a) + penalty as aa, var_pop(b) + penalty as bb,
+   covar_pop(a, b) as ab, covar_pop(a, t) as ta, covar_pop(b, t) as tb from f join x on x.fold <> f.fold group by f.fold, penalty),
+ s as (select *, (ta * bb - tb * ab) / (aa * bb - ab * ab) as ka, (tb * aa - ta * ab) / (aa * bb - ab * ab) as kb from m),
+ e as (select s.fold, penalty, t, mt + ka * (a - ma) + kb * (b - mb) as p from s join x using (fold)),
+ scores as (select fold, penalty, count(*) as n, 1 - sum((t - p) ** 2) / (var_pop(t) * count(*)) as r2, sqrt(avg((t - p) ** 2)) as rmse
+   from e group by all)"""
+
+
+def fold_scores(spark, d):
+    rows = L.with_fold(table(spark, d, "orders"), ["o_orderkey"], 5).select(
+        "fold", (F.col("o_custkey") % 17).alias("a"), (F.col("o_orderkey") % 13).alias("b"), (F.col("o_totalprice") / 100000).alias("t")
+    )
+    return E.fold_regressions(rows, ["a", "b"], "t", "fold", [0.0, 0.5])
+
+
+@query("fold_regressions", f"with {FOLDS_SQL} select fold, penalty, n, {r('r2')} as r2, {r('rmse')} as rmse from scores")
+def fold_regressions(spark, d):
+    return rounded(fold_scores(spark, d))
+
+
+@query("fold_summary", f"with {FOLDS_SQL} select penalty, count(*) as folds, {r('avg(r2)')} as r2_mean, {r('stddev_pop(r2)')} as r2_std from scores group by 1")
+def fold_summary(spark, d):
+    return rounded(E.fold_summary(fold_scores(spark, d)))
+
+
 @query("feature_transforms", f"""with {ACT}, s as (select avg(mw_freebase) as m, stddev_pop(mw_freebase) as sd from act)
  select activity_id, {r('(mw_freebase - m) / sd')} as mw_freebase, {r('ln(1 + standard_value)')} as log_value,
   array_to_string([(standard_type = 'IC50')::INTEGER, (standard_type = 'Ki')::INTEGER], ',') as type_code from act, s""")

@@ -167,3 +167,30 @@ def test_trees_learn_a_step(spark):
     df = spark.createDataFrame(rows, "id int, x array<double>, y0 double")
     _, table = train_and_score(df, ["id"], "y0", features="x", model="trees", maxIter=3, maxDepth=2)
     assert all(r.r2 > 0.99 for r in table.collect())
+
+
+def test_fold_regressions_are_fits_on_the_other_folds(spark):
+    """Against numpy least squares and ridge; collinear features, nulls, a large offset, a constant label, one fold."""
+    rng = np.random.default_rng(6)
+    n = 400
+    x = rng.normal(size=(n, 2)) + [1e6, -3]
+    y = 2 * x[:, 0] - x[:, 1] + rng.normal(size=n)
+    fold = rng.integers(0, 4, n)
+    rows = [(int(f), float(a), float(b), 2 * float(b), float(t)) for f, (a, b), t in zip(fold, x, y)]
+    df = spark.createDataFrame(rows + [(1, None, 1.0, 2.0, 3.0), (None, 1.0, 1.0, 2.0, 3.0)], "f int, a double, b double, c double, y double")
+    got = {(r.f, r.penalty): r for r in E.fold_regressions(df, ["a", "b", "c"], "y", "f", [0.0, 0.3]).collect()}
+    full = np.column_stack([x, 2 * x[:, 1]])
+    for f in range(4):
+        train, test = fold != f, fold == f
+        for penalty in (0.0, 0.3):
+            mean, centre = full[train].mean(axis=0), y[train].mean()
+            z = full[train] - mean
+            slopes = np.linalg.pinv(z.T @ z + penalty * len(z) * np.eye(3), rcond=1e-10) @ z.T @ (y[train] - centre)
+            missed = ((y[test] - centre - (full[test] - mean) @ slopes) ** 2).sum()
+            row = got[f, penalty]
+            assert row.n == test.sum() and row.r2 == pytest.approx(1 - missed / (y[test].var() * test.sum()), abs=1e-6)
+            assert row.rmse == pytest.approx(math.sqrt(missed / test.sum()), rel=1e-6)
+    flat = spark.createDataFrame([(k % 2, float(k), 5.0) for k in range(10)], "f int, a double, y double")
+    assert [r.r2 for r in E.fold_regressions(flat, ["a"], "y", "f").collect()] == [None, None]
+    assert E.fold_regressions(flat.where("f = 0"), ["a"], "y", "f").count() == 0
+    assert E.fold_regressions(flat.limit(0), ["a"], "y", "f").count() == 0
