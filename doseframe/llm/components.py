@@ -34,3 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) after `links` (a, b) join parts. A part is named by its label, a node without one by
+    itself. Only the links, not the parts' members, take part in the rounds of components."""
+    links = staged(links, "links")
+    if links.isEmpty():
+        return labels
+    joined = components(links)
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    up = up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    old = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(up, ["label", "salt"], "left")
+    old = old.select("node", F.coalesce("above", "label").alias("label"))
+    return staged(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")

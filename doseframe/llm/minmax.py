@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doseframe.llm.components import components
+from doseframe.llm.components import components, merged
 from doseframe.llm.sieve import sieve
 from doseframe.llm.text import unused
 from doseframe.session import staged
@@ -24,8 +24,6 @@ BANDS, PER_BAND = 48, 3
 # Bytes kept of a shingle's hash for the comparison of full sets.
 KEPT_BYTES = 6
 SALTS = 16
-# Pivot orders of the buckets: a member is first compared with this many classes at most in a group of copies.
-PIVOTS = 8
 # Pairs of a bucket whose signatures agree less than this many standard deviations below the similarity are
 # not worth a comparison of full sets (2.3e-6 of the pairs at the threshold with 72 values, 1.2e-6 with 288).
 DEVIATIONS = 5.0
@@ -176,7 +174,7 @@ def set_column(text: Column, shingle: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sets has (class, n, kinds)."""
+    """The rows of `pairs` (a, b and any other columns) whose full sets reach the similarity; sets has (class, n, kinds)."""
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         out, last, left = [], None, None
@@ -188,11 +186,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * common >= percent * (len(left) + len(right) - common))
         return pd.Series(out, index=x.index, dtype=bool)
 
-    # A top with very many pairs is sent once for each salt that its pairs have, never once for all.
+    # A pivot (b) with very many pairs is sent once for each salt that its pairs have, never once for all.
+    names = pairs.columns
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     a = pairs.join(sets.select(F.col("class").alias("a"), F.col("kinds").alias("x")), "a")
     b = pairs.select("b", "salt").distinct().join(sets.select(F.col("class").alias("b"), F.col("kinds").alias("y")), "b")
-    return a.join(b, ["b", "salt"]).where(near("y", "x")).select("a", "b")
+    return a.join(b, ["b", "salt"]).where(near("y", "x")).select(names)
 
 
 def _least_agreeing(values: int, percent: int) -> float:
@@ -200,20 +199,30 @@ def _least_agreeing(values: int, percent: int) -> float:
 
 
 def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that are in different parts.
+    """Links (a, b) between parts that share a bucket.
 
     Buckets with the same smallest class are taken together, so that a group of copies, which shares many
-    buckets, is sent once and not once for every band. Large groups are cut into blocks by a hash, and every
-    pair of blocks is compared on its own. Sizes and signatures rule most pairs out, full sets decide, and
-    only links leave a task.
+    buckets, is sent once and not once for every band. The largest part of a group needs no comparison within
+    itself: it is cut into blocks by a hash, the other members into blocks of their own, and each block of
+    others meets every block. Sizes and signatures rule most pairs out, full sets decide. A task joins the parts
+    of a block as it goes, so that it compares no members already joined and gives fewer links than parts.
     """
     leads = apart.groupBy("band").agg(F.min("class").alias("lead"))
     found = apart.join(leads, "band").select("lead", "class", "n", "part").distinct()
-    sizes = found.groupBy("lead").agg(
-        F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("part").alias("p"), F.max("part").alias("q")
-    ).where("p <> q").select("lead", "blocks")
-    cut = found.join(sizes, "lead").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = found.groupBy("lead", "part").agg(F.count("*").alias("members")).groupBy("lead").agg(
+        F.max(F.struct("members", "part")).alias("main"), F.sum("members").alias("all")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select(
+        "lead", F.col("main.part").alias("main"), blocks(F.col("main.members")).alias("mains"),
+        blocks(F.col("all") - F.col("main.members")).alias("others"),
+    ).where("others > 0")
+    cut = found.join(sizes, "lead").withColumn("major", F.col("part") == F.col("main"))
+    place = F.xxhash64("class")
+    # Blocks of others come first, those of the largest part after them.
+    cut = cut.withColumn("mine", F.when(F.col("major"), F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others")).cast("int"))
+    last = F.when(F.col("major"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     cut = cut.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "part")
     cut = staged(cut.join(sets, "class"), "blocks")
     amount = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("kinds")), F.lit(0)).alias("bytes")).first()
@@ -224,7 +233,7 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = set()
         for (_, i, j), rows in pdf.groupby(["lead", "i", "j"], sort=False):
             sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint8).reshape(len(rows), -1)
-            n, part, name, mine = (rows[c].to_numpy() for c in ("n", "part", "class", "mine"))
+            n, part, mine = rows["n"].to_numpy(), rows["part"].to_numpy().copy(), rows["mine"].to_numpy()
             kinds = [None] * len(rows)
             packs = list(rows["kinds"])
             # A first look at a part of the signature drops most pairs.
@@ -236,17 +245,29 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 for s, least in looks:
                     others = others[np.count_nonzero(s[others] == s[k], axis=1) >= least]
                 for o in others:
+                    low, high = sorted((int(part[k]), int(part[o])))
+                    if low == high:
+                        continue
                     for x in (k, o):
                         if kinds[x] is None:
                             kinds[x] = unpacked(packs[x])
                     common = shared(kinds[k], kinds[o])
                     if 100 * common >= percent * (len(kinds[k]) + len(kinds[o]) - common):
-                        out.add((max(name[k], name[o]), min(name[k], name[o])))
+                        out.add((high, low))
+                        part[part == high] = low
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return cut.groupBy("group").applyInPandas(links, "a long, b long").distinct()
 
 
+def _parts_of(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets (band, class, n, turn) that hold several parts, with the part of every member."""
+    part = F.coalesce("label", "class")
+    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", "turn", part.alias("part"))
+    mixed = rows.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
+    return staged(rows.join(mixed, "band", "left_semi"), "apart")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `df`: the key, n_shingles, component_id, kept, first, text_hash.
 
@@ -258,9 +279,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     even where keys repeat. Null keys count as larger than any. Other columns of `df` are not read.
 
     Rows with equal sets become one class before anything is compared, so exact copies never meet in
-    pairs. In each bucket of a band the members are paired with one class only, its pivot, chosen by one of
-    a few hash orders; where links join a whole bucket that is all. Members that are left apart are compared across the parts of their
-    bucket in blocks, which keeps every link between texts that share a bucket.
+    pairs. Classes that share a bucket of a band are joined in three rounds, each over the parts that the one
+    before left: every class with one pivot, the first in a hash order of all pivots of its buckets; then, in
+    buckets that still hold several parts, the members outside the largest part with a pivot of that part; then
+    all members of different parts, in blocks, which keeps every link between texts that share a bucket.
+    Only one link a class, and later links between parts, reach the components.
     """
     rows = df.select(
         F.col(key).alias("key"), text_hash(F.col(text)).alias("text_hash"), sketch_column(F.col(text), shingle).alias("s"),
@@ -281,9 +304,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     members = classes.select("class", "n", F.explode("bands").alias("band"))
     common = staged(members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "common")
     members = staged(members.where(sieve(common)(F.col("band"))).join(common, "band"), "members")
-    turn = F.xxhash64("class", F.pmod("band", F.lit(PIVOTS)))
-    tops = members.groupBy("band").agg(F.min(F.struct(turn, "class", "n")).alias("t"))
-    tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.n").alias("top_n"))
+    members = members.withColumn("turn", F.xxhash64("class"))
+    tops = members.groupBy("band").agg(F.min(F.struct("turn", "class", "n")).alias("t"))
+    tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.n").alias("top_n"), F.col("t.turn").alias("top_turn"))
     buckets = staged(members.join(tops, "band"), "buckets")
 
     # Full sets are made of the texts whose class shares a band at all, and only those texts are moved.
@@ -295,19 +318,26 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     sets = texts.select("class", set_column(F.col("text"), shingle).alias("s")).groupBy("class").agg(F.first("s").alias("s"))
     sets = staged(sets.select("class", "s.signature", "s.kinds"), "sets")
     star = _sizes_fit(buckets.where("class <> top"), "n", "top_n", percent)
-    pairs = star.select(F.greatest("class", "top").alias("a"), F.least("class", "top").alias("b")).distinct()
-    links = staged(_confirmed(pairs, sets, percent), "links")
-    labels = components(links)
+    first = staged(star.groupBy(F.col("class").alias("a")).agg(F.min(F.struct("top_turn", "top")).alias("t")).select("a", F.col("t.top").alias("b")), "pairs")
+    labels = components(staged(_confirmed(first, sets, percent), "links"))
 
-    # Buckets whose members are still in several parts.
-    part = F.coalesce("label", "class")
-    apart = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", part.alias("part"))
-    mixed = apart.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"))
-    mixed = mixed.where("p <> q and m > 2").select("band")
-    apart = staged(apart.join(mixed, "band", "left_semi").select("band", "class", "n", "part"), "apart")
-    more = staged(_across(apart, sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    # Members outside the largest part of their bucket, with a pivot of that part; pairs already compared are left out.
+    apart = _parts_of(buckets, labels)
+    main = apart.groupBy("band", "part").agg(F.count("*").alias("m"), F.min(F.struct("turn", "class", "n")).alias("t")).groupBy("band").agg(
+        F.max(F.struct("m", "part", "t")).alias("main")
+    )
+    main = main.select("band", F.col("main.part").alias("main"), F.col("main.t.class").alias("top"), F.col("main.t.n").alias("top_n"))
+    again = _sizes_fit(apart.join(main, "band").where("part <> main"), "n", "top_n", percent)
+    again = again.select(F.col("class").alias("a"), F.col("top").alias("b"), F.greatest("part", "main").alias("p"), F.least("part", "main").alias("q"))
+    seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = _confirmed(again.distinct().join(seen, ["a", "b"], "left_anti"), sets, percent)
+    labels = merged(labels, more.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+
+    # Buckets of more than two members that are still in several parts.
+    apart = _parts_of(apart.select("band", "class", "n", "turn"), labels)
+    large = apart.groupBy("band").agg(F.count("*").alias("m")).where("m > 2").select("band")
+    rest = apart.join(large, "band", "left_semi").select("band", "class", "n", "part")
+    labels = merged(labels, _across(rest, sets, percent))
 
     # Smallest key of each component, then back to the rows through the classes that need it.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from doseframe.llm import minmax
-from doseframe.llm.components import components
+from doseframe.llm.components import components, merged
 from doseframe.llm.queries import QUERIES
 from doseframe.llm.text import words
 
@@ -80,6 +80,30 @@ def test_group_of_copies_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(150)] == want
 
 
+def test_links_grow_with_the_members(spark, monkeypatch):
+    """Near copies of one text: fewer links than members reach the components, in all rounds together."""
+    sizes = []
+    monkeypatch.setattr(minmax, "components", lambda links: sizes.append(links.count()) or components(links))
+    monkeypatch.setattr("doseframe.llm.components.components", lambda links: sizes.append(links.count()) or components(links))
+    rng = random.Random(8)
+    base = ["b%d" % i for i in range(80)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(80)] = "x%d" % rng.randint(0, 10**6)
+        rows.append((i, " ".join(copy)))
+    got = minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == brute(rows, 2)[0]
+    assert 0 < sum(sizes) < 1.2 * 400
+
+
+def test_merged_parts(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, label long")
+    got = {r.node: r.label for r in merged(labels, spark.createDataFrame([(5, 1), (9, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
 def test_repeats_and_null_keys(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (9, "z z"), (9, "z z"), (4, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'l' as lang")
