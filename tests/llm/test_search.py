@@ -87,6 +87,36 @@ def test_graph_recall(spark, monkeypatch):
     assert [got[100][i][0] for i in range(1, 11)] == list(range(101, 111))
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_at_64_components(clusters):
+    """One shard of 4,000 vectors at the registered degree and beams: without clusters, and with small ones."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 64))
+    if clusters:
+        v = 0.3 * v + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 4000)]
+    points = ann_graph.lifted(v)
+    graph, entry = ann_graph.build_graph(points)
+    asked = np.concatenate((v[::20], np.zeros((200, 1))), axis=1).astype(np.float32)
+    found, _ = ann_graph.beam_search(points, graph, entry, asked, ann_graph.BEAM)
+    scores = v[::20] @ v.T
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    exact = np.where(found < 0, -np.inf, np.take_along_axis(scores, np.maximum(found, 0), axis=1))
+    got = np.take_along_axis(found, np.argsort(-exact, axis=1)[:, :20], axis=1)
+    assert sum(len(set(a) & set(b)) for a, b in zip(want, got)) / want.size >= 0.95
+
+
+def test_a_task_for_every_graph(spark, monkeypatch):
+    """Few rows, much work: the build and the search have tasks by the number of shards, not by bytes."""
+    monkeypatch.setattr(ann_graph, "SHARD", 50)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    index = ann_graph.build_index(spark.createDataFrame(rows, "id long, vec array<double>"), 50)
+    assert index.rdd.getNumPartitions() == ann_graph.SPREAD * 8
+    found = ann_graph.search_index(index, spark.createDataFrame(rows[:20], "query_id long, vec array<double>"), 3)
+    assert found.rdd.getNumPartitions() == ann_graph.SPREAD * 8 and found.count() == 20 * 8 * 3
+
+
 def test_graph_reaches_every_point():
     rng = np.random.default_rng(3)
     points = np.concatenate((rng.normal(size=(200, 5)), rng.normal(size=(50, 5)) * 0.01 + 30)).astype(np.float32)
