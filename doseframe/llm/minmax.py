@@ -24,6 +24,8 @@ BANDS, PER_BAND = 48, 3
 # Bytes kept of a shingle's hash for the comparison of full sets.
 KEPT_BYTES = 6
 SALTS = 16
+# Pivots, besides the first in a hash order, that a class is compared with.
+PIVOTS = 4
 # Pairs of a bucket whose signatures agree less than this many standard deviations below the similarity are
 # not worth a comparison of full sets (2.3e-6 of the pairs at the threshold with 72 values, 1.2e-6 with 288).
 DEVIATIONS = 5.0
@@ -174,7 +176,7 @@ def set_column(text: Column, shingle: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of `pairs` (a, b and any other columns) whose full sets reach the similarity; sets has (class, n, kinds)."""
+    """The pairs (a, b) whose full sets reach the similarity; sets has (class, n, kinds)."""
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         out, last, left = [], None, None
@@ -187,11 +189,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out, index=x.index, dtype=bool)
 
     # A pivot (b) with very many pairs is sent once for each salt that its pairs have, never once for all.
-    names = pairs.columns
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     a = pairs.join(sets.select(F.col("class").alias("a"), F.col("kinds").alias("x")), "a")
     b = pairs.select("b", "salt").distinct().join(sets.select(F.col("class").alias("b"), F.col("kinds").alias("y")), "b")
-    return a.join(b, ["b", "salt"]).where(near("y", "x")).select(names)
+    return a.join(b, ["b", "salt"]).where(near("y", "x")).select("a", "b")
 
 
 def _least_agreeing(values: int, percent: int) -> float:
@@ -260,14 +261,6 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut.groupBy("group").applyInPandas(links, "a long, b long").distinct()
 
 
-def _parts_of(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets (band, class, n, turn) that hold several parts, with the part of every member."""
-    part = F.coalesce("label", "class")
-    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", "turn", part.alias("part"))
-    mixed = rows.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    return staged(rows.join(mixed, "band", "left_semi"), "apart")
-
-
 def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `df`: the key, n_shingles, component_id, kept, first, text_hash.
 
@@ -279,11 +272,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     even where keys repeat. Null keys count as larger than any. Other columns of `df` are not read.
 
     Rows with equal sets become one class before anything is compared, so exact copies never meet in
-    pairs. Classes that share a bucket of a band are joined in three rounds, each over the parts that the one
-    before left: every class with one pivot, the first in a hash order of all pivots of its buckets; then, in
-    buckets that still hold several parts, the members outside the largest part with a pivot of that part; then
-    all members of different parts, in blocks, which keeps every link between texts that share a bucket.
-    Only one link a class, and later links between parts, reach the components.
+    pairs. Classes that share a bucket of a band are joined in two rounds: every class with a few pivots of
+    its buckets; then, in buckets that still hold several parts, all members of different parts, in blocks, which
+    keeps every link between texts that share a bucket. Only a few links a class, and then links between parts,
+    reach the components.
     """
     rows = df.select(
         F.col(key).alias("key"), text_hash(F.col(text)).alias("text_hash"), sketch_column(F.col(text), shingle).alias("s"),
@@ -304,8 +296,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     members = classes.select("class", "n", F.explode("bands").alias("band"))
     common = staged(members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "common")
     members = staged(members.where(sieve(common)(F.col("band"))).join(common, "band"), "members")
-    members = members.withColumn("turn", F.xxhash64("class"))
-    tops = members.groupBy("band").agg(F.min(F.struct("turn", "class", "n")).alias("t"))
+    tops = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("class").alias("turn"), "class", "n")).alias("t"))
     tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.n").alias("top_n"), F.col("t.turn").alias("top_turn"))
     buckets = staged(members.join(tops, "band"), "buckets")
 
@@ -318,26 +309,20 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, percen
     sets = texts.select("class", set_column(F.col("text"), shingle).alias("s")).groupBy("class").agg(F.first("s").alias("s"))
     sets = staged(sets.select("class", "s.signature", "s.kinds"), "sets")
     star = _sizes_fit(buckets.where("class <> top"), "n", "top_n", percent)
-    first = staged(star.groupBy(F.col("class").alias("a")).agg(F.min(F.struct("top_turn", "top")).alias("t")).select("a", F.col("t.top").alias("b")), "pairs")
+    # A class has at most one pivot a band: of these the one that comes first in the hash order, and those that share most bands.
+    often = star.groupBy("class", "top").agg(F.count("*").alias("c"), F.first("top_turn").alias("turn")).groupBy("class").agg(
+        F.min(F.struct("turn", "top"))["top"].alias("least"), F.sort_array(F.collect_list(F.struct("c", "top")), False)["top"].alias("most")
+    )
+    pivots = F.array_union(F.array("least"), F.slice("most", 1, PIVOTS))
+    first = often.select(F.col("class").alias("a"), F.explode(pivots).alias("b"))
     labels = components(staged(_confirmed(first, sets, percent), "links"))
 
-    # Members outside the largest part of their bucket, with a pivot of that part; pairs already compared are left out.
-    apart = _parts_of(buckets, labels)
-    main = apart.groupBy("band", "part").agg(F.count("*").alias("m"), F.min(F.struct("turn", "class", "n")).alias("t")).groupBy("band").agg(
-        F.max(F.struct("m", "part", "t")).alias("main")
-    )
-    main = main.select("band", F.col("main.part").alias("main"), F.col("main.t.class").alias("top"), F.col("main.t.n").alias("top_n"))
-    again = _sizes_fit(apart.join(main, "band").where("part <> main"), "n", "top_n", percent)
-    again = again.select(F.col("class").alias("a"), F.col("top").alias("b"), F.greatest("part", "main").alias("p"), F.least("part", "main").alias("q"))
-    seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _confirmed(again.distinct().join(seen, ["a", "b"], "left_anti"), sets, percent)
-    labels = merged(labels, more.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-
-    # Buckets of more than two members that are still in several parts.
-    apart = _parts_of(apart.select("band", "class", "n", "turn"), labels)
-    large = apart.groupBy("band").agg(F.count("*").alias("m")).where("m > 2").select("band")
-    rest = apart.join(large, "band", "left_semi").select("band", "class", "n", "part")
-    labels = merged(labels, _across(rest, sets, percent))
+    # Buckets whose members are still in several parts.
+    part = F.coalesce("label", "class")
+    apart = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", part.alias("part"))
+    mixed = apart.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
+    apart = staged(apart.join(mixed, "band", "left_semi"), "apart")
+    labels = merged(labels, _across(apart, sets, percent))
 
     # Smallest key of each component, then back to the rows through the classes that need it.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

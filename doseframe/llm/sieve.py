@@ -35,9 +35,9 @@ def sieve(keys: DataFrame) -> Callable[[Column], Column]:
         some = np.flatnonzero(words)
         yield pd.DataFrame({"at": some, "bits": words[some].view(np.int64)})
 
-    rows = keys.where(F.col(name).isNotNull()).mapInPandas(fill, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = keys.where(F.col(name).isNotNull()).mapInPandas(fill, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BITS // 64, dtype=np.uint64)
-    words[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
