@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Model
@@ -179,6 +180,35 @@ def feature_importance(df: DataFrame, cols: Sequence[str], label: str, **params)
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def permutation_importance(
+    df: DataFrame, features: Sequence[str], label: str, predict: Callable[[dict[str, Column]], Column], keys: Sequence[str], seed: int = S.SPLIT_SEED
+) -> DataFrame:
+    """(feature, n, mse, mse_permuted, lost): what the squared error gains when the values of a feature are re-paired.
+
+    `predict` gives a model's prediction from the feature columns. Rows are ranked once in seeded hash order, and a
+    row takes the feature's value from the next row, the last one from the first; all features share that one join.
+    The keys identify a row. Rows without a feature or the label take no part; without any row the errors are null.
+    """
+    names = {f: f"_f{i}" for i, f in enumerate(features)}
+    vals = df.select(*keys, F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(c) for f, c in names.items()])
+    vals = vals.where(reduce(lambda a, b: a & b, [present(c) for c in ("_y", *names.values())]))
+    ranked = hash_rank(vals, keys, seed, "_rank").select("_rank", "_y", *names.values())
+    last = ranked.agg(F.max("_rank")).scalar()
+    before = F.when(F.col("_rank") == 1, last).otherwise(F.col("_rank") - 1)
+    given = ranked.select(before.alias("_rank"), *[F.col(c).alias(f"_new{c}") for c in names.values()])
+    own = {f: F.col(c) for f, c in names.items()}
+
+    def error(values: dict[str, Column]) -> Column:
+        return F.avg(F.pow(F.col("_y") - predict(values), 2))
+
+    row = ranked.join(given, "_rank").agg(
+        F.count("*").alias("n"), error(own).alias("mse"), *[error(own | {f: F.col(f"_new{c}")}).alias(c) for f, c in names.items()]
+    )
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), "n", "mse", F.col(c).alias("mse_permuted"), (F.col(c) - F.col("mse")).alias("lost")) for f, c in names.items()
+    ])))
+
+
 def cross_validated(df: DataFrame, features: str, label: str, fold: str, k: int, space: dict[str, Sequence], metric: str = "r2") -> DataFrame:
     """(parameters, mean, std of the metric over the folds) of a linear model."""
     model = LinearRegression(featuresCol=features, labelCol=label)

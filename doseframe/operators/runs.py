@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from doseframe import schemas as S
 from doseframe.functions.encode import config_key
+from doseframe.operators.joins import upsert
+from doseframe.session import staged
 
+# Partitions of a stored result table; the key of a row decides its partition.
+RUN_BUCKETS, BUCKET = 32, "_bucket"
 KINDS = {"string": "text", "double": "float", "float": "float", "boolean": "bool"}
 
 
@@ -55,6 +59,26 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RUN_SCHEMA).parquet(path)
 
 
+def upsert_stored(new: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
+    """Replaces the rows of the result table at `path` that have a key of `new` (missing equals missing), appends
+    the others, and returns the whole table, which starts empty.
+
+    The table is partitioned by a hash of the key. Only partitions that `new` touches are read and written
+    again; the result is staged before any is replaced, so a job that failed can be repeated with the same outcome.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(RUN_BUCKETS)).cast("int")
+    fresh = staged(new.withColumn(BUCKET, bucket), "new-results")
+    spark.createDataFrame([], fresh.schema).write.mode("append").partitionBy(BUCKET).parquet(path)
+    stored = spark.read.schema(fresh.schema).parquet(path)
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # RUN_BUCKETS at most
+    if touched:
+        whole = staged(upsert(stored.where(F.col(BUCKET).isin(touched)), fresh, key), "results")
+        out = whole.repartition(len(touched), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.option("compression", "zstd").partitionBy(BUCKET).parquet(path)
+    return spark.read.schema(fresh.schema).parquet(path).drop(BUCKET)
+
+
 def epoch_metrics(history: DataFrame, ids: Sequence[str] = ("run_id", "epoch"), metrics: Sequence[str] = S.EPOCH_METRICS) -> DataFrame:
     """(ids, metric, value): the epoch log in long form, without missing values."""
     have = [m for m in metrics if m in history.columns]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from doseframe import schemas as S
 from doseframe.functions import potency as P
 from doseframe.operators import cleaning as C, ordering as O
-from doseframe.plans.etl import joined_activity, processed_activity
-from registry.base import query, r, rounded
+from doseframe.plans.etl import joined_activity, processed_activity, run
+from doseframe.session import scratch_path
+from doseframe.sources.tables import coerced, read_table
+from registry.base import SQL, query, r, rounded
 from registry.inputs import ACT, ACTIVITIES_SQL, FLAT_SQL, POTENCY_SQL, TARGETS, activities, activity, activity_table, sources, table
 
 COLUMNS = """activity_id, molregno, canonical_smiles, mw_freebase, alogp, hba, hbd, psa, rtb, aromatic_rings,
@@ -27,6 +30,16 @@ def etl_activity(spark, d):
     return rounded(processed_activity(joined_activity(sources(spark, d), TARGETS)))
 
 
+@query("etl_job", SQL["etl_activity"])
+def etl_job(spark, d):
+    """The whole job: source tables on disk, the cleaned table written and read back."""
+    folder = scratch_path(spark, "sources")
+    for name, df in sources(spark, d).items():
+        coerced(df, S.SOURCE_SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    run(spark, folder, f"{folder}/activity.parquet", TARGETS)
+    return rounded(read_table(spark, f"{folder}/activity.parquet"))
+
+
 @query("activity_join", f"with {FLAT_SQL} select {ROUNDED} from flat")
 def activity_join(spark, d):
     return rounded(joined_activity(sources(spark, d), TARGETS))

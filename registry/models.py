@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doseframe import schemas as S
 from doseframe.operators import evaluate as E, joins as J, runs as N, splits as L, stats as T
 from doseframe.plans.learn import fingerprint_table, train_and_score
-from doseframe.session import staged
+from doseframe.session import scratch_path, staged
 from registry.base import query, r, rounded
 from registry.inputs import ACT, activity, activity_table, table
 from registry.splitting import RANDOM
@@ -140,13 +140,29 @@ RESULT_COLUMNS = f"""model, split, seed, pooling, gnn_hidden_dim, gnn_num_layers
 KEYS_MATCH = " and ".join(f"a.{k} is not distinct from b.{k}" for k in S.RESULT_KEY)
 
 
-@query("run_upsert", f"""with {RESULTS.format(where="o_totalprice < 250000").replace("res as", "a as")},
+UPSERT_SQL = f"""with {RESULTS.format(where="o_totalprice < 250000").replace("res as", "a as")},
  {RESULTS.format(where="o_totalprice >= 250000 and o_custkey % 3 <> 2").replace("res as", "b as")},
  u as (select * from a where not exists (select 1 from b where {KEYS_MATCH}) union all select * from b)
- select {RESULT_COLUMNS} from u""")
+ select {RESULT_COLUMNS} from u"""
+
+
+def _result_batches(spark, d):
+    return results(spark, d, "o_totalprice < 250000"), results(spark, d, "o_totalprice >= 250000 and o_custkey % 3 <> 2")
+
+
+@query("run_upsert", UPSERT_SQL)
 def run_upsert(spark, d):
-    old, new = results(spark, d, "o_totalprice < 250000"), results(spark, d, "o_totalprice >= 250000 and o_custkey % 3 <> 2")
-    return rounded(J.upsert(old, new, S.RESULT_KEY))
+    return rounded(J.upsert(*_result_batches(spark, d), S.RESULT_KEY))
+
+
+@query("stored_upsert", UPSERT_SQL)
+def stored_upsert(spark, d):
+    """Two batches into a stored table, the second one twice, as after a job that was run again."""
+    path = scratch_path(spark, "results")
+    old, new = _result_batches(spark, d)
+    for batch in (old, new, new):
+        out = N.upsert_stored(batch, path, S.RESULT_KEY)
+    return rounded(out)
 
 
 @query("tuning_table", f"""with {RESULTS.format(where="true")}
@@ -332,6 +348,30 @@ def feature_importance(spark, d):
     return E.feature_importance(rows, cols, "pIC50", maxIter=5, maxDepth=3)
 
 
+# The linear model of the train rows on the others, one feature at a time taken from the next row in hash order.
+@query("permutation_importance", f"""with {RANDOM.format(seed=42)},
+ f as (select o_orderkey, split, o_totalprice / 100000 as y, floor(o_totalprice / 50000)::DOUBLE as a, (o_custkey % 17)::DOUBLE as b from split),
+ c as (select avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab,
+   covar_pop(a, y) as ay, covar_pop(b, y) as byy from f where split = 'train'),
+ w as (select *, (ay * bb - byy * ab) / (aa * bb - ab * ab) as wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) as wb from c),
+ turns as (select *, row_number() over (order by md5('42:' || o_orderkey)) as i, count(*) over () as total from f where split <> 'train'),
+ errs as (select t.y - my - wa * (t.a - ma) - wb * (t.b - mb) as own, t.y - my - wa * (x.a - ma) - wb * (t.b - mb) as ea,
+   t.y - my - wa * (t.a - ma) - wb * (x.b - mb) as eb from turns t join turns x on x.i = t.i % t.total + 1 cross join w),
+ means as (select count(*) as n, avg(own * own) as mse, avg(ea * ea) as pa, avg(eb * eb) as pb from errs),
+ lines as (select 'a' as feature, n, mse, pa as permuted from means union all select 'b', n, mse, pb from means)
+ select feature, n, {r('mse')} as mse, {r('permuted')} as mse_permuted, {r('permuted - mse')} as lost from lines""")
+def permutation_importance(spark, d):
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 100000).alias("y"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("a"),
+        (F.col("o_custkey") % 17).cast("double").alias("b"),
+    )
+    split = L.random_split(rows, ["o_orderkey"])
+    model = E.fit_baseline(split.withColumn("x", array_to_vector(F.array("a", "b"))), "x", "y", solver="normal")
+    wa, wb = map(float, model.coefficients)
+    held_out = split.where("split <> 'train'")
+    return rounded(E.permutation_importance(held_out, ["a", "b"], "y", lambda x: x["a"] * wa + x["b"] * wb + model.intercept, ["o_orderkey"]))
+
+
 @query("cross_validation")
 def cross_validation(spark, d):
     rows = L.with_fold(table(spark, d, "orders"), ["o_orderkey"], 3).select(

@@ -151,6 +151,40 @@ def test_importance_of_the_only_useful_feature(spark):
     assert top[0].feature == "a" and top[0].importance > 0.95
 
 
+def test_permutation_importance(spark):
+    """Against the same re-pairing by hand: hash order, each row with the value of the next one."""
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2))
+    y = 3 * x[:, 0] + 0.1 * rng.normal(size=200)
+    rows = [(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows + [(900, None, 1.0, 1.0), (901, 1.0, 1.0, float("nan"))], "id int, a double, b double, y double")
+    got = {r.feature: r for r in E.permutation_importance(df, ["a", "b"], "y", lambda v: v["a"] * 3.0 + v["b"] * 0.5, ["id"]).collect()}
+    order = sorted(range(200), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    donor = {i: order[(at + 1) % 200] for at, i in enumerate(order)}
+    base = np.mean([(y[i] - 3 * x[i, 0] - 0.5 * x[i, 1]) ** 2 for i in range(200)])
+    a = np.mean([(y[i] - 3 * x[donor[i], 0] - 0.5 * x[i, 1]) ** 2 for i in range(200)])
+    b = np.mean([(y[i] - 3 * x[i, 0] - 0.5 * x[donor[i], 1]) ** 2 for i in range(200)])
+    assert got["a"].n == 200 and got["a"].mse == pytest.approx(base)
+    assert (got["a"].mse_permuted, got["b"].mse_permuted) == (pytest.approx(a), pytest.approx(b))
+    assert got["a"].lost > 5 > abs(got["b"].lost)
+    none = E.permutation_importance(df.limit(0), ["a"], "y", lambda v: v["a"], ["id"]).first()
+    assert (none.n, none.mse) == (0, None)
+
+
+def test_stored_upsert_is_safe_to_repeat(spark, tmp_path):
+    path = str(tmp_path / "results")
+    frame = lambda rows: spark.createDataFrame(rows, "model string, lr double, r2 double")
+    first = frame([("m", 0.1, 0.5), ("m", None, 0.4), ("n", 0.1, 0.3), (None, None, 0.2)])
+    second = frame([("m", None, 0.9), ("k", 0.2, 0.8)])
+    assert N.upsert_stored(first, path, ["model", "lr"]).count() == 4
+    for _ in range(2):
+        got = N.upsert_stored(second, path, ["model", "lr"])
+        assert sorted((r.model or "", r.lr or 0, r.r2) for r in got.collect()) == [("", 0, 0.2), ("k", 0.2, 0.8), ("m", 0, 0.9), ("m", 0.1, 0.5), ("n", 0.1, 0.3)]
+    assert N.upsert_stored(second.limit(0), path, ["model", "lr"]).count() == 5
+
+
 def test_cross_validation_of_an_exact_line(spark):
     from pyspark.ml.functions import array_to_vector
 
