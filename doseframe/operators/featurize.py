@@ -70,8 +70,9 @@ def refresh_features(
 
 def with_fingerprint(df: DataFrame, text: str, tokens: Column | None = None, n_bits: int = S.FINGERPRINT_BITS, out: str = "bits") -> DataFrame:
     """Adds the sorted set bits of the text's hashed token runs; null text gives null."""
-    words = H.word_tokens(F.col(text)) if tokens is None else tokens
-    return df.withColumn("_tokens", words).withColumn(out, H.hashed_fingerprint("_tokens", n_bits)).drop("_tokens")
+    if tokens is None:
+        return df.withColumn(out, H.text_fingerprint(text, n_bits))
+    return df.withColumn("_tokens", tokens).withColumn(out, H.hashed_fingerprint("_tokens", n_bits)).drop("_tokens")
 
 
 def with_vector(df: DataFrame, bits: str = "bits", n_bits: int = S.FINGERPRINT_BITS, out: str = "features") -> DataFrame:

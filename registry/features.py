@@ -8,7 +8,7 @@ from doseframe import schemas as S
 from doseframe.operators import featurize as K, graph as G, joins as J, profile as P
 from doseframe.session import scratch_path
 from registry.base import query, r, rounded
-from registry.inputs import table
+from registry.inputs import spread, table
 
 
 def _bits_sql(source: str, key: str, text: str) -> str:
@@ -27,7 +27,7 @@ def _bits(df, key, text):
 
 @query("fingerprint_documents", _bits_sql("documents", "doc_id", "text"))
 def fingerprint_documents(spark, d):
-    return _bits(table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism), "doc_id", "text")
+    return _bits(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query("fingerprint_parts", _bits_sql("part", "p_partkey", "p_name || ' ' || p_brand || ' ' || p_type"))

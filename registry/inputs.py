@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to equal partitions, as many as their size asks for: a file may have one row group."""
+    return df.hint("rebalance")
+
+
 def activities(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     flag, number = F.col("l_returnflag"), F.col("l_linenumber")

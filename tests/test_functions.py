@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from doseframe import schemas as S
 from doseframe.functions import encode as E, hashing as H
 from doseframe.operators import featurize as K, runs as N
+from registry.inputs import spread
 
 FLOATS = [3e-4, 1e-5, 1.5e-5, 0.001, 0.1, 0.5, 1.0, 12.0, 100.0, 1234567.25, 1e7, 12345678.5, 1.5e9, 2.5e15, 1e16, 2.5e18, -2.5e-4, -1e-7, 0.00012345, 1.25e-10, 3e100, 0.0]
 
@@ -63,6 +64,25 @@ def test_fingerprint(spark):
     assert all(r.features.size == 2048 and set(r.features.values) <= {1.0} for r in vec)
 
 
+def test_fingerprint_of_given_tokens(spark):
+    """Tokens may hold spaces; no run goes over a null token."""
+    df = spark.createDataFrame([(["a ", "b", "ü"],), (["a", None, "b", "c"],), ([],), (None,)], "t array<string>")
+    got = [r.bits for r in K.with_fingerprint(df, "t", tokens=F.col("t"), n_bits=1000).collect()]
+    assert got[0] == brute_bits(["a ", "b", "ü"], 1000)
+    assert got[1] == sorted({*brute_bits(["a"], 1000), *brute_bits(["b", "c"], 1000)})
+    assert got[2:] == [[], None]
+
+
+def test_fingerprints_hash_in_batches_and_over_all_cores(spark, tmp_path):
+    """Not run by run in interpreted expressions, and not in one task where a file has one row group."""
+    spark.range(60_000).coalesce(1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = K.with_fingerprint(spread(spark.read.parquet(str(tmp_path / "documents.parquet"))), "text")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
+    assert len({r.p for r in rows.select("id", "bits", F.spark_partition_id().alias("p")).collect()}) > 1
+    assert rows.select("id").distinct().count() == 60_000
+
+
 def test_structure_tokens(spark):
     got = spark.createDataFrame([("CC(=O)N[C@H]1ClBr%12",)], "s string").select(H.structure_tokens(F.col("s")).alias("t")).first().t
     assert got == ["C", "C", "(", "=", "O", ")", "N", "[C@H]", "1", "Cl", "Br", "%12"]
