@@ -10,7 +10,7 @@ from doseframe.operators import evaluate as E, joins as J, runs as N, splits as
 from doseframe.plans.learn import fingerprint_table, train_and_score
 from doseframe.session import scratch_path, staged
 from registry.base import query, r, rounded
-from registry.inputs import ACT, activity, activity_table, table
+from registry.inputs import ACT, activity, activity_table, spread, table
 from registry.splitting import RANDOM
 
 PREDICTED = "pr as (select *, l_extendedprice / 10000 as y, l_quantity / 5 as p from lineitem)"
@@ -324,7 +324,7 @@ def linear_predictions(spark, d):
 @query("fingerprint_model")
 def fingerprint_model(spark, d):
     """Linear model on hashed text bits, grouped split by source."""
-    docs = table(spark, d, "documents").withColumn("label", F.log1p("n_chars"))
+    docs = spread(table(spark, d, "documents")).withColumn("label", F.log1p("n_chars"))
     ready = fingerprint_table(docs, "text", "label").select("doc_id", "source", "label", "bits")
     return rounded(train_and_score(ready, ["doc_id"], "label", "scaffold", "source", maxIter=10, regParam=0.1)[1])
 
