@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,9 @@ class Membership:
     weights: np.ndarray
 
     def posteriors(self, rows: list) -> np.ndarray:
-        z = np.array([self.bias + self.weights[r].sum(axis=0) for r in rows]).reshape(len(rows), len(self.bias))
+        sizes = [len(r) for r in rows]
+        of, places = np.repeat(np.arange(len(rows)), sizes), np.fromiter(chain.from_iterable(rows), np.int64, sum(sizes))
+        z = np.stack([b + np.bincount(of, w[places], len(rows)) for b, w in zip(self.bias, self.weights.T)], axis=1)
         z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         return z / z.sum(axis=1, keepdims=True)
 
@@ -82,9 +85,9 @@ def fit_softmax(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, t
                 err = z / z.sum(axis=1, keepdims=True)
                 err[np.arange(len(batch)), labels[batch]] -= 1
                 err *= weight[batch][:, None] / len(batch)
-                dw = np.zeros_like(w)
-                np.add.at(dw, x, err[:, None, :])
-                used = np.unique(x)
+                places = x.ravel()
+                dw = np.stack([np.bincount(places, np.repeat(e, x.shape[1]), n + 1) for e in err.T], axis=1)
+                used = np.flatnonzero(np.bincount(places, minlength=n + 1))
                 dw[used] += DECAY * w[used]
                 dw[n] = 0
                 gw += dw * dw

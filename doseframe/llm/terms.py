@@ -22,10 +22,20 @@ PREFIXES = (4, 5, 6)
 EDGE = b".,;:!?\"'()[]{}<>*#&-_"
 
 
+# Checksums go on from that of the mark before the text.
+WORD, MARKS = zlib.crc32(b"w"), [(n, zlib.crc32(b"p%d" % n)) for n in PREFIXES]
+
+
+def prefix_terms(bare: bytes, crc32=zlib.crc32) -> list[int]:
+    """Hashes of the first bytes of a word without edge punctuation."""
+    size = len(bare)
+    return [crc32(bare[:n], mark) for n, mark in MARKS if size >= n]
+
+
 def word_terms(word: bytes) -> tuple[int, ...]:
     """Hashes of a word without edge punctuation and of its first bytes."""
     bare = word.strip(EDGE) or word
-    return (zlib.crc32(b"w" + bare), *(zlib.crc32(b"p%d" % n + bare[:n]) for n in PREFIXES if len(bare) >= n))
+    return (zlib.crc32(bare, WORD), *prefix_terms(bare))
 
 
 def shape_terms(found: list[bytes], distinct: int) -> tuple[int, ...]:
@@ -33,8 +43,8 @@ def shape_terms(found: list[bytes], distinct: int) -> tuple[int, ...]:
     n = len(found)
     marks = [b"n%d" % int(math.log2(n + 1) * 2)]
     if n:
-        size = sum(map(len, found))
         joined = b"".join(found)
+        size = len(joined)
         symbols = size - len(joined.translate(None, b"#&*@$%^~|<>{}[]=+\\/_0123456789"))
         marks += [b"r%d" % int(20 * distinct / n), b"l%d" % int(2 * size / n), b"s%d" % int(min(40, 100 * symbols / size))]
     return tuple(zlib.crc32(b"shape" + m) for m in marks)
@@ -63,7 +73,7 @@ def slots_of(terms: np.ndarray, slots: int) -> np.ndarray:
 class SlotIndex:
     """Places of all terms of a text in a table of `slots`; remembers the words it has met."""
 
-    KEPT_WORDS = 200_000
+    KEPT_WORDS = 100_000
 
     def __init__(self, slots: int):
         self.slots = slots
@@ -85,29 +95,42 @@ class SlotIndex:
 
 
 class TermIndex:
-    """Positions of the chosen terms that a text holds; remembers the words it has met."""
+    """Positions of the chosen terms that a text holds; remembers the words and first bytes it has met."""
 
-    KEPT_WORDS = 400_000
+    KEPT_WORDS = 200_000
 
     def __init__(self, chosen: np.ndarray):
         self.place = {int(t): i for i, t in enumerate(chosen)}
+        self._forget()
+
+    def _forget(self) -> None:
         # Most words hold no chosen term: sets tell in one step which are new and which count.
         self.met: set[bytes] = set()
         self.telling: set[bytes] = set()
         self.hits: dict[bytes, tuple[int, ...]] = {}
+        self.heads: dict[bytes, tuple[int, ...]] = {}
+
+    def _learn(self, new: set[bytes]) -> None:
+        place, heads, longest, crc32 = self.place, self.heads, PREFIXES[-1], zlib.crc32
+        for w in new:
+            bare = w.strip(EDGE) or w
+            head = bare[:longest]
+            hits = heads.get(head)
+            if hits is None:
+                hits = heads[head] = tuple([place[t] for t in prefix_terms(head) if t in place])
+            own = place.get(crc32(bare, WORD))
+            if hits or own is not None:
+                self.hits[w] = hits if own is None else (own, *hits)
+                self.telling.add(w)
 
     def find(self, found: list[bytes]) -> list[int]:
         """Sorted positions for the words of a text."""
         kinds, place = set(found), self.place
         if len(self.met) >= self.KEPT_WORDS:
-            self.met, self.telling, self.hits = set(), set(), {}
+            self._forget()
         new = kinds.difference(self.met)
         self.met |= new
-        for w in new:
-            hits = tuple(place[t] for t in word_terms(w) if t in place)
-            if hits:
-                self.hits[w] = hits
-                self.telling.add(w)
+        self._learn(new)
         got = {place[t] for t in shape_terms(found, len(kinds)) if t in place}
         for w in kinds & self.telling:
             got.update(self.hits[w])
@@ -160,6 +183,18 @@ def telling_terms(rows: DataFrame, classes: int) -> np.ndarray:
     return np.array([r["term"] for r in top.orderBy(F.desc("e"), "term").limit(MAX_TERMS).collect()], dtype=np.int64)
 
 
+def _among(values: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Which of the values occur among sorted terms."""
+    at = np.searchsorted(terms, values)
+    at[at == len(terms)] = 0
+    return terms[at] == values if len(terms) else np.zeros(len(values), dtype=bool)
+
+
+def _collected(rows: DataFrame) -> list:
+    """Rows by doc_id and label; sorted here, since a sort in Spark would evaluate their columns twice."""
+    return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["label"]))
+
+
 def chosen_rows(rows: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Positions of the chosen terms in each row and the rows' labels, on the driver: bounded by the sample."""
     order = np.sort(chosen)
@@ -168,9 +203,9 @@ def chosen_rows(rows: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray],
     @F.pandas_udf("array<int>")
     def places(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in terms:
-            yield pd.Series([rank[np.searchsorted(order, np.intersect1d(t, order))].astype(np.int32) for t in batch], dtype=object)
+            yield pd.Series([rank[np.flatnonzero(_among(order, t))].astype(np.int32) for t in batch], dtype=object)
 
-    got = rows.select("doc_id", "label", places("terms").alias("p")).orderBy("doc_id", "label").collect()
+    got = _collected(rows.select("doc_id", "label", places("terms").alias("p")))
     return [np.array(sorted(r["p"]), dtype=np.int64) for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 
@@ -181,7 +216,7 @@ def slot_rows(rows: DataFrame, slots: int) -> tuple[list[np.ndarray], np.ndarray
         for batch in terms:
             yield pd.Series([slots_of(t, slots).astype(np.int32).tobytes() for t in batch], dtype=object)
 
-    got = rows.select("doc_id", "label", places("terms").alias("p")).orderBy("doc_id", "label").collect()
+    got = _collected(rows.select("doc_id", "label", places("terms").alias("p")))
     return [np.frombuffer(r["p"], dtype=np.int32) for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 

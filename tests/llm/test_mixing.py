@@ -1,10 +1,13 @@
 """Rates against a plain projected gradient in numpy, targets met, odd inputs."""
 
+import zlib
+
 import numpy as np
 import pytest
 
-from doseframe.llm import mixing
+from doseframe.llm import mixing, terms
 from doseframe.llm.queries import MIX_SHARES, QUERIES
+from doseframe.llm.text import words
 
 
 def plain(n, p, target, steps=100_000):
@@ -57,3 +60,28 @@ def test_odd_inputs(spark, save):
     got = QUERIES["op7_soft_mixing"](spark, save(documents=docs, labels=labels)).collect()
     assert sorted(r.n_tokens for r in got) == [0, 0, 1, 2, 18000]
     assert QUERIES["op7_soft_mixing"](spark, save(documents=docs.limit(0), labels=labels.limit(0))).count() == 0
+
+
+def test_rows_of_the_fit_are_not_sorted_in_spark(spark, monkeypatch):
+    """A sort in Spark evaluates the columns of its rows twice; the order is that of the ids all the same."""
+    data = [(3, 1, [5, 9]), (1, 0, []), (2, 1, [2, 5, 7]), (10, 0, [9])]
+    rows = spark.createDataFrame(data, "doc_id long, label int, terms array<long>").repartition(3)
+    monkeypatch.setattr(type(rows), "orderBy", None)
+    got, labels = terms.chosen_rows(rows, np.array([9, 2, 5]))
+    assert [r.tolist() for r in got] == [[], [1, 2], [0, 2], [0]] and labels.tolist() == [0, 1, 1, 0]
+    assert terms.chosen_rows(rows, np.empty(0, dtype=np.int64))[0][1].tolist() == []
+
+
+def test_terms_found_and_posteriors_against_plain_code(monkeypatch):
+    texts = ["Anders, anderes; an", "", None, "*** (andere) ab", "wort wort wörter"]
+    chosen = np.concatenate([terms.terms_of(t) for t in texts])[::2]
+    monkeypatch.setattr(terms.TermIndex, "KEPT_WORDS", 3)
+    index = terms.TermIndex(np.unique(chosen))
+    places = [index.find(words(t)) for t in texts]
+    assert places == [np.flatnonzero(np.isin(np.unique(chosen), terms.terms_of(t))).tolist() for t in texts]
+    assert terms.word_terms(b"(abcd)") == (zlib.crc32(b"wabcd"), zlib.crc32(b"p4abcd"))
+    weights = np.random.default_rng(0).normal(size=(len(np.unique(chosen)), 3))
+    model = mixing.Membership(np.unique(chosen), np.array([0.1, 0.2, 0.3]), weights)
+    z = np.exp([model.bias + weights[p].sum(axis=0) for p in places])
+    assert np.allclose(model.posteriors(places), z / z.sum(axis=1, keepdims=True), rtol=1e-12)
+    assert model.posteriors([]).shape == (0, 3)
