@@ -32,7 +32,9 @@ SCORED = CONTEXT = 16
 ROUNDS, STEP_CHUNKS, RATE = 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
-KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 300_000, 400_000, 32_768
+KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 150_000, 200_000, 32_768
+# Scored rows that a task holds before it gives them on, each with the words that are not at hand.
+ROWS_AT_ONCE = 500
 MIX = 0.5
 
 
@@ -339,19 +341,19 @@ def _training_chunks(texts: DataFrame, net: Network, ranks: dict[bytes, int], pa
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub = Subwords(ranks, pattern)
         for pdf in batches:
-            ids, out = [], []
+            ids = []
             for i, t in enumerate(pdf["text"]):
                 ids.append(np.array(sub.text(words(t))[0]))
                 if sum(map(len, ids[-64:])) >= BATCH_SUBWORDS or len(ids) == 64 or i == len(pdf) - 1:
                     slots = net.slot_of[np.concatenate(ids)]
                     ends = np.cumsum([len(x) for x in ids])
-                    out.append(chunked(slots, np.concatenate(([0], ends[:-1])), ends))
+                    inputs, targets, place = chunked(slots, np.concatenate(([0], ends[:-1])), ends)
                     ids = []
-            for inputs, targets, place in out:
-                for a in range(0, len(inputs), 512):
-                    b = slice(a, a + 512)
-                    packed = [x.astype(np.int16).tobytes() for x in (inputs[b], targets[b], place[b] >= 0)]
-                    yield pd.DataFrame([packed], columns=["inputs", "targets", "real"])
+                    # Given at once: the chunks of a whole batch of texts take some hundred MB.
+                    for a in range(0, len(inputs), 512):
+                        b = slice(a, a + 512)
+                        packed = [x.astype(np.int16).tobytes() for x in (inputs[b], targets[b], place[b] >= 0)]
+                        yield pd.DataFrame([packed], columns=["inputs", "targets", "real"])
 
     rows = texts.select("text").mapInPandas(cut, "inputs binary, targets binary, real binary")
     return staged(rows.withColumn("turn", F.pmod(F.xxhash64("inputs"), F.lit(ROUNDS)).cast("int")), "chunks")
@@ -429,19 +431,21 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, ranks: dict[by
 
         names = ["n_tokens", "known", "base", "mixed", "tail"]
         for pdf in batches:
-            out, texts, got, size = [], [], [], 0
-            for t in pdf["text"]:
+            own = pdf[["key", "held_out", "rid"]].reset_index(drop=True)
+            out, texts, got, size, given = [], [], [], 0, 0
+            for i, t in enumerate(pdf["text"]):
                 found = words(t)
                 texts.append(found)
                 got.append(sub.text(found))
                 size += len(got[-1][0])
-                if size >= BATCH_SUBWORDS:
+                last = i == len(pdf) - 1
+                if size >= BATCH_SUBWORDS or last:
                     out += finish(texts, got)
                     texts, got, size = [], [], 0
-            if texts:
-                out += finish(texts, got)
-            part = pd.DataFrame(out, columns=names)
-            yield pd.concat([pdf[["key", "held_out", "rid"]].reset_index(drop=True), part], axis=1)
+                if last or len(out) >= ROWS_AT_ONCE:
+                    part = pd.DataFrame(out, columns=names)
+                    yield pd.concat([own[given:given + len(out)].reset_index(drop=True), part], axis=1)
+                    given, out = given + len(out), []
 
     texts_seen = texts
     key_type = dict(rows.dtypes)["key"]

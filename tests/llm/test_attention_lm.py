@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from doseframe.llm import attention_lm as lm
 from doseframe.llm import bpe
@@ -154,3 +155,15 @@ def test_odd_inputs(spark, save):
     alone = spark.createDataFrame([(None, "ab cd", "q")], "doc_id long, text string, tail string")
     r = QUERIES["op5_attention_lm"](spark, save(documents=alone)).first()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0
+
+
+def test_scores_are_given_on_in_parts(spark, monkeypatch):
+    """A task holds few scored rows at once; where it cuts them changes nothing."""
+    docs = spark.createDataFrame([(i, f"one two three {i} " * (i % 5) + f"seldom{i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    ask = lambda: {r["doc_id"]: r for r in lm.score(docs, "doc_id", "text", F.col("doc_id") % 7 == 2, RANKS, P.PATTERN).collect()}
+    whole = ask()
+    monkeypatch.setattr(lm, "BATCH_SUBWORDS", 20)
+    cut = ask()
+    monkeypatch.setattr(lm, "ROWS_AT_ONCE", 3)
+    assert ask() == cut
+    assert len(cut) == 40 and [cut[i]["n_known"] for i in range(40)] == [whole[i]["n_known"] for i in range(40)]
