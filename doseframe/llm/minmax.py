@@ -168,8 +168,10 @@ def set_column(text: Column, shingle: int) -> Column:
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         make = Sketcher(shingle)
         for texts in batches:
-            kinds = [make.set_of(t) for t in texts]
-            rows = [(make.bands_of(k)[1], packed(k)) if len(k) else (b"", b"") for k in kinds]
+            rows = []
+            for t in texts:  # one full set at a time
+                kinds = make.set_of(t)
+                rows.append((make.bands_of(kinds)[1], packed(kinds)) if len(kinds) else (b"", b""))
             yield pd.DataFrame(rows, columns=["signature", "kinds"])
 
     return sets(text)
