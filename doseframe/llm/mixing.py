@@ -14,13 +14,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doseframe.llm.terms import FIT_ROWS_PER_CLASS, TermIndex, chosen_rows, labelled_sample, padded, telling_terms
-from doseframe.llm.text import words
+from doseframe.llm.terms import FIT_ROWS_PER_CLASS, TermTable, chosen_rows, labelled_sample, padded, telling_terms
+from doseframe.llm.text import byte_groups
 from doseframe.session import staged
 
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.2, 1e-4
+# Texts classified at once.
+GROUP_BYTES = 2 << 20
 # Steps at most, and the share of all target tokens that residuals may have at the end.
 STEPS, TOLERANCE = 60, 1e-7
 
@@ -35,7 +38,11 @@ class Membership:
     def posteriors(self, rows: list) -> np.ndarray:
         sizes = [len(r) for r in rows]
         of, places = np.repeat(np.arange(len(rows)), sizes), np.fromiter(chain.from_iterable(rows), np.int64, sum(sizes))
-        z = np.stack([b + np.bincount(of, w[places], len(rows)) for b, w in zip(self.bias, self.weights.T)], axis=1)
+        return self.posteriors_at(of, places, len(rows))
+
+    def posteriors_at(self, of: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """The same for pairs (text, place) of `n` texts, in order."""
+        z = np.stack([b + np.bincount(of, w[places], n) for b, w in zip(self.bias, self.weights.T)], axis=1)
         z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         return z / z.sum(axis=1, keepdims=True)
 
@@ -100,16 +107,19 @@ def fit_softmax(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, t
 
 def member_column(text: Column, model: Membership) -> Column:
     """Struct n_tokens (words of the whole text; 0 for null and empty texts) and p (posterior of each domain)."""
-    @F.pandas_udf("n_tokens long, p array<double>")
-    def member(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = TermIndex(model.terms)
+    @F.arrow_udf("n_tokens long, p array<double>")
+    def member(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = TermTable(model.terms)
         for texts in batches:
-            sizes, places = [], []
-            for text in texts:
-                found = words(text)
-                sizes.append(len(found))
-                places.append(index.find(found))
-            yield pd.DataFrame({"n_tokens": sizes, "p": list(model.posteriors(places))})
+            sizes, found = [np.empty(0, np.int64)], [np.empty((0, len(model.bias)))]
+            for part in byte_groups(pa.record_batch([texts], ["text"]), 0, GROUP_BYTES):
+                size, of, places = table.find(part.column(0))
+                sizes.append(size)
+                found.append(model.posteriors_at(of, places, len(size)))
+            p = np.concatenate(found)
+            offsets = pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(p.ravel(), pa.float64()))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes), pa.int64()), lists], ["n_tokens", "p"])
 
     return member(text)
 

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from doseframe.llm.text import words
+from doseframe.llm.text import split_words, words
 from doseframe.session import staged
 
 # Labelled rows of each class that a classifier is fitted on at most (chosen by a hash of the id).
@@ -20,7 +22,11 @@ FIT_ROWS_PER_CLASS = 5_000
 MAX_TERMS, LEAST_EVIDENCE, LEAST_ROWS = 4_096, 15.0, 4
 PREFIXES = (4, 5, 6)
 EDGE = b".,;:!?\"'()[]{}<>*#&-_"
+SYMBOLS = b"#&*@$%^~|<>{}[]=+\\/_0123456789"
 
+# The same as tables over bytes, and that of the checksum.
+_EDGE, _SYMBOL = (np.isin(np.arange(256), list(kinds)) for kinds in (EDGE, SYMBOLS))
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], dtype=np.uint32)
 
 # Checksums go on from that of the mark before the text.
 WORD, MARKS = zlib.crc32(b"w"), [(n, zlib.crc32(b"p%d" % n)) for n in PREFIXES]
@@ -40,14 +46,21 @@ def word_terms(word: bytes) -> tuple[int, ...]:
 
 def shape_terms(found: list[bytes], distinct: int) -> tuple[int, ...]:
     """Hashes of coarse shape: length, repetition, word length, symbols. A text without words has the first only."""
-    n = len(found)
-    marks = [b"n%d" % int(math.log2(n + 1) * 2)]
+    joined = b"".join(found)
+    size = len(joined)
+    return tuple(map(shape_hash, shape_marks(len(found), distinct, size, size - len(joined.translate(None, SYMBOLS)))))
+
+
+def shape_marks(n: int, distinct: int, size: int, symbols: int) -> list[tuple[bytes, int]]:
+    """Coarse shape of `n` words, `distinct` of them distinct, with `size` bytes, `symbols` of which are symbols."""
+    marks = [(b"n", int(math.log2(n + 1) * 2))]
     if n:
-        joined = b"".join(found)
-        size = len(joined)
-        symbols = size - len(joined.translate(None, b"#&*@$%^~|<>{}[]=+\\/_0123456789"))
-        marks += [b"r%d" % int(20 * distinct / n), b"l%d" % int(2 * size / n), b"s%d" % int(min(40, 100 * symbols / size))]
-    return tuple(zlib.crc32(b"shape" + m) for m in marks)
+        marks += [(b"r", int(20 * distinct / n)), (b"l", int(2 * size / n)), (b"s", int(min(40, 100 * symbols / size)))]
+    return marks
+
+
+def shape_hash(mark: tuple[bytes, int]) -> int:
+    return zlib.crc32(b"shape%b%d" % mark)
 
 
 def terms_of(text: str | None) -> np.ndarray:
@@ -137,6 +150,127 @@ class TermIndex:
         return sorted(got)
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray, below_a: int, below_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of two arrays of numbers below the given ones, in order."""
+    below_b = max(1, below_b)
+    both = np.sort((a * below_b + b).astype(np.uint32 if below_a * below_b <= 1 << 32 else np.int64))
+    both = both[np.flatnonzero(np.diff(both, prepend=both[:1] + 1))]
+    first, second = np.divmod(both, both.dtype.type(below_b))
+    return first.astype(np.int64), second.astype(np.int64)
+
+
+class TermTable:
+    """Positions of the chosen terms in many texts at once, by array operations; equal to TermIndex and without a memory.
+
+    Words are split and made distinct in Arrow, and the hashes of all distinct words are computed together.
+    """
+
+    LONGEST = 64   # bytes of a word; longer ones are hashed one by one
+
+    def __init__(self, chosen: np.ndarray):
+        self.chosen = np.asarray(chosen, dtype=np.int64)
+        self.order = np.argsort(self.chosen, kind="stable")
+        self.sorted = self.chosen[self.order]
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[self.sorted & 0xFFFF] = True
+        self.shapes: dict[tuple[bytes, int], int] = {}
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Position of each hash among the chosen terms, -1 without one."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        some = np.flatnonzero(self.maybe[hashes & 0xFFFF])
+        values = hashes[some].astype(np.int64)
+        found = _among(values, self.sorted)
+        out[some[found]] = self.order[np.searchsorted(self.sorted, values[found])]
+        return out
+
+    def _shape(self, mark: tuple[bytes, int]) -> int:
+        at = self.shapes.get(mark)
+        if at is None:
+            at = self.shapes[mark] = int(self._places(np.array([shape_hash(mark)]))[0])
+        return at
+
+    def _word_places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, position) of the chosen terms of words, given as parts of `data`."""
+        long = np.flatnonzero(end - start > self.LONGEST)
+        short = np.flatnonzero(end - start <= self.LONGEST)
+        lo, hi = start[short].astype(np.int64), end[short].astype(np.int64)
+        edge = np.arange(len(lo))
+        while len(edge):
+            edge = edge[_EDGE[data[lo[edge]]]]
+            lo[edge] += 1
+            edge = edge[lo[edge] < hi[edge]]
+        empty = lo == hi    # edge punctuation alone counts as it is
+        lo[empty] = start[short[empty]]
+        edge = np.flatnonzero(~empty)
+        while len(edge):    # ends at a byte that is no edge
+            edge = edge[_EDGE[data[hi[edge] - 1]]]
+            hi[edge] -= 1
+        by_size = np.argsort(lo - hi, kind="stable")   # longest first: words with a byte left come before the others
+        lo, size, word = lo[by_size], (hi - lo)[by_size], short[by_size]
+        words_at, places_at = [], []
+
+        def keep(which: np.ndarray, hashes: np.ndarray) -> None:
+            at = self._places(hashes)
+            hit = np.flatnonzero(at >= 0)
+            words_at.append(which[hit])
+            places_at.append(at[hit])
+
+        states = {mark: np.full(len(lo), mark ^ 0xFFFFFFFF, dtype=np.uint32) for mark in (WORD, *(m for _, m in MARKS))}
+        until = {WORD: self.LONGEST, **{mark: n for n, mark in MARKS}}
+        for j in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -j, "left"))   # words of more than j bytes
+            byte = data[lo[:m] + j]
+            for mark, state in states.items():
+                if j < until[mark]:
+                    state[:m] = _CRC[(state[:m] ^ byte) & 0xFF] ^ (state[:m] >> 8)
+        keep(word, states[WORD] ^ 0xFFFFFFFF)
+        for n, mark in MARKS:
+            m = int(np.searchsorted(-size, -n, "right"))
+            keep(word[:m], states[mark][:m] ^ 0xFFFFFFFF)
+        for i in long:
+            hashes = np.array(word_terms(data[start[i]:end[i]].tobytes()), dtype=np.int64)
+            keep(np.full(len(hashes), i), hashes)
+        return np.concatenate(words_at), np.concatenate(places_at)
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; then pairs (text, position), distinct and in order."""
+        n = len(texts)
+        of, found = split_words(texts)
+        coded = found.dictionary_encode()
+        code, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        bounds = np.frombuffer(kinds.buffers()[1], dtype=np.int32)[kinds.offset:kinds.offset + len(kinds) + 1]
+        data = np.frombuffer(kinds.buffers()[2] or b"", dtype=np.uint8)
+        size = np.diff(bounds) if len(kinds) else np.empty(0, np.int32)
+        symbol = np.concatenate(([0], np.cumsum(_SYMBOL[data], dtype=np.int64)))
+        symbols = symbol[bounds[1:]] - symbol[bounds[:-1]] if len(kinds) else size
+        words_of = np.bincount(of, minlength=n)
+        bytes_of = np.bincount(of, size[code], n)
+        symbols_of = np.bincount(of, symbols[code], n)
+        of, code = _distinct_pairs(of, code, n, len(kinds))
+        distinct = np.bincount(of, minlength=n)
+        shape_of, shape_at = [], []
+        shapes = zip(words_of.tolist(), distinct.tolist(), bytes_of.astype(np.int64).tolist(), symbols_of.astype(np.int64).tolist())
+        for i, shape in enumerate(shapes):
+            for mark in shape_marks(*shape):
+                at = self._shape(mark)
+                if at >= 0:
+                    shape_of.append(i)
+                    shape_at.append(at)
+        word, place = self._word_places(data, bounds[:-1], bounds[1:]) if len(kinds) else (np.empty(0, np.int64),) * 2
+        by_word = np.argsort(word, kind="stable")
+        place = place[by_word]
+        first = np.searchsorted(word[by_word], np.arange(len(kinds) + 1))
+        many = np.diff(first)
+        telling = np.flatnonzero(many[code]) if len(code) else np.empty(0, np.int64)
+        of, code = of[telling], code[telling]
+        each = many[code]
+        at = np.repeat(first[code] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        hit_of = np.concatenate((np.repeat(of, each), np.array(shape_of, dtype=np.int64)))
+        hits = np.concatenate((place[at], np.array(shape_at, dtype=np.int64)))
+        return words_of, *_distinct_pairs(hit_of, hits, n, len(self.chosen))
+
+
 def labelled_sample(
     docs: DataFrame, text: str, labels: DataFrame, classes: int, per_class: int = FIT_ROWS_PER_CLASS
 ) -> tuple[DataFrame, list[int]]:

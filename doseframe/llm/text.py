@@ -30,6 +30,15 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The same of many texts at once: the text of each word, and the words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    found = lists.flatten()
+    many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    some = pc.not_equal(pc.binary_length(found), 0)   # space at an end leaves an empty word
+    return np.repeat(np.arange(len(texts)), many)[some.to_numpy(zero_copy_only=False)], found.filter(some)
+
+
 def id_fold(col: Column, folds: int) -> Column:
     """crc32 of an id's decimal text modulo `folds`; null for a null id."""
     return F.crc32(col.cast("string").cast("binary")) % folds

@@ -1,9 +1,12 @@
 """Rates against a plain projected gradient in numpy, targets met, odd inputs."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from doseframe.llm import mixing, terms
 from doseframe.llm.queries import MIX_SHARES, QUERIES
@@ -85,3 +88,33 @@ def test_terms_found_and_posteriors_against_plain_code(monkeypatch):
     z = np.exp([model.bias + weights[p].sum(axis=0) for p in places])
     assert np.allclose(model.posteriors(places), z / z.sum(axis=1, keepdims=True), rtol=1e-12)
     assert model.posteriors([]).shape == (0, 3)
+
+
+def test_terms_of_many_texts_at_once():
+    """Array operations find the same places as the index."""
+    letters = "aAbBcC12*(#é.,;:!?\"'()[]{}<>*#&-_ \t\n\x1c 日"
+    rng = random.Random(3)
+    texts = ["", None, "   ", " a ", "x" * 70 + " " + "*" * 80 + " (" + "ab" * 50 + ")", "****", "(a", "a)"]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(120))) for _ in range(200)]
+    known = np.unique(np.concatenate([terms.terms_of(t) for t in texts]))
+    for chosen in (known[::3], known, known[:0], rng.sample(known.tolist(), 300)):
+        table, index = terms.TermTable(chosen), terms.TermIndex(chosen)
+        for rows in (pa.array(texts), pa.array(texts)[5:90], pa.array([None], pa.string()), pa.array([], pa.string())):
+            size, of, places = table.find(rows)
+            assert size.tolist() == [len(words(t)) for t in rows.to_pylist()]
+            assert [places[of == i].tolist() for i in range(len(rows))] == [index.find(words(t)) for t in rows.to_pylist()]
+
+
+def test_member_column_reads_texts_as_arrays(spark, monkeypatch):
+    """Posteriors by the column are those of plain code, bit by bit; no task looks words up one by one."""
+    texts = ["Anders, anderes; an", "", None, "wort wort wörter", "an"] * 3
+    chosen = np.unique(np.concatenate([terms.terms_of(t) for t in texts]))[::2]
+    model = mixing.Membership(chosen, np.array([0.1, 0.2]), np.random.default_rng(0).normal(size=(len(chosen), 2)))
+    index = terms.TermIndex(chosen)
+    want = model.posteriors([index.find(words(t)) for t in texts])
+    monkeypatch.setattr(mixing, "GROUP_BYTES", 40)
+    monkeypatch.setattr(terms.TermIndex, "find", None)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    got = df.select("i", mixing.member_column(F.col("t"), model).alias("m")).orderBy("i").collect()
+    assert [r.m.n_tokens for r in got] == [len(words(t)) for t in texts]
+    assert [r.m.p for r in got] == want.tolist()
