@@ -32,7 +32,12 @@ def words(text: str | None) -> list[bytes]:
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The same of many texts at once: the text of each word, and the words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    return split_at_space(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+
+
+def split_at_space(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of many texts as they are written."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.binary()).view(pa.string()))
     found = lists.flatten()
     many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     some = pc.not_equal(pc.binary_length(found), 0)   # space at an end leaves an empty word

@@ -8,54 +8,206 @@ into step groups of equal tokens and nearly equal attention cost.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from doseframe.llm.text import byte_groups
+from doseframe.llm.text import byte_groups, split_at_space
 
 TIERS = (256, 512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 POOL_TOKENS = 1 << 21      # tokens packed at once; a longer document is one pool
 GROUP_BYTES = 2 << 20      # texts tokenized at once
-KEPT_WORDS, WORDS_AT_ONCE = 200_000, 64
+KEPT_WORDS, KEPT_PIECES, WORDS_AT_ONCE = 200_000, 100_000, 64
 ID = np.dtype("<u4")
 
+# Normalizer and splitter of the tokenizers whose words `Pieces` codes itself.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_LAST = b"\xff"   # behind the last byte of a piece; no byte of UTF-8
+# ASCII, Latin, Greek, Cyrillic, kana, unified ideographs, syllables of Hangul: classes as old as any Unicode table.
+_BLOCKS = ((0x21, 0x250), (0x384, 0x3CF), (0x400, 0x482), (0x48A, 0x500), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
+
+
+def _plain(c: str) -> bool:
+    """Characters that are their own normal form beside any other of them, and whose lower case is one such character."""
+    low = c.lower()
+    return (
+        unicodedata.category(c)[0] in "LNPS" and len(low) == 1 and c != "Σ" and unicodedata.normalize("NFC", c + low) == c + low
+        and any(lo <= ord(low) < hi for lo, hi in _BLOCKS)
+    )
+
+
+PLAIN = [c for lo, hi in _BLOCKS for c in map(chr, range(lo, hi)) if _plain(c)]
+
+
+def _ranges(chars: list[str]) -> str:
+    """The inside of a bracket expression of some characters in order, by ranges."""
+    codes = np.array([ord(c) for c in chars])
+    first = np.flatnonzero(np.diff(codes, prepend=-9) != 1)
+    last = np.append(first[1:], len(codes)) - 1
+    return "".join(f"{re.escape(chars[a])}-{re.escape(chars[b])}" for a, b in zip(first, last))
+
+
+_L, _N = (_ranges([c for c in PLAIN if unicodedata.category(c)[0] == kind]) for kind in "LN")
+# The splitter's pattern over words of plain characters with a blank between them; the blank is a piece of its own.
+_PIECE = re.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ {_L}{_N}]+")
+
+
+@lru_cache(maxsize=1)
+def piece_ranks(vocabulary: str) -> tuple[dict[bytes, int], np.ndarray, str] | None:
+    """Byte pair ranks that code a piece with _LAST behind it, the id of each rank, and a pattern of words left to the tokenizer.
+
+    The end of a piece is merged into its last byte first. Ranks then give the tokenizer's ids if every token is what
+    its own bytes are merged to: wherever two neighbours together make a token, they are the pair it is merged from.
+    None for a tokenizer of which this is not known.
+    """
+    given = json.loads(vocabulary)
+    model, suffix = given["model"], given["model"].get("end_of_word_suffix")
+    added = given.get("added_tokens") or []
+    if (
+        any(model.get(k) != v for k, v in _MODEL.items()) or not suffix or given.get("normalizer") != _NORMALIZER
+        or given.get("pre_tokenizer") != _SPLITTER or given.get("truncation") or given.get("padding")
+        or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+    ):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]   # the others are written as characters from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    tokens = [*(c + suffix for c in byte), *byte, *(a + b for a, b in merges)]
+    order = {pair: i for i, pair in enumerate(merges)}
+    if len(set(tokens)) < len(tokens) or len(order) < len(merges) or not vocab.keys() >= set(tokens):
+        return None
+
+    def own(token: str) -> bool:
+        parts = list(token.removesuffix(suffix))
+        if token.endswith(suffix):
+            parts[-1] += suffix
+        while len(parts) > 1:
+            rank, i = min((order.get(pair, len(merges)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if rank == len(merges):
+                return False
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return True
+
+    def raw(token: str) -> bytes:
+        return bytes(byte[c] for c in token.removesuffix(suffix)) + (_LAST if token.endswith(suffix) else b"")
+
+    if not all(map(own, tokens)):
+        return None
+    ranks = {raw(t): i for i, t in enumerate(tokens)}
+    if len(ranks) < len(tokens):
+        return None
+    ranks[_LAST] = len(tokens)   # only for the library, which wants all single bytes
+    odd = "|".join([rf"[^{_ranges(PLAIN)}]", *(re.escape(t["content"]) for t in added)])
+    return ranks, np.array([vocab[t] for t in tokens], dtype=ID), odd
+
+
+class Pieces(dict):
+    """Ranks of a piece's tokens as native unsigned 32-bit numbers; a blank stands for the end of a word."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.code = tiktoken.Encoding("pieces", pat_str=" ", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.blank = len(ranks)
+
+    def __missing__(self, piece: str) -> bytes:
+        codes = [self.blank] if piece == " " else self.code(piece.encode() + _LAST)
+        got = self[piece] = array("I", codes).tobytes()
+        return got
+
 
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit numbers, by the tokenizer.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its words in order. When
-    KEPT_WORDS are known, only those used since stay.
+    The tokenizer drops white space and never joins over it, so a text's ids are those of its words in order. Words of
+    plain characters are cut and coded here, each distinct word of some texts once; the others are coded by the
+    tokenizer and kept: when KEPT_WORDS are known, only those used since stay.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: tuple[dict[bytes, int], np.ndarray, str] | None = None):
         # One task has one core.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.vocabulary, self.older = vocabulary, {}
+        self.ranks = ranks or piece_ranks(vocabulary)
+        if self.ranks:
+            self.pieces = Pieces(self.ranks[0])
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older = Tokenizer.from_str(vocabulary), {}
+        return Tokenizer.from_str(self.vocabulary)
 
-    def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
+    def encode(self, texts: Sequence[bytes | None] | pa.Array) -> list[bytes]:
         """Ids of whole texts, end to end; nothing for a null text."""
+        of, found = split_at_space(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        if not len(found):
+            return [b""] * len(texts)
+        coded = found.dictionary_encode()
+        ids, sizes = self._coded(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+        flat = lists.take(coded.indices).flatten().to_numpy(zero_copy_only=False).tobytes()
+        ends = np.cumsum(np.bincount(of, sizes[code], len(texts)).astype(np.int64)) * ID.itemsize
+        return [flat[lo:hi] for lo, hi in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and their number of each."""
+        if not self.ranks:
+            return self._by_tokenizer(words)
+        _, of_rank, odd = self.ranks
+        left = pc.match_substring_regex(words, odd)
+        left_at = np.flatnonzero(left.to_numpy(zero_copy_only=False))
+        if len(left_at) == len(words):
+            return self._by_tokenizer(words)
+        pieces, blank = self.pieces, self.pieces.blank
+        if len(pieces) > KEPT_PIECES:
+            pieces.clear()
+        plain = words.filter(pc.invert(left)) if len(left_at) else words
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
+        ranks = np.frombuffer(b"".join(map(pieces.__getitem__, _PIECE.findall(one.lower() + " "))), dtype=np.uint32)
+        ends = np.flatnonzero(ranks == blank)
+        ids, sizes = of_rank[np.delete(ranks, ends)], np.diff(ends, prepend=-1) - 1
+        if not len(left_at):
+            return ids, sizes
+        more, many = self._by_tokenizer(words.filter(left))
+        # Words by place, though those of the tokenizer come last.
+        place = np.argsort(np.append(np.flatnonzero(~left.to_numpy(zero_copy_only=False)), left_at))
+        both, size = np.concatenate((ids, more)), np.concatenate((sizes, many))
+        first = (np.cumsum(size) - size)[place]
+        size = size[place]
+        return both[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def _by_tokenizer(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > KEPT_WORDS:
             self.older = dict(self)
             self.clear()
-        words = [t.split() if t else [] for t in texts]
-        new = set().union(*words).difference(self)
+        wanted = words.cast(pa.binary()).to_pylist()
+        new = set(wanted).difference(self)
         self.update((w, self.older[w]) for w in new.intersection(self.older))
         fresh = list(new.difference(self.older))
         for lo in range(0, len(fresh), WORDS_AT_ONCE):
             self._learn(fresh[lo:lo + WORDS_AT_ONCE])
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        got = [self[w] for w in wanted]
+        return np.frombuffer(b"".join(got), dtype=ID), np.array([len(g) // ID.itemsize for g in got], dtype=np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         """Many words as one text; a token belongs to the word in which it starts."""
@@ -67,10 +219,15 @@ class WordIds(dict):
         self.update((w, ids[lo:hi]) for w, lo, hi in zip(words, cuts.tolist(), cuts[1:].tolist()))
 
 
-@lru_cache(maxsize=1)
-def word_ids(vocabulary: str) -> WordIds:
-    """One for all tasks of a worker: the tokenizer is built once, and words known stay known."""
-    return WordIds(vocabulary)
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str, ranks: tuple[dict[bytes, int], np.ndarray, str] | None = None) -> WordIds:
+    """One for all tasks of a worker: what codes words is built once, and words known stay known."""
+    if vocabulary not in _WORD_IDS:
+        _WORD_IDS.clear()
+        _WORD_IDS[vocabulary] = WordIds(vocabulary, ranks)
+    return _WORD_IDS[vocabulary]
 
 
 class Piece(NamedTuple):
@@ -222,12 +379,13 @@ def pack(
     """
     with open(vocabulary, encoding="utf-8") as f:
         words = f.read()
+    ranks = piece_ranks(words)
     key_type = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     end_id = np.array([end], dtype=ID).tobytes()
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packer = word_ids(words), Packer(tiers, step_tokens)
+        known, packer = word_ids(words, ranks), Packer(tiers, step_tokens)
         base = TaskContext.get().partitionId() << 33
         keys: dict[int, tuple] = {}   # documents not given in full: key, tokens, tokens given
         n = 0
@@ -256,7 +414,7 @@ def pack(
         for batch in batches:
             key_arrow = batch.column(0).type
             for part in byte_groups(batch, 1, GROUP_BYTES):
-                for value, ids in zip(part.column(0).to_pylist(), known.encode(part.column(1).to_pylist())):
+                for value, ids in zip(part.column(0).to_pylist(), known.encode(part.column(1))):
                     ids += end_id
                     keys[n] = value, len(ids) // ID.itemsize, 0
                     packer.add(n, ids)

@@ -1,5 +1,6 @@
 """Ids against the whole-text tokenizer, every id in one piece, sequences without padding, balanced groups."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -129,3 +130,39 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark, save):
 def test_tiers_must_be_powers_of_two():
     with pytest.raises(ValueError):
         tier_packing.Packer((3, 8))
+
+
+def test_plain_words_need_no_tokenizer(monkeypatch):
+    """Plain characters of all scripts, in every class beside them, get the tokenizer's ids without a call of it."""
+    texts = [f"{c}a {c}{c} a{c}1 {c}'s 'S{c} A{c}B ({c})'ll{c}" for c in tier_packing.PLAIN if ord(c) < 0x4E00]
+    texts += ["".join(random.Random(k).choices(tier_packing.PLAIN, k=60)) for k in range(300)]
+    texts += ["x" * 9000 + "Ünïcode" * 500, "", None, " \n", "Hello,world's 2½ don'T \x0b\x0c\r ab"]
+    coder = tier_packing.WordIds(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(tier_packing.WordIds, "_learn", None)
+    monkeypatch.setattr(tier_packing, "KEPT_PIECES", 50)
+    for part in (texts[:400], texts[400:]):
+        got = coder.encode([t if t is None else t.encode() for t in part])
+        assert [np.frombuffer(b, tier_packing.ID).tolist() for b in got] == [ids_of(t)[:-1] for t in part]
+
+
+def test_odd_words_keep_their_places_and_other_tokenizers_are_asked():
+    """Words left to the tokenizer stand between plain ones; of a tokenizer of another make all words are left to it."""
+    texts = ["plain İstanbul Σας words <|endoftext|> x<|startoftext|>y é́ end", "　 a b", "日本 हिन्दी ok", "only plain"]
+    vocabulary = open(PATH, encoding="utf-8").read()
+    given = json.loads(vocabulary)
+    given["normalizer"]["normalizers"].pop()
+    other = json.dumps(given)
+    assert tier_packing.piece_ranks(vocabulary) and tier_packing.piece_ranks(other) is None
+    for made in (vocabulary, other):
+        whole, coder = Tokenizer.from_str(made), tier_packing.WordIds(made)
+        for _ in range(2):
+            got = coder.encode([t.encode() for t in texts])
+            assert [np.frombuffer(b, tier_packing.ID).tolist() for b in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_that_their_bytes_are_not_merged_to_rule_the_ranks_out():
+    """A merge that is never reached would let the ranks join what the tokenizer does not."""
+    given = json.loads(open(PATH, encoding="utf-8").read())
+    first = given["model"]["merges"][0]
+    given["model"]["merges"] = [*given["model"]["merges"][1:], first]
+    assert tier_packing.piece_ranks(json.dumps(given)) is None
