@@ -363,6 +363,12 @@ class Packer:
         self.groups += n
 
 
+def ids_column(ids: Sequence[memoryview]) -> pa.Array:
+    """Pieces' ids as one binary column; Arrow would never let go of memoryviews that it converts itself."""
+    ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int64), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, ends.buffers()[1], pa.py_buffer(b"".join(ids))])
+
+
 def pack(
     df: DataFrame, key: str, text: str, vocabulary: str, end: int, tiers: Sequence[int] = TIERS, step_tokens: int = STEP_TOKENS
 ) -> DataFrame:
@@ -405,7 +411,7 @@ def pack(
                     keys[k] = key_value, total, given + size
             return pa.RecordBatch.from_arrays([
                 pa.array([k for k, _ in owner], key_arrow), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                pa.array(ids, pa.binary()), pa.array([t for _, t in owner], pa.int64()),
+                ids_column(ids), pa.array([t for _, t in owner], pa.int64()),
                 pa.array([base + s for s in sequence], pa.int64()), pa.array(offset, pa.int64()), pa.array(tier, pa.int32()),
                 pa.array([base + g for g in group], pa.int64()),
             ], ["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])

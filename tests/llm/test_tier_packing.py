@@ -166,3 +166,19 @@ def test_tokens_that_their_bytes_are_not_merged_to_rule_the_ranks_out():
     first = given["model"]["merges"][0]
     given["model"]["merges"] = [*given["model"]["merges"][1:], first]
     assert tier_packing.piece_ranks(json.dumps(given)) is None
+
+
+def test_workers_let_go_of_the_ids_they_have_given(spark):
+    """Documents stay in no worker once their pieces are given: views of their ids are what would hold them."""
+    df = spark.createDataFrame([(i, f"word {i} " * 20) for i in range(2000)], "doc_id long, text string").repartition(8)
+    assert tier_packing.pack(df, "doc_id", "text", PATH, 2).agg({"length": "sum"}).first()[0] > 2000
+
+    def views(batches):
+        import gc
+
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(isinstance(x, memoryview) for x in gc.get_objects())]})
+
+    assert max(r.n for r in spark.range(0, 16, 1, 16).mapInPandas(views, "n long").collect()) < 100
