@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doseframe.llm.components import components, merged
 from doseframe.llm.sieve import sieve
-from doseframe.llm.text import unused
+from doseframe.llm.text import byte_groups, unused
 from doseframe.session import staged
 
 # 48 bands of 6 values (3 permutations): a pair of similarity 0.8 is missed with a chance of 5e-7.
@@ -33,6 +34,8 @@ DEVIATIONS = 5.0
 BLOCK, GROUP_ROWS, GROUP_BYTES = 512, 1_000, 8 << 20
 # Shingles hashed at once, and bytes of text at once (bounds memory for very long texts).
 CHUNK, TEXT_CHUNK = 512, 1 << 20
+# Bytes of texts that are sketched, or made sets of, before they are given on.
+TEXTS_AT_ONCE = 2 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 BLANK = re.compile(b"[ \\t-\\r]")
 
@@ -145,10 +148,10 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 def sketch_column(text: Column, shingle: int) -> Column:
     """Struct n, digest (of the full set), bands; null digest and no bands for empty sets."""
-    @F.pandas_udf("n long, digest binary, bands array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n long, digest binary, bands array<long>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = Sketcher(shingle)
-        for texts in batches:
+        for texts in _few(batches):
             rows = []
             for t in texts:
                 kinds = make.set_of(t)
@@ -157,38 +160,49 @@ def sketch_column(text: Column, shingle: int) -> Column:
                     rows.append((len(kinds), digest, make.bands_of(kinds)[0].view(np.int64)))
                 else:
                     rows.append((0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "digest", "bands"])
+            n, digests, bands = zip(*rows)
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["n", "digest", "bands"]
+            )
 
     return sketch(text)
 
 
 def set_column(text: Column, shingle: int) -> Column:
     """Struct signature (a byte for each value) and kinds (packed set)."""
-    @F.pandas_udf("signature binary, kinds binary")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("signature binary, kinds binary")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = Sketcher(shingle)
-        for texts in batches:
+        for texts in _few(batches):
             rows = []
             for t in texts:  # one full set at a time
                 kinds = make.set_of(t)
                 rows.append((make.bands_of(kinds)[1], packed(kinds)) if len(kinds) else (b"", b""))
-            yield pd.DataFrame(rows, columns=["signature", "kinds"])
+            yield pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["signature", "kinds"])
 
     return sets(text)
 
 
+def _few(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """Texts of some batches, at most TEXTS_AT_ONCE bytes or one text at a time."""
+    for texts in batches:
+        for part in byte_groups(pa.record_batch([texts], ["text"]), 0, TEXTS_AT_ONCE):
+            yield part.column(0).to_pylist()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; sets has (class, n, kinds)."""
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
         out, last, left = [], None, None
-        for p, q in zip(x, y):
-            if p is not last:
+        for p, q in zip(x, y):   # sets are read where they lie
+            p = p.as_buffer()
+            if last is None or not p.equals(last):
                 last, left = p, unpacked(p)
-            right = unpacked(q)
+            right = unpacked(q.as_buffer())
             common = shared(left, right)
             out.append(100 * common >= percent * (len(left) + len(right) - common))
-        return pd.Series(out, index=x.index, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     # A pivot (b) with very many pairs is sent once for each salt that its pairs have, never once for all.
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))

@@ -10,15 +10,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doseframe.llm.terms import FIT_ROWS_PER_CLASS, LEAST_EVIDENCE, LEAST_ROWS, SlotIndex, labelled_sample, slot_rows
-from doseframe.llm.text import id_fold
+from doseframe.llm.text import byte_groups, id_fold
 
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 40, 256, 0.1, 1e-4
 # Places of the hash table; squared length of a mean row of the terms that are fitted second.
 SLOTS, LENGTH = 1 << 18, 1.0
+# Texts scored at once: their places take some times their bytes.
+GROUP_BYTES = 2 << 20
 
 
 @dataclass
@@ -141,11 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int =
 
 def score_column(text: Column, machine: Machine) -> Column:
     """Probability of label 1 for a whole text; null and empty texts are scored like any other."""
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = SlotIndex(len(machine.terms))
         for texts in batches:
-            yield pd.Series(machine.scores([index.find(t) for t in texts]), index=texts.index)
+            for part in byte_groups(pa.record_batch([texts], ["text"]), 0, GROUP_BYTES):
+                yield pa.array(machine.scores([index.find(t) for t in part.column(0).to_pylist()]), pa.float64())
 
     return score(text)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from doseframe.llm import minmax
@@ -151,3 +152,11 @@ def test_components(spark):
 def test_query_rows(spark):
     df = QUERIES["op3_minmax_dedup"](spark, "/root/testdata/sf0.001")
     assert df.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+
+
+def test_texts_of_a_batch_are_taken_in_parts():
+    texts = ["a" * 300_000] * 20 + [None, "", "b" * (minmax.TEXTS_AT_ONCE + 1), "c"]
+    parts = list(minmax._few(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= minmax.TEXTS_AT_ONCE for part in parts)
+    assert len(parts) > 3

@@ -62,3 +62,15 @@ def test_odd_inputs(spark, save):
     empty = save(documents=d, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.predicted for r in QUERIES["op6_toxicity"](spark, empty).collect()} == {0}
     assert QUERIES["op6_toxicity"](spark, save(documents=d.limit(0))).count() == 0
+
+
+def test_a_batch_is_scored_in_parts(spark):
+    """Places of a text take some times its bytes: a task never holds those of a whole batch of Spark."""
+    class Counting(toxicity.Machine):
+        def scores(self, rows):
+            return np.full(len(rows), len(rows), dtype=float)
+
+    none = np.empty(0)
+    docs = spark.createDataFrame([(i, "word " * 4_000) for i in range(600)] + [(600, None)], "doc_id long, text string").coalesce(1)
+    got = [r.s for r in docs.select(toxicity.score_column(docs["text"], Counting(np.arange(8), 0.0, none, none)).alias("s")).collect()]
+    assert len(got) == 601 and max(got) < 300
