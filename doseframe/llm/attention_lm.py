@@ -12,16 +12,18 @@ its chunks from the common parameters, and the results are averaged by number of
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doseframe.llm.text import words
+from doseframe.llm.text import byte_groups, split_words
 from doseframe.session import staged
 
 # Slots (the most frequent subwords; the last slot stands for all others), slots of a class, sizes of the network.
@@ -33,38 +35,62 @@ ROUNDS, STEP_CHUNKS, RATE = 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
 KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 150_000, 200_000, 32_768
+# Bytes of text whose words are split and made distinct at once.
+GROUP_BYTES = 2 << 20
 # Scored rows that a task holds before it gives them on, each with the words that are not at hand.
 ROWS_AT_ONCE = 500
 MIX = 0.5
 
 
+class Cut(NamedTuple):
+    """Subword ids of some texts, end to end."""
+    ids: np.ndarray
+    sizes: np.ndarray      # ids of each word and of each text's end
+    many: np.ndarray       # words of each text, its end among them
+    word: np.ndarray       # place among the distinct words of each word; for an end their number
+    distinct: list[bytes]
+
+    @property
+    def text_sizes(self) -> np.ndarray:
+        return np.add.reduceat(self.sizes, np.cumsum(self.many) - self.many) if len(self.many) else self.many
+
+
 class Subwords:
     """Ids of words by a public vocabulary, each word with a blank before it; `end` follows a text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.piece = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.end = max(ranks.values(), default=-1) + 1
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def of(self, word: bytes) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as native 32-bit numbers."""
+        got = list(map(self.known.get, words))
+        if None in got:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            ids = self.known[word] = tuple(self.piece(b" " + word))
-        return ids
+            for i, (word, ids) in enumerate(zip(words, got)):
+                if ids is None:
+                    got[i] = self.known[word] = array("i", self.piece(b" " + word)).tobytes()
+        return got
+
+    def texts(self, texts: pa.Array) -> Cut:
+        """Ids of texts, each with its end: words are split and made distinct in Arrow, and each distinct one is looked up once."""
+        of, found = split_words(texts)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = [*self.of(distinct), array("i", [self.end]).tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        many = np.bincount(of, minlength=len(texts)) + 1
+        word = np.full(len(of) + len(texts), len(distinct), dtype=np.int32)
+        word[np.arange(len(of)) + of] = coded.indices.to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+        return Cut(lists.take(pa.array(word)).flatten().to_numpy(zero_copy_only=False), sizes[word], many, word, distinct)
 
     def text(self, found: list[bytes]) -> tuple[list[int], list[int]]:
         """Subword ids of a text with its end, and the number of ids of each word and of the end."""
-        ids: list[int] = []
-        sizes = []
-        for w in found:
-            got = self.of(w)
-            ids.extend(got)
-            sizes.append(len(got))
-        ids.append(self.end)
-        sizes.append(1)
-        return ids, sizes
+        got = self.texts(pa.array([b" ".join(found)], pa.binary()))
+        return got.ids.tolist(), got.sizes.tolist()
 
 
 @dataclass
@@ -119,6 +145,7 @@ def new_network(counts: np.ndarray, seed: int = 1) -> Network:
 SPAN = SCORED + CONTEXT
 # Distance from each scored position (row) back to each position of the window (column); negative: ahead.
 BACK = (np.arange(SCORED)[:, None] + CONTEXT) - np.arange(SPAN)[None, :]
+DISTANCE = np.maximum(BACK, 0)
 
 
 def chunked(slots: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,149 +166,252 @@ def chunked(slots: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return inputs, slots[np.maximum(place, 0)], place
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and the sums of its rows; where a score is large or a sum is lost, after the greatest of each row is taken off z."""
+    ones = np.ones(z.shape[-1], dtype=z.dtype)
+    if not z.size or z.max() < 60:
+        e = np.exp(z)
+        sums = e @ ones
+        if not z.size or sums.min() > 1e-20:
+            return e, sums
+    z -= z.max(axis=-1, keepdims=True)
+    e = np.exp(z)
+    return e, e @ ones
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
-    """Hidden states of the scored positions, and what the gradient needs; `Scorer.states` gives the same states."""
-    outside = inputs > SLOTS
-    x = w["embed"][np.where(outside, SLOTS, inputs)]
-    own = x[:, CONTEXT:]
-    q, k, v = own @ w["q"], x @ w["k"], x @ w["v"]
-    score = np.matmul(q, k.transpose(0, 2, 1)) / np.float32(np.sqrt(WIDTH)) + w["near"][np.maximum(BACK, 0)]
-    score = np.where((BACK < 0)[None] | outside[:, None, :], np.float32(-1e9), score)
-    score -= score.max(axis=2, keepdims=True)
-    attend = np.exp(score)
-    attend /= attend.sum(axis=2, keepdims=True)
-    mixed = np.matmul(attend, v)
-    state = np.tanh(own @ w["own"] + mixed @ w["seen"] + w["hidden"])
-    return state, (x, q, k, v, attend, mixed, outside)
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Places of the targets in order of classes, class and slot of each in that order, the rows of each class that occurs."""
+    kind = (targets // CLASS).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    targets, sizes = targets.take(order), np.bincount(kind, minlength=SLOTS // CLASS)
+    kind, ends = kind.take(order), np.cumsum(sizes).tolist()
+    return order, kind, targets % CLASS, [(c, slice(b - n, b)) for c, (b, n) in enumerate(zip(ends, sizes.tolist())) if n]
+
 
+def _slot_scores(h: np.ndarray, slots: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+    """Scores of the slots of each row's class."""
+    z = np.empty((len(h), CLASS), dtype=h.dtype)
+    for c, rows in runs:
+        np.dot(h[rows], slots[c], out=z[rows])
+    return z
 
-def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+
+def _with_bias(matrix: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate((matrix, bias[..., None, :]), axis=-2)
+
+
+class Step:
+    """Parameters and their gradient, each in one vector with views by name, made ready for many steps.
+
+    Only the products q k' and v seen matter, so keys and values are the embeddings themselves. Biases are
+    the last row of "classes" and "slots"; states end with a one, the tanh of STEADY.
+    """
+
+    PLAIN = {
+        "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "near": (SCORED + CONTEXT,), "own": (WIDTH, HIDDEN), "seen": (WIDTH, HIDDEN),
+        "hidden": (HIDDEN,),
+    }
+    SHAPES = PLAIN | {"classes": (HIDDEN + 1, SLOTS // CLASS), "slots": (SLOTS // CLASS, HIDDEN + 1, CLASS)}
+    STEADY = 20.0
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.embed = w["embed"].copy()
+        sizes = [int(np.prod(s)) for s in self.SHAPES.values()]
+        self.flat, self.slope = (np.zeros(sum(sizes), dtype=self.embed.dtype) for _ in range(2))
+        self.w, self.g = (
+            {k: a.reshape(s) for (k, s), a in zip(self.SHAPES.items(), np.split(x, np.cumsum(sizes)[:-1]))} for x in (self.flat, self.slope)
+        )
+        for name in self.PLAIN:
+            self.w[name][:] = w[name]
+        self.w["classes"][:] = _with_bias(w["class"], w["class_bias"])
+        self.w["slots"][:] = _with_bias(w["slot"], w["slot_bias"])
+
+    def named(self, embed: np.ndarray, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Parameters or gradient by the names of a network."""
+        out = {k: parts[k].copy() for k in self.PLAIN}
+        out |= {"class": parts["classes"][:-1].copy(), "class_bias": parts["classes"][-1].copy()}
+        return out | {"embed": embed, "slot": parts["slots"][:, :-1].copy(), "slot_bias": parts["slots"][:, -1].copy()}
+
+    def products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What makes scores of an own embedding, and states of an own embedding with the mean of those attended, and their bias."""
+        w, kind = self.w, self.embed.dtype.type
+        near = w["q"] @ w["k"].T / np.sqrt(kind(WIDTH))
+        far = np.zeros((2 * WIDTH, HIDDEN + 1), dtype=kind)
+        far[:WIDTH, :-1], far[WIDTH:, :-1] = w["own"], w["v"] @ w["seen"]
+        return near, far, np.append(w["hidden"], kind(self.STEADY))
+
+    def forward(self, inputs: np.ndarray):
+        """Hidden states of the scored positions, and what the gradient needs."""
+        n, kind = len(inputs), self.embed.dtype.type
+        near, far, bias = self.products()
+        which = np.minimum(inputs, SLOTS)
+        x = self.embed.take(which, axis=0)
+        xt = np.ascontiguousarray(x.transpose(0, 2, 1))
+        both = np.empty((n, SCORED, 2 * WIDTH), dtype=kind)
+        both[:, :, :WIDTH] = x[:, CONTEXT:]
+        flat = both.reshape(-1, 2 * WIDTH)
+        # Behind the queries is room for the slopes of the means, before the weights for the slopes of the scores.
+        q, pairs = np.empty((n, 2 * SCORED, WIDTH), dtype=kind), np.empty((n, 2 * SCORED, SPAN), dtype=kind)
+        q[:, :SCORED] = (flat[:, :WIDTH] @ near).reshape(n, SCORED, WIDTH)
+        score = np.matmul(q[:, :SCORED], xt)
+        score += np.where(BACK < 0, kind(-1e4), self.w["near"].take(DISTANCE))
+        some = np.flatnonzero((inputs[:, 0] > SLOTS) | (inputs[:, -1] > SLOTS))   # texts begin or end there
+        if len(some):
+            score[some] += np.where(inputs[some] > SLOTS, kind(-1e4), kind(0))[:, None, :]
+        attend, total = _exps(score)
+        attend = np.divide(attend, total[:, :, None], out=pairs[:, SCORED:])
+        both[:, :, WIDTH:] = np.matmul(attend, x)
+        state = flat @ far
+        state += bias
+        return np.tanh(state, out=state), (which, x, xt, flat, near, far, q, pairs)
+
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean loss over the real targets; its gradient is left in `g`, that of some rows of the embedding is given back."""
+        w, g = self.w, self.g
+        state, (which, x, xt, both, near, far, q, pairs) = self.forward(inputs)
+        n, share = len(inputs), x.dtype.type(1 / max(1, int(real.sum())))
+        take = np.flatnonzero(real)
+        order, kind, slot, runs = _by_class(targets.ravel().take(take))
+        order = take.take(order)
+        h = state.take(order, axis=0)
+
+        def slopes_of(z: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+            at = np.arange(len(z)) * z.shape[1] + target
+            e, sums = _exps(z)
+            loss = float((np.log(sums) - z.take(at)).sum())
+            e *= (share / sums)[:, None]
+            e.ravel()[at] -= share
+            return loss, e
+
+        loss, d = slopes_of(h @ w["classes"], kind)
+        np.dot(h.T, d, out=g["classes"])
+        dh = d @ w["classes"].T
+        more, d = slopes_of(_slot_scores(h, w["slots"], runs), slot)
+        back, dslot = w["slots"].transpose(0, 2, 1), np.empty_like(dh)
+        g["slots"][:] = 0
+        for c, rows in runs:
+            np.dot(h[rows].T, d[rows], out=g["slots"][c])
+            np.dot(d[rows], back[c], out=dslot[rows])
+        dh += dslot
+        dh *= 1 - h * h
+        # Slopes of states (the one has none), then of queries.
+        slopes = np.zeros((len(both), HIDDEN + 1 + WIDTH), dtype=x.dtype)
+        slopes[order, :HIDDEN + 1] = dh
+        dmean = slopes[:, :HIDDEN + 1] @ far[WIDTH:].T
+        q[:, SCORED:] = dmean.reshape(n, SCORED, WIDTH)
+        dscore = np.matmul(q[:, SCORED:], xt)
+        dscore -= np.vecdot(dmean, both[:, WIDTH:]).reshape(n, SCORED, 1)
+        dscore = np.multiply(dscore, pairs[:, SCORED:], out=pairs[:, :SCORED])
+        slopes[:, HIDDEN + 1:] = np.matmul(dscore, x).reshape(-1, WIDTH)
+        dx = np.matmul(pairs.transpose(0, 2, 1), q)
+        dx[:, CONTEXT:] += (slopes @ np.concatenate((far[:WIDTH], near), axis=1).T).reshape(n, SCORED, WIDTH)
+        made = both.T @ slopes
+        dnear, dfar = made[:WIDTH, HIDDEN + 1:] / np.sqrt(x.dtype.type(WIDTH)), made[WIDTH:, :HIDDEN]
+        g["near"][:] = np.bincount(DISTANCE.ravel(), dscore.sum(axis=0).ravel(), SPAN)
+        g["own"][:], g["hidden"][:] = made[:WIDTH, :HIDDEN], (np.ones(len(dh), dtype=x.dtype) @ dh)[:-1]
+        g["q"][:], g["k"][:], g["v"][:], g["seen"][:] = dnear @ w["k"], dnear.T @ w["q"], dfar @ w["seen"].T, w["v"].T @ dfar
+        # Equal rows of the embedding side by side; places outside a text have no slope. Pairs of numbers are summed as one.
+        which = which.ravel().astype(np.int16)
+        order = np.argsort(which, kind="stable")
+        which = which.take(order)
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        dx = dx.reshape(-1, WIDTH).take(order, axis=0).view(np.result_type(x, 1j))
+        return (loss + more) * float(share), which[first], np.add.reduceat(dx, first, axis=0).view(x.dtype)
+
+
+def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
+    """Hidden states of the scored positions, and what the gradient needs; `Scorer.states` gives the same states."""
+    state, rest = Step(w).forward(inputs)
+    return state[:, :HIDDEN].reshape(len(inputs), SCORED, HIDDEN), rest
 
 
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the real targets, and its gradient."""
-    state, (x, q, k, v, attend, mixed, outside) = forward(w, inputs)
-    flat = state.reshape(-1, HIDDEN)
-    take = np.flatnonzero(real.ravel())
-    h, target = flat[take], targets.ravel()[take]
-    m = max(1, len(take))
-    kind, slot = target // CLASS, target % CLASS
-    g = {name: np.zeros_like(a) for name, a in w.items()}
-    logs = _log_softmax(h @ w["class"] + w["class_bias"])
-    loss = -logs[np.arange(len(take)), kind].sum()
-    d = np.exp(logs)
-    d[np.arange(len(take)), kind] -= 1
-    g["class"], g["class_bias"] = h.T @ d / m, d.sum(axis=0) / m
-    dh = d @ w["class"].T
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(SLOTS // CLASS + 1))
-    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if a < b:
-            rows = order[a:b]
-            logs = _log_softmax(h[rows] @ w["slot"][c] + w["slot_bias"][c])
-            loss -= logs[np.arange(b - a), slot[rows]].sum()
-            d = np.exp(logs)
-            d[np.arange(b - a), slot[rows]] -= 1
-            g["slot"][c], g["slot_bias"][c] = h[rows].T @ d / m, d.sum(axis=0) / m
-            dh[rows] += d @ w["slot"][c].T
-    dstate = np.zeros_like(flat)
-    dstate[take] = dh / m
-    dz = dstate.reshape(state.shape) * (1 - state * state)
-    own = x[:, CONTEXT:]
-    g["own"], g["seen"], g["hidden"] = _outer(own, dz), _outer(mixed, dz), dz.sum(axis=(0, 1))
-    dmixed = dz @ w["seen"].T
-    dv = np.matmul(attend.transpose(0, 2, 1), dmixed)
-    dattend = np.matmul(dmixed, v.transpose(0, 2, 1))
-    dscore = attend * (dattend - (dattend * attend).sum(axis=2, keepdims=True))
-    by_pair = dscore.sum(axis=0)
-    np.add.at(g["near"], np.maximum(BACK, 0), np.where(BACK < 0, 0, by_pair))
-    dscore /= np.float32(np.sqrt(WIDTH))
-    dq, dk = np.matmul(dscore, k), np.matmul(dscore.transpose(0, 2, 1), q)
-    g["q"], g["k"], g["v"] = _outer(own, dq), _outer(x, dk), _outer(x, dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, CONTEXT:] += dq @ w["q"].T + dz @ w["own"].T
-    dx, which = dx[~outside], inputs[~outside]
-    order = np.argsort(which, kind="stable")
-    rows, first = np.unique(which[order], return_index=True)
-    g["embed"][rows] = np.add.reduceat(dx[order], first, axis=0)
-    return float(loss) / m, g
+    step = Step(w)
+    loss, rows, sums = step.gradient(inputs, targets, real)
+    embed = np.zeros_like(step.embed)
+    embed[rows] = sums
+    return loss, step.named(embed, step.g)
+
+
+def _adagrad(w: np.ndarray, square: np.ndarray, g: np.ndarray) -> None:
+    square += g * g
+    change = np.sqrt(square)
+    np.divide(g, change, out=change)
+    change *= np.float32(RATE)
+    w -= change
 
 
 def train(net: Network, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[Network, int]:
     """Adagrad over batches of (inputs, targets, real); returns the network and the number of targets seen."""
-    w = {k: a.copy() for k, a in net.weights.items()}
-    seen, square = 0, {k: np.full_like(a, 1e-4) for k, a in w.items()}
+    step, seen = Step(net.weights), 0
+    square, rows_square = np.full_like(step.flat, 1e-4), np.full_like(step.embed, 1e-4)
     for inputs, targets, real in chunks:
-        _, g = gradient(w, inputs, targets, real)
-        for k in w:
-            square[k] += g[k] * g[k]
-            w[k] -= np.float32(RATE) * g[k] / np.sqrt(square[k])
+        _, rows, g = step.gradient(inputs, targets, real)
+        _adagrad(step.flat, square, step.slope)
+        part, part_square = step.embed.take(rows, axis=0), rows_square.take(rows, axis=0)   # the others have no slope
+        _adagrad(part, part_square, g)
+        step.embed[rows], rows_square[rows] = part, part_square
         seen += int(real.sum())
-    return Network(net.slot_of, net.rest_log10, w), seen
+    return Network(net.slot_of, net.rest_log10, step.named(step.embed, step.w)), seen
 
 
 class Scorer:
-    """A trained network made ready for scoring: what depends on one subword alone is looked up by its slot.
+    """A trained network made ready for scoring: what depends on one subword alone is looked up by its slot."""
 
-    The last coordinate of q and k carries the mask of places outside a text, that of v counts the
-    attention, so that masked attention is two matrix products around one exponential.
-    """
+    AT_ONCE = 256   # windows
 
     def __init__(self, net: Network):
-        w = net.weights
-        self.net, self.w = net, w
-        embed = np.concatenate((w["embed"], w["embed"][SLOTS:]))  # the last row: outside
-        one = np.ones((len(embed), 1), dtype=np.float32)
-        outside = np.where(np.arange(len(embed)) > SLOTS, np.float32(-1e4), np.float32(0))[:, None]
-        self.q = np.concatenate((embed @ w["q"] / np.float32(np.sqrt(WIDTH)), one), axis=1)
-        self.k = np.concatenate((embed @ w["k"], outside), axis=1)
-        self.v = np.concatenate((embed @ w["v"], one), axis=1)
-        self.own = embed @ w["own"] + w["hidden"]
-        self.near = np.where(BACK < 0, np.float32(-1e4), w["near"][np.maximum(BACK, 0)])
+        step = Step(net.weights)
+        near, far, bias = step.products()
+        self.net, self.classes, self.slots = net, step.w["classes"], step.w["slots"]
+        self.x = np.concatenate((step.embed, step.embed[SLOTS:]))   # the last row: outside
+        self.q, self.own, self.mean = self.x @ near, self.x @ far[:WIDTH] + bias, far[WIDTH:]
+        self.near = np.where(BACK < 0, np.float32(-1e4), step.w["near"][DISTANCE])
+
+    def _states(self, inputs: np.ndarray) -> np.ndarray:
+        """Those of `Step`, with their one."""
+        own, x = inputs[:, CONTEXT:], self.x.take(inputs, axis=0)
+        score = np.matmul(self.q.take(own, axis=0), np.ascontiguousarray(x.transpose(0, 2, 1)))
+        score += self.near
+        some = np.flatnonzero((inputs[:, 0] > SLOTS) | (inputs[:, -1] > SLOTS))
+        if len(some):
+            score[some] += np.where(inputs[some] > SLOTS, np.float32(-1e4), np.float32(0))[:, None, :]
+        score, total = _exps(score)
+        mean = np.matmul(score, x)
+        mean /= total[:, :, None]
+        state = mean.reshape(-1, WIDTH) @ self.mean
+        state += self.own.take(own.ravel(), axis=0)
+        return np.tanh(state, out=state)
 
     def states(self, inputs: np.ndarray) -> np.ndarray:
-        own = inputs[:, CONTEXT:]
-        score = np.matmul(self.q[own], self.k[inputs].transpose(0, 2, 1))
-        score += self.near
-        np.exp(np.minimum(score, np.float32(60), out=score), out=score)
-        mixed = np.matmul(score, self.v[inputs])
-        mixed = mixed[:, :, :WIDTH] / np.maximum(mixed[:, :, WIDTH:], np.float32(1e-30))
-        return np.tanh(self.own[own] + mixed @ self.w["seen"])
+        return self._states(inputs)[:, :HIDDEN].reshape(len(inputs), SCORED, HIDDEN)
 
-    def logs(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def _logs(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target slot."""
-        kind, slot = target // CLASS, target % CLASS
-        order = np.argsort(kind, kind="stable")
-        state, kind, slot = state[order], kind[order], slot[order]
-        z = state @ self.w["class"] + self.w["class_bias"]
-        got = z[np.arange(len(z)), kind] - np.log(np.exp(z) @ np.ones(z.shape[1], dtype=np.float32))
-        cuts = np.searchsorted(kind, np.arange(SLOTS // CLASS + 1))
-        ones = np.ones(CLASS, dtype=np.float32)
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                z = state[a:b] @ self.w["slot"][c] + self.w["slot_bias"][c]
-                got[a:b] += z[np.arange(b - a), slot[a:b]] - np.log(np.exp(z) @ ones)
-        out = np.empty(len(target), dtype=np.float32)
+        order, kind, slot, runs = _by_class(target)
+        state = state.take(order, axis=0)
+        got = np.zeros(len(target), dtype=np.float32)
+        for z, at in ((state @ self.classes, kind), (_slot_scores(state, self.slots, runs), slot)):
+            sums = _exps(z)[1]
+            got += z.take(np.arange(len(z)) * z.shape[1] + at) - np.log(sums)
+        out = np.empty_like(got)
         out[order] = got
         return out
 
     def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 probability of every subword id of some texts (each an array that ends with the end id), flat."""
-        flat = np.concatenate(ids)
-        slots = self.net.slot_of[flat]
-        ends = np.cumsum([len(i) for i in ids])
-        inputs, targets, place = chunked(slots, np.concatenate(([0], ends[:-1])), ends)
+        return self.flat_log10(np.concatenate(ids), np.cumsum([len(i) for i in ids]))
+
+    def flat_log10(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same of ids that lie end to end."""
+        inputs, targets, place = chunked(self.net.slot_of[flat], np.concatenate(([0], ends[:-1])), ends)
         out = np.empty(len(flat))
-        for a in range(0, len(inputs), 512):
-            here = place[a:a + 512]
-            real = here >= 0
-            out[here[real]] = self.logs(self.states(inputs[a:a + 512])[real], targets[a:a + 512][real])
+        for a in range(0, len(inputs), self.AT_ONCE):
+            here = place[a:a + self.AT_ONCE].ravel()
+            real = np.flatnonzero(here >= 0)
+            state, target = self._states(inputs[a:a + self.AT_ONCE]), targets[a:a + self.AT_ONCE].ravel()
+            out[here.take(real)] = self._logs(state.take(real, axis=0), target.take(real))
         return out / np.log(10) + self.net.rest_log10[flat]
 
 
@@ -289,17 +419,21 @@ class Scorer:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the column text, counted in the tasks before anything is shuffled."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(words(t))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        rows = lambda: pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.binary()), "c": pa.array(seen.values(), pa.int64())})
+        for batch in batches:
+            for part in byte_groups(batch, 0, GROUP_BYTES):
+                found = split_words(part.column(0))[1].value_counts()
+                words, many = (found.field(i) for i in range(2))
+                for w, c in zip(words.cast(pa.binary()).to_numpy(zero_copy_only=False), many.to_numpy().tolist()):
+                    seen[w] = seen.get(w, 0) + c
                 if len(seen) > COUNTED_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+                    yield rows()
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+        yield rows()
 
-    return texts.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _subword_counts(counts: DataFrame, ranks: dict[bytes, int], pattern: str, texts: int) -> np.ndarray:
@@ -338,24 +472,32 @@ def _head(counts: DataFrame) -> dict[bytes, int]:
 
 def _training_chunks(texts: DataFrame, net: Network, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(turn, inputs, targets, real): the chunks of texts as packed arrays, a batch of steps per row."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    slot_of = net.slot_of.astype(np.int16)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords(ranks, pattern)
-        for pdf in batches:
-            ids = []
-            for i, t in enumerate(pdf["text"]):
-                ids.append(np.array(sub.text(words(t))[0]))
-                if sum(map(len, ids[-64:])) >= BATCH_SUBWORDS or len(ids) == 64 or i == len(pdf) - 1:
-                    slots = net.slot_of[np.concatenate(ids)]
-                    ends = np.cumsum([len(x) for x in ids])
-                    inputs, targets, place = chunked(slots, np.concatenate(([0], ends[:-1])), ends)
-                    ids = []
-                    # Given at once: the chunks of a whole batch of texts take some hundred MB.
-                    for a in range(0, len(inputs), 512):
-                        b = slice(a, a + 512)
-                        packed = [x.astype(np.int16).tobytes() for x in (inputs[b], targets[b], place[b] >= 0)]
-                        yield pd.DataFrame([packed], columns=["inputs", "targets", "real"])
-
-    rows = texts.select("text").mapInPandas(cut, "inputs binary, targets binary, real binary")
+        for batch in batches:
+            done, left = 0, np.empty(0, dtype=np.int16)
+            sizes: list[int] = []
+            for part in byte_groups(batch, 0, GROUP_BYTES):
+                got = sub.texts(part.column(0))
+                slots, at = np.concatenate((left, slot_of[got.ids])), 0
+                for n in got.text_sizes.tolist():
+                    sizes.append(n)
+                    done += 1
+                    if sum(sizes) >= BATCH_SUBWORDS or len(sizes) == 64 or done == batch.num_rows:
+                        ends = np.cumsum(sizes)
+                        inputs, targets, place = chunked(slots[at:at + ends[-1]], ends - sizes, ends)
+                        at += int(ends[-1])
+                        sizes = []
+                        # Given at once: the chunks of a whole batch of texts take some hundred MB.
+                        for a in range(0, len(inputs), 512):
+                            b = slice(a, a + 512)
+                            packed = [pa.array([x.astype(np.int16).tobytes()]) for x in (inputs[b], targets[b], place[b] >= 0)]
+                            yield pa.RecordBatch.from_arrays(packed, ["inputs", "targets", "real"])
+                left = slots[at:]
+
+    rows = texts.select("text").mapInArrow(cut, "inputs binary, targets binary, real binary")
     return staged(rows.withColumn("turn", F.pmod(F.xxhash64("inputs"), F.lit(ROUNDS)).cast("int")), "chunks")
 
 
@@ -366,7 +508,7 @@ def _round(chunks: DataFrame, net: Network) -> Network:
             for pdf in batches:
                 for r in pdf.itertuples():
                     inputs, targets, real = (
-                        np.frombuffer(x, dtype=np.int16).reshape(-1, n).astype(np.int64)
+                        np.frombuffer(x, dtype=np.int16).reshape(-1, n)
                         for x, n in ((r.inputs, SPAN), (r.targets, SCORED), (r.real, SCORED))
                     )
                     order = np.random.default_rng(len(inputs)).permutation(len(inputs))
@@ -408,49 +550,42 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, ranks: dict[by
         net = _round(chunks.where(F.col("turn") == turn), net)
     head = _head(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub, scorer = Subwords(ranks, pattern), Scorer(net)
-        get = head.get
-
-        def finish(texts: list[list[bytes]], got: list[tuple[list[int], list[int]]]) -> list[tuple]:
-            logs = scorer.log10([np.array(ids) for ids, _ in got])
-            sizes = np.concatenate([np.array(s) for _, s in got])
-            logs = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-            out, at = [], 0
-            for found in texts:
-                mine = logs[at:at + len(found) + 1]
-                at += len(found) + 1
-                c = np.array([*(get(w, -1) for w in found), texts_seen], dtype=np.int64)
+        for batch in batches:
+            for part in byte_groups(batch, 1, GROUP_BYTES):
+                got = sub.texts(part.column(1))
+                ids, many, ends = got.ids, got.many, np.cumsum(got.text_sizes)
+                logs, at = np.empty(len(ids)), 0
+                while at < len(ends):
+                    before = int(ends[at - 1]) if at else 0
+                    upto = min(len(ends), int(np.searchsorted(ends, before + BATCH_SUBWORDS)) + 1)
+                    logs[before:ends[upto - 1]] = scorer.flat_log10(ids[before:ends[upto - 1]], ends[at:upto] - before)
+                    at = upto
+                mine = np.add.reduceat(logs, np.cumsum(got.sizes) - got.sizes)
+                c = np.array([*(head.get(w, -1) for w in got.distinct), texts_seen], dtype=np.int64)[got.word]
+                text = np.repeat(np.arange(len(many)), many)
                 known = c >= 0
-                share = (c[known] + 1) / base
-                both = np.log10(MIX * share + (1 - MIX) * np.power(10.0, mine[known]))
-                rest = np.flatnonzero(~known)
-                tail = [{"word": found[i], "log": float(mine[i])} for i in rest]
-                out.append((len(c), int((c > 0).sum()), float(np.log10(c[known] + 1).sum()), float(both.sum()), tail))
-            return out
-
-        names = ["n_tokens", "known", "base", "mixed", "tail"]
-        for pdf in batches:
-            own = pdf[["key", "held_out", "rid"]].reset_index(drop=True)
-            out, texts, got, size, given = [], [], [], 0, 0
-            for i, t in enumerate(pdf["text"]):
-                found = words(t)
-                texts.append(found)
-                got.append(sub.text(found))
-                size += len(got[-1][0])
-                last = i == len(pdf) - 1
-                if size >= BATCH_SUBWORDS or last:
-                    out += finish(texts, got)
-                    texts, got, size = [], [], 0
-                if last or len(out) >= ROWS_AT_ONCE:
-                    part = pd.DataFrame(out, columns=names)
-                    yield pd.concat([own[given:given + len(out)].reset_index(drop=True), part], axis=1)
-                    given, out = given + len(out), []
+                rest, text_known, c_known = np.flatnonzero(~known), text[known], c[known]
+                both = np.log10(MIX * ((c_known + 1) / base) + (1 - MIX) * np.power(10.0, mine[known]))
+                per_text = lambda of, x: pa.array(np.bincount(of, x, len(many)))
+                upto = np.append(0, np.cumsum(np.bincount(text[rest], minlength=len(many))))
+                seldom = pa.array([got.distinct[i] for i in got.word[rest].tolist()], pa.binary())
+                tail = pa.StructArray.from_arrays([seldom, pa.array(mine[rest])], ["word", "log"])
+                out = {
+                    "key": part.column(0), "held_out": part.column(2), "rid": part.column(3), "n_tokens": pa.array(many),
+                    "known": pa.array(np.bincount(text_known[c_known > 0], minlength=len(many))),
+                    "base": per_text(text_known, np.log10(c_known + 1)), "mixed": per_text(text_known, both),
+                    "tail": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), tail),
+                }
+                rows = pa.RecordBatch.from_pydict(out)
+                for a in range(0, rows.num_rows, ROWS_AT_ONCE):
+                    yield rows.slice(a, ROWS_AT_ONCE)
 
     texts_seen = texts
     key_type = dict(rows.dtypes)["key"]
     schema = f"key {key_type}, held_out boolean, rid long, n_tokens long, known long, base double, mixed double, tail array<struct<word:binary,log:double>>"
-    part = staged(rows.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, schema), "scores")
+    part = staged(rows.select("key", "text", "held_out", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, schema), "scores")
     tail = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.log").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
     sums = tail.groupBy("rid").agg(

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from doseframe.llm import attention_lm as lm
@@ -167,3 +168,45 @@ def test_scores_are_given_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(lm, "ROWS_AT_ONCE", 3)
     assert ask() == cut
     assert len(cut) == 40 and [cut[i]["n_known"] for i in range(40)] == [whole[i]["n_known"] for i in range(40)]
+
+
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    """Ids of texts cut together are those of their words in order, an end behind each text; equal words are coded once."""
+    texts = ["", None, " Ab\tab  \u00e9t\u00e9 ", "a b " * 500, "\x0c", "AB aB \u65e5\u672c"]
+    sub, coded = lm.Subwords(RANKS, P.PATTERN), []
+    plain = sub.piece
+    sub.piece = lambda w: coded.append(w) or plain(w)
+    got = sub.texts(pa.array(texts, pa.string()))
+    want = [[i for w in words(t) for i in plain(b" " + w)] + [sub.end] for t in texts]
+    assert got.ids.tolist() == sum(want, []) and got.text_sizes.tolist() == [len(w) for w in want]
+    assert got.many.tolist() == [len(words(t)) + 1 for t in texts] and sorted(coded) == sorted({b" " + w for t in texts for w in words(t)})
+    assert len(sub.texts(pa.array([], pa.string())).ids) == 0
+
+
+def test_steps_are_those_of_plain_adagrad():
+    """What is left out of a step, rows of the embedding that no window holds, has no slope."""
+    net = network()
+    _, (inputs, targets, place) = windows([40, 3, 70], 5)
+    batches = [(inputs[a:a + 3].astype(np.int16), targets[a:a + 3].astype(np.int16), place[a:a + 3] >= 0) for a in range(0, len(inputs), 3)]
+    w = {k: a.astype(np.float64) for k, a in net.weights.items()}
+    square = {k: np.full_like(a, 1e-4) for k, a in w.items()}
+    for batch in batches:
+        g = lm.gradient(w, *batch)[1]
+        for k in w:
+            square[k] += g[k] * g[k]
+            w[k] -= lm.RATE * g[k] / np.sqrt(square[k])
+    got, seen = lm.train(net, iter(batches))
+    assert seen == 113 and lm.Step(net.weights).slope.dtype == np.float32
+    assert all(np.allclose(got.weights[k], w[k], atol=2e-3) for k in w)
+
+
+def test_scores_beyond_the_range_of_exp():
+    """A class whose score is 200 above the others: losses and logs stay finite and agree."""
+    net = network()
+    net.weights["class_bias"][3] += 200
+    slots, (inputs, targets, place) = windows([40], 7)
+    loss, g = lm.gradient(net.weights, inputs, targets, place >= 0)
+    ids = np.array([int(np.flatnonzero(net.slot_of == s)[0]) for s in slots])
+    logs = lm.Scorer(net).log10([ids]) - net.rest_log10[ids]
+    assert np.isfinite(logs).all() and logs.min() < -80 and all(np.isfinite(a).all() for a in g.values())
+    assert abs(loss + logs.mean() * np.log(10)) < 1e-3 * loss
