@@ -13,7 +13,7 @@ its chunks from the common parameters, and the results are averaged by number of
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -35,8 +35,8 @@ ROUNDS, STEP_CHUNKS, RATE = 3, 64, 0.15
 # Most frequent words whose counts every task holds; the others are joined.
 HEAD_WORDS = 200_000
 KEPT_WORDS, COUNTED_WORDS, BATCH_SUBWORDS = 150_000, 200_000, 32_768
-# Bytes of text whose words are split and made distinct at once.
-GROUP_BYTES = 2 << 20
+# Bytes of text whose words are split and made distinct at once, and new words coded at once.
+GROUP_BYTES, WORDS_AT_ONCE = 2 << 20, 1_000
 # Scored rows that a task holds before it gives them on, each with the words that are not at hand.
 ROWS_AT_ONCE = 500
 MIX = 0.5
@@ -60,7 +60,11 @@ class Subwords:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.piece = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        # Words with a blank before each are its pieces; a token that begins with a blank begins a word.
+        self.many = tiktoken.Encoding("words", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values(), default=-1) + 1
+        self.begins = np.zeros(self.end, dtype=bool)
+        self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
@@ -69,11 +73,21 @@ class Subwords:
         if None in got:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            for i, (word, ids) in enumerate(zip(words, got)):
-                if ids is None:
-                    got[i] = self.known[word] = array("i", self.piece(b" " + word)).tobytes()
+            new = [word for word, ids in zip(words, got) if ids is None]
+            for a in range(0, len(new), WORDS_AT_ONCE):
+                self.known.update(self._coded(new[a:a + WORDS_AT_ONCE]))
+            got = [self.known[word] if ids is None else ids for word, ids in zip(words, got)]
         return got
 
+    def _coded(self, words: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        try:
+            flat = np.array(self.many((b" " + b" ".join(words)).decode()), dtype=np.int32)
+        except UnicodeDecodeError:
+            return [(word, array("i", self.piece(b" " + word)).tobytes()) for word in words]
+        ends = [*(np.flatnonzero(self.begins[flat])[1:] * 4).tolist(), flat.nbytes]
+        one = flat.tobytes()
+        return zip(words, [one[a:b] for a, b in zip([0, *ends], ends)], strict=True)
+
     def texts(self, texts: pa.Array) -> Cut:
         """Ids of texts, each with its end: words are split and made distinct in Arrow, and each distinct one is looked up once."""
         of, found = split_words(texts)
@@ -335,8 +349,9 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
 
 
 def _adagrad(w: np.ndarray, square: np.ndarray, g: np.ndarray) -> None:
-    square += g * g
-    change = np.sqrt(square)
+    change = g * g
+    square += change
+    np.sqrt(square, out=change)
     np.divide(g, change, out=change)
     change *= np.float32(RATE)
     w -= change

@@ -170,16 +170,20 @@ def test_scores_are_given_on_in_parts(spark, monkeypatch):
     assert len(cut) == 40 and [cut[i]["n_known"] for i in range(40)] == [whole[i]["n_known"] for i in range(40)]
 
 
-def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+def test_words_of_many_texts_are_looked_up_once():
     """Ids of texts cut together are those of their words in order, an end behind each text; equal words are coded once."""
     texts = ["", None, " Ab\tab  \u00e9t\u00e9 ", "a b " * 500, "\x0c", "AB aB \u65e5\u672c"]
     sub, coded = lm.Subwords(RANKS, P.PATTERN), []
-    plain = sub.piece
-    sub.piece = lambda w: coded.append(w) or plain(w)
+    plain, many = sub.piece, sub.many
+    sub.many = lambda text: coded.append(text) or many(text)
     got = sub.texts(pa.array(texts, pa.string()))
     want = [[i for w in words(t) for i in plain(b" " + w)] + [sub.end] for t in texts]
     assert got.ids.tolist() == sum(want, []) and got.text_sizes.tolist() == [len(w) for w in want]
-    assert got.many.tolist() == [len(words(t)) + 1 for t in texts] and sorted(coded) == sorted({b" " + w for t in texts for w in words(t)})
+    assert got.many.tolist() == [len(words(t)) + 1 for t in texts]
+    assert sorted("".join(coded).encode().split()) == sorted({w for t in texts for w in words(t)})
+    odd = [b"a\xff", "\u00a0x\u2003\u2028".encode(), b"\xf0\x9f", "\u3000".encode(), b"<|endoftext|>"]
+    for some in (odd, odd[1:2] + odd[3:]):   # words that are no UTF-8 are coded one by one
+        assert lm.Subwords(RANKS, P.PATTERN).of(some) == [np.array(plain(b" " + w), dtype=np.int32).tobytes() for w in some]
     assert len(sub.texts(pa.array([], pa.string())).ids) == 0
 
 
